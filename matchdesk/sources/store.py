@@ -1,0 +1,120 @@
+"""Versioned table store on plain Parquet.
+
+Layout under a root folder::
+
+    <root>/<table>/v=<n>-<token>/...   one directory per written version
+    <root>/_manifest/                 append-only Parquet: (table, version, path, committed_at)
+
+A version becomes visible only when its manifest row is appended, after the
+data job committed; readers resolve tables through the manifest only. A job
+killed between data and manifest leaves an orphan directory nobody reads, so
+a save is all-or-nothing. Single writer per table is assumed.
+
+Append-only tables (the audit log) write each batch into its own version
+directory too; reading the table unions the committed batches.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+import hashlib
+import re
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchdesk.session import work_root
+
+MANIFEST_SCHEMA = "table string, version bigint, path string, committed_at timestamp_ntz"
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    @property
+    def manifest_path(self) -> str:
+        return f"{self.root}/_manifest"
+
+    def _manifest(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+        except AnalysisException:
+            return None
+
+    def versions(self, table: str) -> list[tuple[int, str]]:
+        """Committed (version, path) pairs of a table, oldest first."""
+        m = self._manifest()
+        if m is None:
+            return []
+        rows = m.filter(F.col("table") == table).select("version", "path").orderBy("version").collect()
+        return [(r.version, r.path) for r in rows]
+
+    def latest(self, table: str) -> tuple[int, str] | None:
+        m = self._manifest()
+        if m is None:
+            return None
+        row = (m.filter(F.col("table") == table)
+               .agg(F.max("version").alias("v"), F.max_by("path", "version").alias("p")).first())
+        return None if row is None or row.v is None else (row.v, row.p)
+
+    def _commit(self, table: str, version: int, path: str) -> None:
+        now = _dt.datetime.now().replace(microsecond=0)
+        (self.spark.createDataFrame([(table, version, path, now)], MANIFEST_SCHEMA)
+         .coalesce(1).write.mode("append").parquet(self.manifest_path))
+
+    def write_version(self, table: str, df: DataFrame, *, fmt: str = "parquet",
+                      partition_by: list[str] | None = None) -> int:
+        """Write ``df`` as the next version of ``table`` and publish it."""
+        cur = self.latest(table)
+        version = 0 if cur is None else cur[0] + 1
+        path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.format(fmt).save(path)
+        self._commit(table, version, path)
+        return version
+
+    def read(self, table: str, *, fmt: str = "parquet", version: int | None = None) -> DataFrame | None:
+        """The latest (or a given) committed version of ``table``."""
+        if version is None:
+            cur = self.latest(table)
+        else:
+            cur = next(((v, p) for v, p in self.versions(table) if v == version), None)
+        if cur is None:
+            return None
+        return self.spark.read.format(fmt).load(cur[1])
+
+    def read_appended(self, table: str, schema=None) -> DataFrame | None:
+        """All committed batches of an append-only table, with `batch` = version."""
+        vs = self.versions(table)
+        if not vs:
+            return None
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        # With the table folder as basePath the version folder `v=<n>-<token>`
+        # is a partition column: one scan over the committed batches only.
+        df = reader.option("basePath", f"{self.root}/{table}").parquet(*[p for _, p in vs])
+        return (df.withColumn("batch", F.regexp_extract(F.col("v").cast("string"), r"^(\d+)-", 1).cast("bigint"))
+                .drop("v"))
+
+
+def _slug(text: str) -> str:
+    base = re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")[-40:]
+    return f"{base}_{hashlib.sha1(text.encode()).hexdigest()[:10]}"
+
+
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def store_for(spark: SparkSession, key: str) -> Store:
+    """Store for one input directory, under the session's shared work folder."""
+    app = spark.sparkContext.applicationId
+    s = _STORES.get((app, key))
+    if s is None:
+        s = Store(spark, f"{work_root(spark)}/matchdesk/{_slug(key)}")
+        _STORES[(app, key)] = s
+    return s
