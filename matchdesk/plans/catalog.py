@@ -43,3 +43,618 @@ def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: filter (F1, F4), sort (O1), page (O2), project."""
     m = IN.matches(spark, sf_dir)
     return V.shipped(V.page(V.view(m, FLAGSHIP_FILTER), 0, 25, ("name_score", "desc")))
+
+
+# Queries below are registered in SURVEY §7.3 order.
+
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from matchdesk import schema as S
+from matchdesk.functions import exprs as X
+from matchdesk.operators import edits as E
+from matchdesk.operators import save as SV
+from matchdesk.operators import search as SR
+from matchdesk.operators import stats as ST
+from matchdesk.operators import undo as U
+from matchdesk.sources import load as L
+
+q = O.sql_str
+M_ALL = ", ".join(c for c, _ in O.M_COLUMNS_TYPES)
+
+
+def _m(spark, sf_dir):
+    return IN.matches(spark, sf_dir)
+
+
+# ---- 1. Load ---------------------------------------------------------------
+
+@query("normalize_matches", O.with_ctes(["m"]) + "select * from m")
+def normalize_matches(spark, sf_dir):
+    """S2-S6 over the stored raw table."""
+    return L.normalize(IN.raw_matches(spark, sf_dir))
+
+
+@query("adapt_master_layout", O.with_ctes(["master"]) + """
+select id, hdrcode as dec_hdrcode, ssn as canvas_ssn, hdrname as dec_name, addrcity as dec_city,
+ addrstate as dec_state, '' as canvas_id, '' as canvas_name, '' as canvas_address, '' as canvas_city,
+ '' as canvas_state, '' as canvas_zip, 0.0::double as ssn_match, 0.0::double as name_score,
+ 0.0::double as address_score, '' as recommendation, '' as address_reason,
+ 0 as jib, 0 as rev, 0 as vendor, '' as how_to_process, '' as memo from master""")
+def adapt_master_layout(spark, sf_dir):
+    """S3 (+S4-S6): a master-layout table normalized to review columns."""
+    return L.normalize(IN.master(spark, sf_dir))
+
+
+@query("evolve_schema", O.with_ctes(["matches"]) + "select *, 0 as rev, 0 as vendor from matches")
+def evolve_schema(spark, sf_dir):
+    """The stored table with the missing review columns added."""
+    return L.evolve_schema(IN.raw_matches(spark, sf_dir))
+
+
+_KEYMAP = ", ".join(f"({q(p + '_' + suf)}, {q(rec)}, {q(b)})"
+                    for p, rec in S.BUCKET_PREFIXES for suf, b in S.BUCKET_BOUNDS)
+
+
+@query("bucket_pivot", O.with_ctes(["m", "bucket_config"]) + f"""
+, keymap as (select * from (values {_KEYMAP}) t(config_key, recommendation, bound)),
+r as (select k.recommendation,
+   max(case when k.bound = 'min_name' then try_cast(trim(b.config_value) as double) end) as min_name,
+   max(case when k.bound = 'max_name' then try_cast(trim(b.config_value) as double) end) as max_name,
+   max(case when k.bound = 'min_addr' then try_cast(trim(b.config_value) as double) end) as min_addr,
+   max(case when k.bound = 'max_addr' then try_cast(trim(b.config_value) as double) end) as max_addr
+  from bucket_config b join keymap k on k.config_key = b.config_key
+  where b.category = 'BUCKETS' group by k.recommendation),
+c as (select recommendation, count(*) as n from m group by recommendation)
+select r.*, c.n from r left join c on c.recommendation = r.recommendation""")
+def bucket_pivot(spark, sf_dir):
+    """Bucket score ranges per recommendation with its row count (stats + config)."""
+    ranges = L.bucket_ranges(IN.bucket_config(spark))
+    counts = _m(spark, sf_dir).groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"))
+    return ranges.join(counts, "recommendation", "left")
+
+
+@query("id_list_parse", O.with_ctes(["id_file"]) + O.ID_LIST)
+def id_list_parse(spark, sf_dir):
+    """The stored id file read as text and parsed."""
+    return L.parse_id_list(IN.id_file(spark, sf_dir))
+
+
+# ---- 2. View ---------------------------------------------------------------
+
+def _view_sql(where: str) -> str:
+    return O.with_ctes(["m"]) + f"select {O.SHIPPED_SQL} from m where {where}"
+
+
+@query("page_from_offset_all", O.with_ctes(["m"]) +
+       f"select {O.SHIPPED_SQL} from m order by canvas_name asc nulls last, id offset 100")
+def page_from_offset_all(spark, sf_dir):
+    """O3: page length -1 -- every row from position 100 in canvas_name order."""
+    return V.shipped(V.from_offset(_m(spark, sf_dir), 100, ("canvas_name", "asc")))
+
+
+@query("ssn_partial", _view_sql("ssn_match > 0 and ssn_match < 100"))
+def ssn_partial(spark, sf_dir):
+    """the partial-SSN preset."""
+    return V.shipped(V.view(_m(spark, sf_dir), V.ViewFilter(ssn="partial")))
+
+
+@query("score_range", _view_sql(
+    "name_score >= 40 and name_score <= 80 and address_score >= 50 and address_score <= 90"))
+def score_range(spark, sf_dir):
+    """inclusive score ranges (NULL scores drop out)."""
+    f = V.ViewFilter(min_name=40, max_name=80, min_addr=50, max_addr=90)
+    return V.shipped(V.view(_m(spark, sf_dir), f))
+
+
+SEARCH_PATTERN = r"^10\d$|trust|a\.b"
+
+
+@query("global_search_regex", _view_sql(O.search_any(SEARCH_PATTERN)))
+def global_search_regex(spark, sf_dir):
+    """case-insensitive regex over the text form of every column."""
+    return V.shipped(V.view(_m(spark, sf_dir), V.ViewFilter(search=SEARCH_PATTERN)))
+
+
+QUICK_TEXT = "needs  main"
+
+
+@query("quick_filter_words", _view_sql(O.quick_filter(QUICK_TEXT)))
+def quick_filter_words(spark, sf_dir):
+    """F8: all words contained in some visible column's display text."""
+    return V.shipped(V.view(_m(spark, sf_dir), V.ViewFilter(quick=QUICK_TEXT)))
+
+
+def _bucket_sql(inside: bool) -> str:
+    def bound(score, b, op):
+        return f"(r.{b} is null or coalesce(m.{score} {op} r.{b}, false))"
+    test = " and ".join([bound("name_score", "min_name", ">="), bound("name_score", "max_name", "<="),
+                         bound("address_score", "min_addr", ">="), bound("address_score", "max_addr", "<=")])
+    where = test if inside else f"not ({test})"
+    return O.with_ctes(["m", "bucket_config"]) + f"""
+, keymap as (select * from (values {_KEYMAP}) t(config_key, recommendation, bound)),
+r as (select k.recommendation,
+   max(case when k.bound = 'min_name' then try_cast(trim(b.config_value) as double) end) as min_name,
+   max(case when k.bound = 'max_name' then try_cast(trim(b.config_value) as double) end) as max_name,
+   max(case when k.bound = 'min_addr' then try_cast(trim(b.config_value) as double) end) as min_addr,
+   max(case when k.bound = 'max_addr' then try_cast(trim(b.config_value) as double) end) as max_addr
+  from bucket_config b join keymap k on k.config_key = b.config_key
+  where b.category = 'BUCKETS' group by k.recommendation)
+select {O.qualified(O.SHIPPED_NORMALIZED, 'm')} from m join r on m.recommendation = r.recommendation
+where {where}"""
+
+
+@query("bucket_view", _bucket_sql(True))
+def bucket_view(spark, sf_dir):
+    """Rows of each bucket recommendation within its configured ranges."""
+    ranges = L.bucket_ranges(IN.bucket_config(spark))
+    return V.shipped(V.bucket_rows(_m(spark, sf_dir), ranges, inside=True))
+
+
+@query("bucket_outliers", _bucket_sql(False))
+def bucket_outliers(spark, sf_dir):
+    """F11 complement: rows of a bucket recommendation its ranges hide."""
+    ranges = L.bucket_ranges(IN.bucket_config(spark))
+    return V.shipped(V.bucket_rows(_m(spark, sf_dir), ranges, inside=False))
+
+
+@query("record_lookup", O.with_ctes(["m", "edits"]) + f"""
+select id, {O.code_label('canvas_id', 'canvas_addrseq')} as canvas_id_label, canvas_ssn, canvas_name,
+ canvas_address, canvas_city, canvas_state, canvas_zip, dec_name, dec_address, dec_city, dec_state, dec_zip,
+ dec_contact, dec_hdrcode, ssn_match, name_score, address_score, {O.score_band('ssn_match')} as ssn_band,
+ {O.score_band('name_score')} as name_band, {O.score_band('address_score')} as address_band,
+ recommendation, address_reason, memo from m where id in (select id from edits)""")
+def record_lookup(spark, sf_dir):
+    """P20: the record form of every row someone opened for editing."""
+    m = _m(spark, sf_dir)
+    return V.record_form(m.join(IN.edits(spark, sf_dir).select("id").distinct(), "id", "left_semi"))
+
+
+@query("domain_order", O.with_ctes(["m"]) + f"""
+select {O.rec_rank()} as rank, recommendation, count(*) as n from m where recommendation is not null
+group by recommendation""")
+def domain_order(spark, sf_dir):
+    """Recommendation counts in the preferred display order."""
+    return ST.domain_order(_m(spark, sf_dir))
+
+
+# ---- 3. Derived ------------------------------------------------------------
+
+@query("display_columns", O.with_ctes(["m"]) + f"""
+select id, {O.code_label('canvas_id', 'canvas_addrseq')} as canvas_id_label,
+ {O.csz_label('canvas_city', 'canvas_state', 'canvas_zip')} as canvas_csz,
+ {O.csz_label('dec_city', 'dec_state', 'dec_zip')} as dec_csz,
+ {O.code_label('dec_hdrcode', 'dec_addrsubcode')} as dec_code_label,
+ {O.effective_process()} as process from m""")
+def display_columns(spark, sf_dir):
+    """P4-P8."""
+    return V.display_columns(_m(spark, sf_dir))
+
+
+@query("score_bands", O.with_ctes(["m"]) + f"""
+select id, case when ssn_match = 100 then 'Yes' else 'No' end as ssn_badge,
+ {O.score_band('name_score')} as name_band, {O.score_band('address_score')} as address_band,
+ case when upper(coalesce(recommendation, '')) = 'NEEDS REVIEW' then {O.score_band('nameaddrscore')}
+      else 'NS' end as nameaddr_band from m""")
+def score_bands(spark, sf_dir):
+    """P9-P11."""
+    return V.score_bands(_m(spark, sf_dir))
+
+
+@query("review_flags", O.with_ctes(["m"]) + f"""
+select id, {O.regex_hit('canvas_name', O.DNU_RE2)} as canvas_name_dnu,
+ {O.regex_hit('canvas_address', O.DNU_RE2)} as canvas_address_dnu,
+ {O.regex_hit('dec_name', O.DNU_RE2)} as dec_name_dnu,
+ {O.regex_hit('dec_address', O.DNU_RE2)} as dec_address_dnu,
+ coalesce(cast(is_trust as varchar) in ('1', 'true', 'True'), false) as trust,
+ coalesce(name_score < 45, false) as low_name_hint,
+ coalesce(address_score > 45 and contains(upper(recommendation), 'NEW ADDRESS'), false) as address_hint,
+ coalesce(jib <> 0, false) as jib_on, coalesce(rev <> 0, false) as rev_on, coalesce(vendor <> 0, false) as vendor_on,
+ coalesce(cast(dec_address_looked_up as varchar) = '1', false) as address_looked_up from m""")
+def review_flags(spark, sf_dir):
+    """P12-P16."""
+    return V.review_flags(_m(spark, sf_dir))
+
+
+def _export_sql(where: str, ctes: list[str]) -> str:
+    labels = ", ".join(f"coalesce({O.display_value(cid)}, '') as \"{label}\""
+                       for cid, label, vis in S.GRID_COLUMNS if vis)
+    return O.with_ctes(ctes) + f"select {labels} from m where {where}"
+
+
+@query("export_view", _export_sql("recommendation = 'NEEDS REVIEW' and ssn_match = 0", ["m"]))
+def export_view(spark, sf_dir):
+    """The current view's visible columns under header labels, as text."""
+    f = V.ViewFilter(recommendations="NEEDS REVIEW", ssn="no")
+    return V.export_columns(V.view(_m(spark, sf_dir), f))
+
+
+@query("export_selected", _export_sql("id in (select id from selection)", ["m", "selection"]))
+def export_selected(spark, sf_dir):
+    """Export of the selected rows."""
+    m = _m(spark, sf_dir)
+    return V.export_columns(m.join(IN.selection(spark, sf_dir), "id", "left_semi"))
+
+
+@query("json_records")
+def json_records(spark, sf_dir):
+    """One JSON record per row, NULLs kept as keys (rows-only check:
+    number formatting differs between engines)."""
+    m = V.shipped(_m(spark, sf_dir))
+    return m.select("id", F.to_json(F.struct(*m.columns), {"ignoreNullFields": "false"}).alias("record"))
+
+
+# ---- 4. Stats --------------------------------------------------------------
+
+@query("stats_summary", O.with_ctes(["m"]) + """
+select count(*) as total_records, round(avg(name_score), 1) as avg_name_score,
+ round(avg(address_score), 1) as avg_address_score,
+ count(*) filter (where ssn_match = 100) as ssn_perfect_matches,
+ count(*) filter (where ssn_match > 0 and ssn_match < 100) as ssn_partial_matches,
+ count(*) filter (where ssn_match = 0) as ssn_no_match from m""")
+def stats_summary(spark, sf_dir):
+    """A1/A3/A4."""
+    return ST.summary(_m(spark, sf_dir))
+
+
+@query("recommendation_counts", O.with_ctes(["m"]) + f"""
+select recommendation, n, round(100.0::double * n / total, 1) as pct, {O.rec_rank()} as rank from
+ (select recommendation, count(*) as n, sum(count(*)) over () as total from m group by recommendation)
+where recommendation is not null""")
+def recommendation_counts(spark, sf_dir):
+    """A2/A10/P17."""
+    return ST.recommendation_counts(_m(spark, sf_dir))
+
+
+@query("distinct_recommendations", O.with_ctes(["m"]) +
+       "select distinct recommendation from m where recommendation is not null")
+def distinct_recommendations(spark, sf_dir):
+    """A5."""
+    return ST.distinct_recommendations(_m(spark, sf_dir))
+
+
+VIEW_COUNT_FILTER = V.ViewFilter(recommendations="NEEDS REVIEW,PROCESSED", ssn="partial", min_addr=20,
+                                 search=r"st\.")
+
+
+@query("view_counts", O.with_ctes(["m"]) + f"""
+select count(*) as records_total, count(*) filter (where recommendation in ('NEEDS REVIEW', 'PROCESSED')
+ and ssn_match > 0 and ssn_match < 100 and address_score >= 20 and {O.search_any(r"st\.")}) as records_filtered
+from m""")
+def view_counts(spark, sf_dir):
+    """Total and filtered counts of a view in one pass."""
+    m = _m(spark, sf_dir)
+    return ST.view_counts(m, V.view_predicate(m, VIEW_COUNT_FILTER))
+
+
+# ---- 5. Search -------------------------------------------------------------
+
+def _find_counts_sql(needle: str) -> str:
+    hits = [O.ci_contains(c, needle) for c in S.FIND_COLUMNS]
+    cells = " + ".join(f"(case when {h} then 1 else 0 end)" for h in hits)
+    return O.with_ctes(["m"]) + (f"select cast(coalesce(sum({cells}), 0) as bigint) as matches, "
+                                 f"count(*) filter (where {' or '.join(hits)}) as rows from m")
+
+
+@query("find_counts", _find_counts_sql("st"))
+def find_counts(spark, sf_dir):
+    """Matching cells and rows for 'st' in all 9 text columns."""
+    return SR.find_counts(_m(spark, sf_dir), "st")
+
+
+FIND_NEEDLE = "a.b"
+
+
+def _cells_sql(needle: str, cols: list[str], cs: bool = False, src: str = "m") -> str:
+    pred = (lambda c: O.cs_contains(c, needle)) if cs else (lambda c: O.ci_contains(c, needle))
+    return O.cells_union(pred, cols, src)
+
+
+@query("find_match_numbers", O.with_ctes(["m"]) + f"""
+select id, field, col_pos, row_number() over (order by id, col_pos) as match_no, count(*) over () as n_matches
+from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)})""")
+def find_match_numbers(spark, sf_dir):
+    """W1: 'match i of n' for every matching cell."""
+    return SR.find_match_numbers(_m(spark, sf_dir), FIND_NEEDLE).select(
+        "id", "field", "col_pos", "match_no", "n_matches")
+
+
+@query("find_next", O.with_ctes(["m"]) + f"""
+, c as (select id, field, row_number() over (order by id, col_pos) as match_no, count(*) over () as n_matches
+ from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)}))
+select a.id, a.field, a.match_no, a.n_matches, b.match_no as next_no, b.id as next_id, b.field as next_field
+from c a join c b on b.match_no = a.match_no % a.n_matches + 1""")
+def find_next(spark, sf_dir):
+    """The next match of each match, wrapping."""
+    return SR.find_next(SR.find_match_numbers(_m(spark, sf_dir), FIND_NEEDLE))
+
+
+REPLACE_WITH = "$1"
+
+
+@query("replace_all_edits", O.with_ctes(["m"]) + f"""
+select id, field, value as old_value,
+ regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g') as new_value
+from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)})
+where value <> regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g')""")
+def replace_all_edits(spark, sf_dir):
+    """M3: case-insensitive replace of 'a.b' by '$1' (both literal) everywhere."""
+    return SR.replace_edits(_m(spark, sf_dir), FIND_NEEDLE, REPLACE_WITH)
+
+
+@query("replace_case_sensitive", O.with_ctes(["m"]) + f"""
+select id, field, value as old_value, replace(value, 'St.', 'Street') as new_value
+from ({_cells_sql('St.', ['canvas_address'], cs=True)}) where value <> replace(value, 'St.', 'Street')""")
+def replace_case_sensitive(spark, sf_dir):
+    """M3, case-sensitive, one column."""
+    return SR.replace_edits(_m(spark, sf_dir), "St.", "Street", column="canvas_address", case_sensitive=True)
+
+
+@query("replace_in_view", O.with_ctes(["m"]) + f"""
+, v as (select * from m where recommendation in ('NEEDS REVIEW') and ssn_match > 0 and ssn_match < 100)
+select id, field, value as old_value, regexp_replace(value, '(?i)\\Qcall\\E', 'CALL', 'g') as new_value
+from ({_cells_sql('call', ['memo'], src='v')}) where value <> regexp_replace(value, '(?i)\\Qcall\\E', 'CALL', 'g')""")
+def replace_in_view(spark, sf_dir):
+    """Replace restricted to the rows of the current view."""
+    rows = V.view(_m(spark, sf_dir), V.ViewFilter(recommendations="NEEDS REVIEW", ssn="partial"))
+    return SR.replace_edits(rows, "call", "CALL", column="memo")
+
+
+@query("replace_counts", O.with_ctes(["m"]) + f"""
+select count(*) as replaced, count(distinct id) as rows from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)})
+where value <> regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g')""")
+def replace_counts(spark, sf_dir):
+    """Replaced cells and rows."""
+    return SR.replace_counts(SR.replace_edits(_m(spark, sf_dir), FIND_NEEDLE, REPLACE_WITH))
+
+
+# ---- 6. Edits --------------------------------------------------------------
+
+@query("bulk_approve", O.with_ctes(["m", "selection"]) + """
+select id, 'recommendation' as field, coalesce(recommendation, '') as old_value, 'APPROVED' as new_value
+from m where id in (select id from selection)""")
+def bulk_approve(spark, sf_dir):
+    """M2/M7: approve the selected rows."""
+    return E.bulk_set(_m(spark, sf_dir), IN.selection(spark, sf_dir))
+
+
+@query("bulk_rejects", O.with_ctes(["m", "selection"]) +
+       "select s.id from selection s where not exists (select 1 from m where m.id = s.id)")
+def bulk_rejects(spark, sf_dir):
+    """Selected ids that are not in the table."""
+    return E.rejects(IN.selection(spark, sf_dir), _m(spark, sf_dir))
+
+
+@query("bulk_counts", O.with_ctes(["m", "selection"]) + """
+select count(*) as requested, count(m.id) as updated, count(*) - count(m.id) as rejected
+from selection s left join m on m.id = s.id""")
+def bulk_counts(spark, sf_dir):
+    """Requested, updated and rejected counts of a bulk approve (one pass)."""
+    known = _m(spark, sf_dir).select("id", F.lit(True).alias("_known"))
+    j = IN.selection(spark, sf_dir).join(known, "id", "left")
+    return j.agg(F.count(F.lit(1)).alias("requested"), F.count("_known").alias("updated"),
+                 (F.count(F.lit(1)) - F.count("_known")).alias("rejected"))
+
+
+@query("import_flag", O.with_ctes(["m", "id_file"], [("ids", O.ID_LIST)]) + """
+select id, 'jib' as field, cast(jib as varchar) as old_value, '1' as new_value from m
+where regexp_replace(canvas_id, '^\\s+|\\s+$', '', 'g') in (select canvas_id from ids) and jib <> 1""")
+def import_flag(spark, sf_dir):
+    """JIB flags from the uploaded id file."""
+    ids = L.parse_id_list(IN.id_file(spark, sf_dir))
+    return E.import_flag(_m(spark, sf_dir), ids, "jib")
+
+
+@query("import_counts", O.with_ctes(["m", "id_file"], [("ids", O.ID_LIST)]) + """
+, hit as (select * from m where regexp_replace(canvas_id, '^\\s+|\\s+$', '', 'g') in (select canvas_id from ids))
+select count(*) filter (where jib <> 1) as updated, count(*) filter (where jib = 1) as already_set,
+ count(*) as matched, (select count(*) from ids) as total_in_file from hit""")
+def import_counts(spark, sf_dir):
+    """A9."""
+    ids = L.parse_id_list(IN.id_file(spark, sf_dir))
+    return E.import_counts(_m(spark, sf_dir), ids, "jib")
+
+
+@query("set_process_in_view", O.with_ctes(["m"]) + """
+select id, 'how_to_process' as field, coalesce(how_to_process, '') as old_value,
+ 'Merge BA and address' as new_value from m
+where recommendation = 'EXISTING BA AND EXISTING ADDRESS' and name_score >= 50
+ and coalesce(how_to_process, '') <> 'Merge BA and address'""")
+def set_process_in_view(spark, sf_dir):
+    """Set the process of every row in view."""
+    rows = V.view(_m(spark, sf_dir), V.ViewFilter(recommendations="EXISTING BA AND EXISTING ADDRESS", min_name=50))
+    return E.set_process(rows, "Merge BA and address")
+
+
+def _forms(spark, sf_dir):
+    """Record forms: rows with a name edit, the latest name typed, other
+    fields as the form shows them (NULL -> '')."""
+    m = _m(spark, sf_dir)
+    names = E.last_values(IN.edits(spark, sf_dir).filter(F.col("field") == "canvas_name"), ["id"])
+    j = names.join(m, "id")
+    return j.select("id", F.col("new_value").alias("canvas_name"),
+                    *[X.blank(c).alias(c) for c in E.FORM_FIELDS if c != "canvas_name"])
+
+
+_FORM_SQL = O.with_ctes(["m", "edits"]) + """
+, f as (select id, arg_max(new_value, seq) as nv from edits where field = 'canvas_name' group by id),
+forms as (select m.id, f.nv as canvas_name, """ + ", ".join(
+    f"coalesce(m.{c}, '') as {c}" for c in E.FORM_FIELDS if c != "canvas_name") + """ from m join f on f.id = m.id),
+pairs as (""" + " union all ".join(
+    f"select forms.id, {q(c)} as field, m.{c} as old_value, forms.{c} as new_value from forms join m on m.id = forms.id"
+    for c in E.FORM_FIELDS) + ")\n"
+
+
+@query("form_save_edits", _FORM_SQL + "select * from pairs")
+def form_save_edits(spark, sf_dir):
+    """M8: 8 edits per record-form save, changed or not."""
+    return E.form_edits(_forms(spark, sf_dir), _m(spark, sf_dir))
+
+
+@query("toggle_flag_range", O.with_ctes(["m", "edits"]) + """
+select id, 'rev' as field, cast(rev as varchar) as old_value, '1' as new_value from m
+where id in (select id from edits where field in ('memo', 'jib'))""")
+def toggle_flag_range(spark, sf_dir):
+    """M9: REV set once per row over a range of selected cells."""
+    cells = IN.edits(spark, sf_dir).filter(F.col("field").isin("memo", "jib")).select("id", "field")
+    return E.toggle_flag(cells, _m(spark, sf_dir), "rev", 1)
+
+
+_FLAGS_SQL = ", ".join(q(f) for f in S.FLAG_FIELDS)
+_EDITABLE_SQL = ", ".join(q(f) for f in S.EDITABLE_FIELDS)
+
+
+@query("validate_edits", O.with_ctes(["m", "edits"]) + f"""
+select e.seq, e.id, e.field,
+ case when e.field in ({_FLAGS_SQL}) then cast(try_cast(e.new_value as integer) as varchar) else e.new_value end as new_value,
+ case when e.field not in ({_EDITABLE_SQL}) then 'unknown_field'
+      when k.id is null then 'unknown_id'
+      when e.field in ({_FLAGS_SQL}) and try_cast(e.new_value as integer) is null then 'bad_value'
+      else 'ok' end as status
+from edits e left join (select id from m) k on k.id = e.id""")
+def validate_edits(spark, sf_dir):
+    """Status of every edit in the log."""
+    return E.validate(IN.edits(spark, sf_dir), _m(spark, sf_dir))
+
+
+_PENDING_SQL = O.with_ctes(["m", "edits"], [("l", O.LAST_EDITS)]) + f"""
+, pending as (select l.id, l.field, {O.field_text('l.field')} as old_value, l.new_value, l.seq,
+   m.canvas_id, m.canvas_ssn from l join m on m.id = l.id)
+"""
+
+
+def _pending(spark, sf_dir, with_key=False):
+    return E.compact(IN.edits(spark, sf_dir), _m(spark, sf_dir), with_key=with_key)
+
+
+@query("pending_changes", _PENDING_SQL + "select id, field, old_value, new_value, seq from pending")
+def pending_changes(spark, sf_dir):
+    """First old, last new per (row, field)."""
+    return _pending(spark, sf_dir)
+
+
+@query("pending_count", _PENDING_SQL + "select count(distinct id) as pending_count from pending")
+def pending_count(spark, sf_dir):
+    """A8."""
+    return E.pending_count(_pending(spark, sf_dir))
+
+
+@query("net_changes", _PENDING_SQL +
+       "select id, field, old_value, new_value, seq from pending where old_value is distinct from new_value")
+def net_changes(spark, sf_dir):
+    """Pending changes that change something."""
+    return E.net_changes(_pending(spark, sf_dir))
+
+
+@query("edited_fields", _PENDING_SQL + "select distinct field from pending")
+def edited_fields(spark, sf_dir):
+    """A14."""
+    return E.edited_fields(_pending(spark, sf_dir))
+
+
+_OVERLAY_SQL = _PENDING_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
+
+
+@query("overlay_matches", _OVERLAY_SQL + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
+def overlay_matches(spark, sf_dir):
+    """The snapshot with every pending change applied."""
+    return E.overlay(_m(spark, sf_dir), _pending(spark, sf_dir))
+
+
+_UNDO_SQL = "with recursive " + f"actions as ({O.ACTIONS}),\n" + """
+a as (select *, row_number() over (partition by session order by seq) rn from actions),
+f as (
+  select session, 0::bigint rn, []::bigint[] u, []::bigint[] r, []::bigint[] d from (select distinct session from a)
+  union all
+  select f.session, a.rn,
+    case when a.op='do' then case when len(f.u)>=50 then list_append(f.u[2:], a.action_id) else list_append(f.u, a.action_id) end
+         when a.op='undo' and len(f.u)>0 then f.u[:len(f.u)-1]
+         when a.op='redo' and len(f.r)>0 then list_append(f.u, f.r[len(f.r)]) else f.u end,
+    case when a.op='do' then []::bigint[]
+         when a.op='undo' and len(f.u)>0 then list_append(f.r, f.u[len(f.u)])
+         when a.op='redo' and len(f.r)>0 then f.r[:len(f.r)-1] else f.r end,
+    case when a.op='do' and len(f.u)>=50 then list_append(f.d, f.u[1]) else f.d end
+  from f join a on a.session=f.session and a.rn=f.rn+1),
+fin as (select session, arg_max(u, rn) u, arg_max(d, rn) d from f group by session)
+"""
+
+
+@query("undo_stack", _UNDO_SQL + "select session, unnest(u) as action_id from fin")
+def undo_stack(spark, sf_dir):
+    """Each session's undo stack after its actions."""
+    return U.undo_stack(IN.actions(spark, sf_dir))
+
+
+@query("undo_redo_effective", _UNDO_SQL + "select session, unnest(list_concat(d, u)) as action_id from fin")
+def undo_redo_effective(spark, sf_dir):
+    """Actions in effect (undo stack + pushed off by the cap)."""
+    return U.effective(IN.actions(spark, sf_dir))
+
+
+# ---- 7. Save ---------------------------------------------------------------
+
+@query("save_by_id", _OVERLAY_SQL + f"select {O.overlay_columns()} from m join p on p.id = m.id")
+def save_by_id(spark, sf_dir):
+    """New versions of the rows with pending changes (merge on id)."""
+    return SV.save_by_id(_m(spark, sf_dir), _pending(spark, sf_dir))
+
+
+@query("save_by_key", O.with_ctes(["m", "edits"]) + f"""
+, ke as (select m.canvas_id, m.canvas_ssn, e.field, arg_max(e.new_value, e.seq) as new_value
+   from edits e join m on m.id = e.id group by m.canvas_id, m.canvas_ssn, e.field),
+p as ({O.change_pivot('ke', ['canvas_id', 'canvas_ssn'])})
+select {O.overlay_columns()} from m join p on p.canvas_id = m.canvas_id and p.canvas_ssn = m.canvas_ssn""")
+def save_by_key(spark, sf_dir):
+    """MERGE on the business key -- all rows sharing an edited key."""
+    return SV.save_by_key(_m(spark, sf_dir), IN.edits(spark, sf_dir))
+
+
+SAVED_AT = _dt.datetime(2024, 2, 1, 12, 0, 0)
+
+
+@query("audit_rows", _PENDING_SQL + """
+select canvas_id, canvas_ssn, field as field_name, old_value, new_value,
+ timestamp '2024-02-01 12:00:00' as updated_at from pending""")
+def audit_rows(spark, sf_dir):
+    """Audit rows of saving all pending changes at one time."""
+    return SV.audit_rows(_pending(spark, sf_dir, with_key=True), SAVED_AT)
+
+
+@query("audit_recent", O.with_ctes(["m", "edits"]) + f"""
+, h as (select e.seq as id, m.canvas_id, m.canvas_ssn, e.field as field_name,
+   case when lag(e.seq) over w is null then {O.field_text('e.field')} else lag(e.new_value) over w end as old_value,
+   e.new_value, e.edited_at as updated_at
+  from edits e join m on m.id = e.id window w as (partition by e.id, e.field order by e.seq))
+select * from h order by updated_at desc, id desc limit 100""")
+def audit_recent(spark, sf_dir):
+    """Newest 100 rows of the audit trail of saving each edit as made.
+
+    Only the 100 newest edits need their old value: a bounded top-k first,
+    then their predecessors by a broadcast (100-row) join to the log.
+    """
+    m = _m(spark, sf_dir)
+    ed = IN.edits(spark, sf_dir).join(m.select("id"), "id", "left_semi")
+    top = ed.orderBy(F.col("edited_at").desc(), F.col("seq").desc()).limit(S.DEFAULT_AUDIT_LIMIT)
+    t = top.select("seq", "id", "field", "new_value", "edited_at")
+    prev = (F.broadcast(t.select(F.col("seq").alias("t_seq"), F.col("id").alias("t_id"), F.col("field").alias("t_field")))
+            .join(ed, (F.col("t_id") == F.col("id")) & (F.col("t_field") == F.col("field"))
+                  & (F.col("seq") < F.col("t_seq")))
+            .groupBy("t_seq").agg(F.max_by("new_value", "seq").alias("prev_value")))
+    j = (t.join(prev, t.seq == prev.t_seq, "left")
+         .join(m.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id"))
+    old = F.when(F.col("t_seq").isNull(), E.field_text(F.col("field"))).otherwise(F.col("prev_value"))
+    return SV.recent(j.select(
+        F.col("seq").alias("id"), "canvas_id", "canvas_ssn", F.col("field").alias("field_name"),
+        old.alias("old_value"), "new_value", F.col("edited_at").alias("updated_at")))
+
+
+@query("audit_volume", O.with_ctes(["m", "edits"]) + """
+select e.field as field_name, cast(e.edited_at as date) as day, count(*) as changes
+from edits e join m on m.id = e.id group by e.field, cast(e.edited_at as date)""")
+def audit_volume(spark, sf_dir):
+    """Audit volume per field and day."""
+    m = _m(spark, sf_dir)
+    trail = IN.edits(spark, sf_dir).join(m.select("id"), "id", "left_semi").select(
+        F.col("field").alias("field_name"), F.col("edited_at").alias("updated_at"))
+    return ST.audit_volume(trail)

@@ -214,3 +214,68 @@ def text_form(c: str, t: str) -> str:
 
 def search_any(pattern: str) -> str:
     return "(" + " or ".join(regex_hit(text_form(c, t), pattern) for c, t in M_COLUMNS_TYPES) + ")"
+
+
+def qualified(cols: list[str], alias: str) -> str:
+    return ", ".join(f"{alias}.{c}" for c in cols)
+
+
+def field_text(field: str, m: str = "m") -> str:
+    """Current value of the editable field named by `field`, as text."""
+    whens = " ".join(f"when {sql_str(f)} then cast({m}.{f} as varchar)" for f in S.EDITABLE_FIELDS)
+    return f"(case {field} {whens} end)"
+
+
+def change_pivot(src: str, keys: list[str]) -> str:
+    """keys -> (v_<field>, e_<field>) for every editable field: value and presence."""
+    parts = [f"max(new_value) filter (where field = {sql_str(f)}) as v_{f}, "
+             f"coalesce(bool_or(field = {sql_str(f)}), false) as e_{f}" for f in S.EDITABLE_FIELDS]
+    k = ", ".join(keys)
+    return f"select {k}, {', '.join(parts)} from {src} group by {k}"
+
+
+def overlay_columns(m: str = "m", p: str = "p") -> str:
+    out = []
+    for c, _t in M_COLUMNS_TYPES:
+        if c in S.EDITABLE_FIELDS:
+            v = f"{p}.v_{c}"
+            if c in S.FLAG_FIELDS:
+                v = f"cast(trunc(coalesce({num(v)}, 0)) as integer)"
+            out.append(f"case when coalesce({p}.e_{c}, false) then {v} else {m}.{c} end as {c}")
+        else:
+            out.append(f"{m}.{c}")
+    return ", ".join(out)
+
+
+# Last value per (id, field) of the edit log.
+LAST_EDITS = "select id, field, max(seq) as seq, arg_max(new_value, seq) as new_value from edits group by id, field"
+
+# Parsed id list.
+ID_LIST = ("select canvas_id from (select regexp_replace(x, '^\\s+|\\s+$', '', 'g') as canvas_id "
+           "from (select unnest(regexp_split_to_array(line, '[\\r\\n,]+')) as x from id_file)) where canvas_id <> ''")
+
+
+def cells_union(pred_for, cols: list[str], src: str = "m") -> str:
+    """Unpivot of the text columns: (id, field, col_pos, value) filtered by a per-value predicate."""
+    parts = []
+    for c in cols:
+        pos = S.FIND_COLUMNS.index(c)
+        parts.append(f"select id, {sql_str(c)} as field, {pos} as col_pos, {c} as value from {src} "
+                     f"where {pred_for('' + c)}")
+    return " union all ".join(parts)
+
+
+def ci_contains(c: str, needle: str) -> str:
+    return f"coalesce(contains(upper({c}), {sql_str(needle.upper())}), false)"
+
+
+def cs_contains(c: str, needle: str) -> str:
+    return f"coalesce(contains({c}, {sql_str(needle)}), false)"
+
+
+def re2_quote(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def re2_replacement(text: str) -> str:
+    return text.replace("\\", "\\\\")

@@ -61,9 +61,22 @@ class Store:
                .agg(F.max("version").alias("v"), F.max_by("path", "version").alias("p")).first())
         return None if row is None or row.v is None else (row.v, row.p)
 
-    def _commit(self, table: str, version: int, path: str) -> None:
+    def stage(self, table: str, version: int, df: DataFrame, *, fmt: str = "parquet",
+              partition_by: list[str] | None = None) -> str:
+        """Write the data of a version; invisible until published."""
+        path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.format(fmt).save(path)
+        return path
+
+    def publish(self, entries: list[tuple[str, int, str]]) -> None:
+        """Commit staged versions: one manifest file for all entries, so a
+        multi-table save becomes visible at once."""
         now = _dt.datetime.now().replace(microsecond=0)
-        (self.spark.createDataFrame([(table, version, path, now)], MANIFEST_SCHEMA)
+        rows = [(t, v, p, now) for t, v, p in entries]
+        (self.spark.createDataFrame(rows, MANIFEST_SCHEMA)
          .coalesce(1).write.mode("append").parquet(self.manifest_path))
 
     def write_version(self, table: str, df: DataFrame, *, fmt: str = "parquet",
@@ -71,12 +84,8 @@ class Store:
         """Write ``df`` as the next version of ``table`` and publish it."""
         cur = self.latest(table)
         version = 0 if cur is None else cur[0] + 1
-        path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.format(fmt).save(path)
-        self._commit(table, version, path)
+        path = self.stage(table, version, df, fmt=fmt, partition_by=partition_by)
+        self.publish([(table, version, path)])
         return version
 
     def read(self, table: str, *, fmt: str = "parquet", version: int | None = None) -> DataFrame | None:
