@@ -9,18 +9,11 @@ from pyspark.sql import functions as F
 
 from matchdesk import schema as S
 from matchdesk.operators import edits as E
-from matchdesk.operators.joins import BROADCAST_ROW_LIMIT
 from matchdesk.sources.store import Store
 
 KEY = ["canvas_id", "canvas_ssn"]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only after a count proves the side small; otherwise the
-    join shuffles and AQE may split skewed partitions."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def save_by_id(snapshot: DataFrame, pending: DataFrame) -> DataFrame:
     """The new versions of the rows with pending changes (merge on id).
     Fields not edited on a row keep their values (Q2)."""
@@ -37,10 +30,11 @@ def key_changes(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def save_by_key(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
     """MERGE on (canvas_id, canvas_ssn): every row sharing an edited key
-    is updated. The per-key change maps are broadcast when their count is
-    small; a hot key then costs nothing extra."""
+    is updated. The change maps (one row per edited key) are joined without a
+    hint: AQE broadcasts them when their measured size is under the threshold,
+    and otherwise splits a skewed (hot-key) snapshot partition."""
     maps = E.change_maps(key_changes(edits, snapshot), KEY)
-    return E.apply_changes(snapshot.join(broadcast_if_small(maps), KEY))
+    return E.apply_changes(snapshot.join(maps, KEY))
 
 
 def unmatched_keys(pending_keyed: DataFrame, snapshot: DataFrame) -> DataFrame:

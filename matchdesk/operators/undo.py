@@ -11,8 +11,8 @@ Then, at the end: applied actions = the last action written to each
 position p < c; undo stack = those with b <= p < c.
 
 Only the cursor walk is sequential. It streams through
-`applyInPandas` in iterator form -- bounded state (three integers), batches
-of a session in seq order -- and emits one (position, seq, action) row per
+`mapInPandas` over session-partitioned, seq-sorted rows -- bounded state
+(three integers per session) -- and emits one (position, seq, action) row per
 `do` plus the final (cursor, floor). The stacks are then plain DataFrame
 aggregation and a join, so no session's actions are ever collected into one
 row or one pandas frame.
@@ -33,22 +33,27 @@ WALK_SCHEMA = ("session long, kind string, pos long, seq long, action_id long, "
 
 
 def _walk(cap: int):
+    """Cursor walk over one partition: sessions contiguous, each in seq order."""
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = top = b = 0
         session = None
+        c = top = b = 0
         last_seq = None
+        ends_s, ends_c, ends_b = [], [], []
         for pdf in batches:
             if pdf.empty:
                 continue
-            session = int(pdf["session"].iat[0])
-            seqs = pdf["seq"].to_numpy()
-            if last_seq is not None and seqs[0] < last_seq or (len(seqs) > 1 and (seqs[1:] < seqs[:-1]).any()):
-                raise RuntimeError("undo fold: actions of a session arrived out of seq order")
-            last_seq = seqs[-1]
-            out_pos, out_seq, out_aid = [], [], []
-            for op, seq, aid in zip(pdf["op"].to_numpy(), seqs, pdf["action_id"].to_numpy()):
+            out_s, out_pos, out_seq, out_aid = [], [], [], []
+            for sess, op, seq, aid in zip(pdf["session"].to_numpy(), pdf["op"].to_numpy(),
+                                          pdf["seq"].to_numpy(), pdf["action_id"].to_numpy()):
+                if sess != session:
+                    if session is not None:
+                        ends_s.append(session); ends_c.append(c); ends_b.append(b)
+                    session, c, top, b, last_seq = sess, 0, 0, 0, None
+                if last_seq is not None and seq < last_seq:
+                    raise RuntimeError("undo fold: actions of a session out of seq order")
+                last_seq = seq
                 if op == "do":
-                    out_pos.append(c); out_seq.append(seq); out_aid.append(aid)
+                    out_s.append(sess); out_pos.append(c); out_seq.append(seq); out_aid.append(aid)
                     c += 1
                     top = c
                     if c - b > cap:
@@ -59,28 +64,29 @@ def _walk(cap: int):
                 elif op == "redo":
                     if c < top:
                         c += 1
-            if out_pos:
-                n = len(out_pos)
-                yield pd.DataFrame({"session": [session] * n, "kind": ["do"] * n, "pos": out_pos,
-                                    "seq": out_seq, "action_id": out_aid,
-                                    "cursor": [None] * n, "floor": [None] * n})
+            if out_s:
+                n = len(out_s)
+                yield pd.DataFrame({"session": out_s, "kind": ["do"] * n, "pos": out_pos, "seq": out_seq,
+                                    "action_id": out_aid, "cursor": [None] * n, "floor": [None] * n})
         if session is not None:
-            yield pd.DataFrame({"session": [session], "kind": ["end"], "pos": [None], "seq": [None],
-                                "action_id": [None], "cursor": [c], "floor": [b]})
+            ends_s.append(session); ends_c.append(c); ends_b.append(b)
+            n = len(ends_s)
+            yield pd.DataFrame({"session": ends_s, "kind": ["end"] * n, "pos": [None] * n, "seq": [None] * n,
+                                "action_id": [None] * n, "cursor": ends_c, "floor": ends_b})
     return walk
 
 
 def walk(actions: DataFrame, cap: int = S.UNDO_MAX) -> DataFrame:
     """Per-`do` positions and per-session final (cursor, floor).
 
-    Rows are hash-partitioned by session and sorted by (session, seq); the
-    grouped map needs exactly that distribution and a prefix of that order,
-    so Spark adds no further exchange or sort and each group arrives in seq
-    order (checked in the fold).
+    One shuffle: rows hash-partitioned by session and sorted by (session,
+    seq) within partitions; `mapInPandas` then streams each partition in that
+    order (sessions contiguous), so a session of any length is walked with
+    constant memory and no per-group Python call.
     """
     a = actions.select("session", "seq", "op", "action_id")
     ordered = a.repartition("session").sortWithinPartitions("session", "seq")
-    return ordered.groupBy("session").applyInPandas(_walk(cap), WALK_SCHEMA)
+    return ordered.mapInPandas(_walk(cap), WALK_SCHEMA)
 
 
 def stacks(actions: DataFrame, cap: int = S.UNDO_MAX) -> DataFrame:

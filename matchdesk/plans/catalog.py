@@ -559,7 +559,7 @@ _OVERLAY_SQL = _PENDING_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
 @query("overlay_matches", _OVERLAY_SQL + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
 def overlay_matches(spark, sf_dir):
     """The snapshot with every pending change applied."""
-    return E.overlay(_m(spark, sf_dir), _pending(spark, sf_dir))
+    return E.overlay(_m(spark, sf_dir), E.last_values(IN.edits(spark, sf_dir), ["id", "field"]))
 
 
 _UNDO_SQL = "with recursive " + f"actions as ({O.ACTIONS}),\n" + """
@@ -597,7 +597,7 @@ def undo_redo_effective(spark, sf_dir):
 @query("save_by_id", _OVERLAY_SQL + f"select {O.overlay_columns()} from m join p on p.id = m.id")
 def save_by_id(spark, sf_dir):
     """New versions of the rows with pending changes (merge on id)."""
-    return SV.save_by_id(_m(spark, sf_dir), _pending(spark, sf_dir))
+    return SV.save_by_id(_m(spark, sf_dir), E.last_values(IN.edits(spark, sf_dir), ["id", "field"]))
 
 
 @query("save_by_key", O.with_ctes(["m", "edits"]) + f"""
@@ -658,3 +658,27 @@ def audit_volume(spark, sf_dir):
     trail = IN.edits(spark, sf_dir).join(m.select("id"), "id", "left_semi").select(
         F.col("field").alias("field_name"), F.col("edited_at").alias("updated_at"))
     return ST.audit_volume(trail)
+
+
+# ---- 8. Stream -------------------------------------------------------------
+
+@query("edit_feed_apply", _OVERLAY_SQL + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
+def edit_feed_apply(spark, sf_dir):
+    """ST1: the edit log replayed as a stream of files, applied batch by batch.
+
+    The log is written as 4 files whose seq ranges interleave, one file per
+    micro-batch, so later batches carry edits older than ones already applied
+    (late edits must lose). The result must equal the batch overlay.
+    """
+    import uuid
+
+    from matchdesk.session import work_root
+    from matchdesk.sources.store import Store
+    from matchdesk.streaming.edit_feed import EditFeed, run_feed
+
+    root = f"{work_root(spark)}/matchdesk/feed-{uuid.uuid4().hex[:8]}"
+    IN.edits(spark, sf_dir).repartition(4, F.col("seq") % 4).write.parquet(f"{root}/incoming")
+    feed = EditFeed(Store(spark, f"{root}/store"))
+    feed.init_base(path=IN.stored_path(spark, sf_dir, "matches"))
+    run_feed(spark, f"{root}/incoming", feed, f"{root}/_checkpoint", files_per_batch=1)
+    return feed.current()

@@ -36,6 +36,12 @@ def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str =
     return spark.read.format(fmt).load(path)
 
 
+def stored_path(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Directory of a materialized input (materializing it if needed)."""
+    {"raw_matches": raw_matches, "matches": matches, "edits": edits, "id_file": id_file}[table](spark, sf_dir)
+    return _PATHS[(spark.sparkContext.applicationId, sf_dir, table)]
+
+
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored raw match table (text scores and flags, as loaded)."""
     return _materialize(spark, sf_dir, "raw_matches",

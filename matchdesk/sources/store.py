@@ -34,32 +34,34 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._rows: list[tuple[str, int, str]] | None = None  # manifest cache (single writer)
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/_manifest"
 
-    def _manifest(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except AnalysisException:
-            return None
+    def _manifest_rows(self) -> list[tuple[str, int, str]]:
+        """Committed (table, version, path) rows. The manifest holds one small
+        row per commit; it is read once and then kept in step by `publish`
+        (single writer per store)."""
+        if self._rows is None:
+            try:
+                m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+                self._rows = [(r.table, r.version, r.path) for r in m.select("table", "version", "path").collect()]
+            except AnalysisException:
+                self._rows = []
+        return self._rows
+
+    def refresh(self) -> None:
+        self._rows = None
 
     def versions(self, table: str) -> list[tuple[int, str]]:
         """Committed (version, path) pairs of a table, oldest first."""
-        m = self._manifest()
-        if m is None:
-            return []
-        rows = m.filter(F.col("table") == table).select("version", "path").orderBy("version").collect()
-        return [(r.version, r.path) for r in rows]
+        return sorted((v, p) for t, v, p in self._manifest_rows() if t == table)
 
     def latest(self, table: str) -> tuple[int, str] | None:
-        m = self._manifest()
-        if m is None:
-            return None
-        row = (m.filter(F.col("table") == table)
-               .agg(F.max("version").alias("v"), F.max_by("path", "version").alias("p")).first())
-        return None if row is None or row.v is None else (row.v, row.p)
+        vs = self.versions(table)
+        return vs[-1] if vs else None
 
     def stage(self, table: str, version: int, df: DataFrame, *, fmt: str = "parquet",
               partition_by: list[str] | None = None) -> str:
@@ -78,6 +80,14 @@ class Store:
         rows = [(t, v, p, now) for t, v, p in entries]
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA)
          .coalesce(1).write.mode("append").parquet(self.manifest_path))
+        self._manifest_rows().extend((t, v, p) for t, v, p in entries)
+
+    def adopt(self, table: str, path: str) -> int:
+        """Publish an existing, immutable directory as the next version."""
+        cur = self.latest(table)
+        version = 0 if cur is None else cur[0] + 1
+        self.publish([(table, version, path)])
+        return version
 
     def write_version(self, table: str, df: DataFrame, *, fmt: str = "parquet",
                       partition_by: list[str] | None = None) -> int:
