@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from matchdesk.session import work_root
 
 
-def global_positions(df: DataFrame, order: list[Column], range_cols: list[str],
+def global_positions(df: DataFrame, order: list[Column], range_cols: list,
                      name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Add a 1-based position column in the total order `order`.
 

@@ -170,16 +170,29 @@ def after_key(column: str, direction: str, value, row_id: int) -> Column:
     return c.isNull() | beyond | ((c == F.lit(value)) & (i > F.lit(row_id)))
 
 
-def from_offset(df: DataFrame, start: int, sort: tuple[str, str] | None = None) -> DataFrame:
+# Above this offset the boundary row is not found by a top-k (whose per-task
+# buffer grows with the offset) but by distributed global numbering.
+TOPK_BOUNDARY_LIMIT = 100_000
+
+
+def from_offset(df: DataFrame, start: int, sort: tuple[str, str] | None = None,
+                topk_limit: int = TOPK_BOUNDARY_LIMIT) -> DataFrame:
     """O3: all rows from position `start` (page length -1).
 
-    No global OFFSET (one task): the boundary row is found by a bounded top-k
-    and the rest is a keyset filter, sorted by a range-partitioned sort.
+    No global OFFSET (one task). Up to `topk_limit` the boundary row is found
+    by a bounded top-k and the rest is a keyset filter; deeper offsets number
+    rows with range partitions + per-partition offsets. The result is sorted
+    by a range-partitioned sort.
     """
+    from matchdesk.operators.ordering import global_positions
+
     column, direction = sort or ("id", "asc")
     keys = sort_keys(column, direction)
     rest = df
-    if start > 0:
+    if start > topk_limit:
+        numbered = global_positions(df, keys, keys, name="_pos")
+        rest = numbered.filter(F.col("_pos") > F.lit(start)).drop("_pos")
+    elif start > 0:
         key_col = column if column in S.SORTABLE_COLUMNS else "id"
         boundary = df.orderBy(*keys).offset(start - 1).limit(1).select(key_col, "id").first()
         if boundary is None:

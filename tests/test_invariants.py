@@ -141,3 +141,12 @@ def test_bucket_view_partition(spark, m_mid):
     buckets = m_mid.filter(F.col("recommendation").isin(
         "NEW BA AND NEW ADDRESS", "EXISTING BA ADD NEW ADDRESS", "EXISTING BA AND EXISTING ADDRESS")).count()
     assert inside + outside == buckets
+
+
+def test_deep_offset_paths_agree(m_mid):
+    for sort in [("canvas_name", "asc"), ("name_score", "desc"), ("id", "asc")]:
+        a = V.from_offset(m_mid, 1000, sort)
+        b = V.from_offset(m_mid, 1000, sort, topk_limit=10)  # forces global numbering
+        assert a.count() == b.count() == m_mid.count() - 1000
+        assert a.exceptAll(b).count() == 0
+        assert [r.id for r in a.limit(5).collect()] == [r.id for r in b.limit(5).collect()]
