@@ -14,6 +14,12 @@ from matchdesk.sources.store import Store
 KEY = ["canvas_id", "canvas_ssn"]
 
 
+def ntz_literal(ts: _dt.datetime):
+    """A TIMESTAMP_NTZ literal that ignores the session time zone (a Python
+    datetime literal would be read as local time and shifted)."""
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def save_by_id(snapshot: DataFrame, pending: DataFrame) -> DataFrame:
     """The new versions of the rows with pending changes (merge on id).
     Fields not edited on a row keep their values (Q2)."""
@@ -48,7 +54,7 @@ def audit_rows(pending_keyed: DataFrame, saved_at: _dt.datetime) -> DataFrame:
     one save timestamp (a literal, the same for the whole save)."""
     return pending_keyed.select(
         "canvas_id", "canvas_ssn", F.col("field").alias("field_name"), "old_value", "new_value",
-        F.lit(saved_at).cast("timestamp_ntz").alias("updated_at"))
+        ntz_literal(saved_at).alias("updated_at"))
 
 
 def audit_log(pending_keyed: DataFrame, saved_at: _dt.datetime, batch: int) -> DataFrame:
@@ -57,7 +63,7 @@ def audit_log(pending_keyed: DataFrame, saved_at: _dt.datetime, batch: int) -> D
     The id is a 64-bit hash of (batch, row id, field): deterministic on
     recompute, unique within and across saves for practical purposes.
     """
-    ts = F.lit(saved_at).cast("timestamp_ntz")
+    ts = ntz_literal(saved_at)
     return pending_keyed.select(
         F.xxhash64(F.lit(batch), F.col("id"), F.col("field")).alias("id"),
         "canvas_id", "canvas_ssn", F.col("field").alias("field_name"), "old_value", "new_value",

@@ -35,6 +35,15 @@ APPLIED_SCHEMA = "id bigint, field string, seq bigint, new_value string"
 class EditFeed:
     def __init__(self, store: Store, base: str = "matches", applied: str = "applied", audit: str = "audit"):
         self.store, self.base, self.applied, self.audit = store, base, applied, audit
+        self._base_df: tuple[int, DataFrame] | None = None
+
+    def _base(self) -> DataFrame:
+        """The base version as a DataFrame, resolved once per base version
+        (file listing and footers are read once, not per micro-batch)."""
+        v = self.store.latest(self.base)[0]
+        if self._base_df is None or self._base_df[0] != v:
+            self._base_df = (v, self.store.read(self.base))
+        return self._base_df[1]
 
     def init_base(self, snapshot: DataFrame | None = None, path: str | None = None) -> None:
         """Base version 0: an existing snapshot directory is adopted as is
@@ -51,9 +60,8 @@ class EditFeed:
 
     def current(self) -> DataFrame:
         """The snapshot as of the last committed batch."""
-        base = self.store.read(self.base)
         pending = self._applied().select("id", "field", "new_value")
-        return E.overlay(base, pending)
+        return E.overlay(self._base(), pending)
 
     def done_batches(self) -> set[int]:
         return {v for v, _ in self.store.versions("feed_batch")}
@@ -61,25 +69,30 @@ class EditFeed:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id in self.done_batches():
             return  # committed before a replay
-        base = self.store.read(self.base)
+        base = self._base()
         prev = self._applied()
         newest = E.last_values(batch, ["id", "field"])
         p = prev.select("id", "field", F.col("seq").alias("a_seq"), F.col("new_value").alias("a_value"))
+        # Winners feed both writes; computed once per batch (recomputed from
+        # lineage if a cached block is lost).
         winners = (newest.join(p, ["id", "field"], "left")
-                   .filter(F.col("a_seq").isNull() | (F.col("seq") > F.col("a_seq"))))
-        keyed = winners.join(base.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id")
-        old = F.when(F.col("a_seq").isNotNull(), F.col("a_value")).otherwise(E.field_text(F.col("field")))
-        pending = keyed.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
-        w = winners.select("id", "field", "seq", "new_value")
-        applied = prev.join(w.select("id", "field"), ["id", "field"], "left_anti").unionByName(w)
-        cur = self.store.latest(self.applied)
-        version = 0 if cur is None else cur[0] + 1
-        saved_at = _dt.datetime.now().replace(microsecond=0)
-        a_path = self.store.stage(self.applied, version, applied)
-        l_path = self.store.stage(self.audit, version, SV.audit_log(pending, saved_at, version),
-                                  partition_by=["updated_date"])
-        self.store.publish([(self.applied, version, a_path), (self.audit, version, l_path),
-                            ("feed_batch", batch_id, "")])
+                   .filter(F.col("a_seq").isNull() | (F.col("seq") > F.col("a_seq")))).persist()
+        try:
+            keyed = winners.join(base.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id")
+            old = F.when(F.col("a_seq").isNotNull(), F.col("a_value")).otherwise(E.field_text(F.col("field")))
+            pending = keyed.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
+            w = winners.select("id", "field", "seq", "new_value")
+            applied = prev.join(w.select("id", "field"), ["id", "field"], "left_anti").unionByName(w)
+            cur = self.store.latest(self.applied)
+            version = 0 if cur is None else cur[0] + 1
+            saved_at = _dt.datetime.now().replace(microsecond=0)
+            a_path = self.store.stage(self.applied, version, applied)
+            l_path = self.store.stage(self.audit, version, SV.audit_log(pending, saved_at, version),
+                                      partition_by=["updated_date"])
+            self.store.publish([(self.applied, version, a_path), (self.audit, version, l_path),
+                                ("feed_batch", batch_id, "")])
+        finally:
+            winners.unpersist()
 
     def compact_base(self) -> None:
         """Fold the delta into a new base version and reset the delta."""

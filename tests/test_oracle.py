@@ -30,3 +30,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 25
     assert df.columns[0] == "id"
+
+
+@pytest.mark.parametrize("name", ["audit_rows", "audit_recent", "audit_volume", "validate_edits"])
+def test_timestamps_ignore_session_time_zone(spark, duck_small, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        r = compare(spark, SF_SMALL, name, QUERIES[name], ORACLE[name], duck_small)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["values"], r
