@@ -48,7 +48,7 @@ def sized_join(big: DataFrame, small: DataFrame, on: Column, *, big_key: str, sm
             .drop("_salt_b", "_salt_s"))
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on, *, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (EXISTS).
 
     Key lists are user input (an uploaded file, a selection) and are not

@@ -91,6 +91,18 @@ def replace_edits(df: DataFrame, needle: str, replacement: str, column: str = "a
     return out.filter(F.col("old_value") != F.col("new_value"))
 
 
+def replace_current(df: DataFrame, needle: str, replacement: str, match_no: int = 1,
+                    column: str = "all", case_sensitive: bool = False) -> DataFrame:
+    """M4: replace in one matching cell -- the `match_no`-th in find order
+    (row, then column). The cell is located by a bounded top-k on the
+    matching cells, not by numbering them all."""
+    cells = matching_cells(df, needle, column, case_sensitive)
+    cell = cells.orderBy("id", "col_pos").offset(match_no - 1).limit(1)
+    out = cell.select("id", "field", F.col("value").alias("old_value"),
+                      replaced(F.col("value"), needle, replacement, case_sensitive).alias("new_value"))
+    return out.filter(F.col("old_value") != F.col("new_value"))
+
+
 def replace_counts(edits: DataFrame) -> DataFrame:
     """Replaced cells and rows."""
     return edits.agg(F.count(F.lit(1)).alias("replaced"), F.count_distinct("id").alias("rows"))

@@ -281,8 +281,8 @@ def export_selected(spark, sf_dir):
 def json_records(spark, sf_dir):
     """One JSON record per row, NULLs kept as keys (rows-only check:
     number formatting differs between engines)."""
-    m = V.shipped(_m(spark, sf_dir))
-    return m.select("id", F.to_json(F.struct(*m.columns), {"ignoreNullFields": "false"}).alias("record"))
+    from matchdesk.sources.sinks import json_records as records
+    return records(_m(spark, sf_dir))
 
 
 # ---- 4. Stats --------------------------------------------------------------
@@ -401,6 +401,16 @@ def replace_in_view(spark, sf_dir):
     return SR.replace_edits(rows, "call", "CALL", column="memo")
 
 
+@query("replace_current_match", O.with_ctes(["m"]) + f"""
+, c as (select * from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)}) order by id, col_pos limit 1)
+select id, field, value as old_value,
+ regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g') as new_value
+from c where value <> regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g')""")
+def replace_current_match(spark, sf_dir):
+    """M4: replace in the current match only -- match 1 of the find order."""
+    return SR.replace_current(_m(spark, sf_dir), FIND_NEEDLE, REPLACE_WITH)
+
+
 @query("replace_counts", O.with_ctes(["m"]) + f"""
 select count(*) as replaced, count(distinct id) as rows from ({_cells_sql(FIND_NEEDLE, S.FIND_COLUMNS)})
 where value <> regexp_replace(value, {q('(?i)' + O.re2_quote(FIND_NEEDLE))}, {q(O.re2_replacement(REPLACE_WITH))}, 'g')""")
