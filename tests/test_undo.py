@@ -70,3 +70,28 @@ def test_walk_has_one_exchange_and_no_extra_sort(spark):
     plan = U.walk(acts)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("Sort [") == 1
+
+
+def test_hot_sessions_split_into_chunks(spark):
+    rnd = random.Random(11)
+    sessions = {}
+    for s in range(5):
+        n = [400, 900, 30, 0, 260][s]
+        ops = []
+        for i in range(n):
+            op = rnd.choices(["do", "undo", "redo"], [4, 3, 3] if s != 1 else [6, 2, 2])[0]
+            ops.append((op, s * 10000 + i if op == "do" else None))
+        sessions[s] = ops
+    df = _actions(spark, sessions)
+    kw = {"hot_limit": 100, "chunk_actions": 37}  # sessions 0, 1, 4 are hot, cut in ~10-25 chunks
+    w = U.walk(df, **kw)
+    assert w.filter("kind = 'end' and session = 1").count() > 10
+    got_stack, got_eff = {}, {}
+    for r in U.undo_stack(df, **kw).collect():
+        got_stack.setdefault(r.session, set()).add(r.action_id)
+    for r in U.effective(df, **kw).collect():
+        got_eff.setdefault(r.session, set()).add(r.action_id)
+    for s, ops in sessions.items():
+        undo, dropped = simulate(ops)
+        assert got_stack.get(s, set()) == set(undo), s
+        assert got_eff.get(s, set()) == set(undo) | set(dropped), s
