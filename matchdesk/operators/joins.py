@@ -41,7 +41,7 @@ def sized_join(big: DataFrame, small: DataFrame, on: Column, *, big_key: str, sm
             tasks = max(_parallelism(big), math.ceil(expected / ROWS_PER_TASK))
             big = big.repartition(tasks, spread_col)
         return big.join(F.broadcast(small), on, how)
-    salts = max(_parallelism(big), math.ceil(n_small / limit) * 8)
+    salts = max(_parallelism(big), math.ceil(n_small / max(limit, 1)) * 8)
     b = big.withColumn("_salt_b", F.pmod(F.xxhash64(spread_col), F.lit(salts)))
     s = small.withColumn("_salt_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (b.join(s, on & (F.col("_salt_b") == F.col("_salt_s")), how)

@@ -17,11 +17,15 @@ from matchdesk.session import work_root
 
 
 def global_positions(df: DataFrame, order: list[Column], range_cols: list,
-                     name: str = "pos", partitions: int | None = None) -> DataFrame:
+                     name: str = "pos", partitions: int | None = None,
+                     total_col: str | None = None) -> DataFrame:
     """Add a 1-based position column in the total order `order`.
 
     `range_cols` are the leading order columns used to range-partition; `order`
     must be a total order (end with a unique key) for positions to be stable.
+    The per-partition counts (one row per partition, a bounded list) are
+    collected and turned into offsets; `total_col`, if given, carries the
+    overall row count.
     """
     spark = df.sparkSession
     work_root(spark)  # make sure a checkpoint folder is set
@@ -29,10 +33,15 @@ def global_positions(df: DataFrame, order: list[Column], range_cols: list,
     ranged = (df.repartitionByRange(n, *range_cols)
               .withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    counts = sorted((r["_part"], r["_n"]) for r in
+                    ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect())
+    rows, acc = [], 0
+    for part, cnt in counts:
+        rows.append((part, acc))
+        acc += cnt
+    offsets = spark.createDataFrame(rows or [(0, 0)], "_part int, _offset long")
     within = Window.partitionBy("_part").orderBy(*order)
-    return (ranged.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_offset") + F.row_number().over(within))
-            .drop("_part", "_offset"))
+    out = (ranged.join(F.broadcast(offsets), "_part")
+           .withColumn(name, F.col("_offset") + F.row_number().over(within))
+           .drop("_part", "_offset"))
+    return out.withColumn(total_col, F.lit(acc).cast("bigint")) if total_col else out

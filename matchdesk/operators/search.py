@@ -55,10 +55,8 @@ def find_match_numbers(df: DataFrame, needle: str, column: str = "all", case_sen
     column order, with n on every row. Numbering is distributed (see
     ordering.global_positions); n is the sum of partition counts."""
     cells = matching_cells(df, needle, column, case_sensitive).select("id", "field", "col_pos")
-    numbered = global_positions(cells, [F.col("id"), F.col("col_pos")], ["id", "col_pos"], name="match_no")
-    total = numbered.agg(F.count(F.lit(1)).alias("n_matches"))
-    n = total.first()["n_matches"]
-    return numbered.withColumn("n_matches", F.lit(n).cast("bigint"))
+    return global_positions(cells, [F.col("id"), F.col("col_pos")], ["id", "col_pos"], name="match_no",
+                            total_col="n_matches")
 
 
 def find_next(numbered: DataFrame) -> DataFrame:
