@@ -61,7 +61,6 @@ from matchdesk.operators import undo as U
 from matchdesk.sources import load as L
 
 q = O.sql_str
-M_ALL = ", ".join(c for c, _ in O.M_COLUMNS_TYPES)
 
 
 def _m(spark, sf_dir):
