@@ -34,34 +34,46 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._rows: list[tuple[str, int, str]] | None = None  # manifest cache (single writer)
+        self._latest: dict[str, tuple[int, str] | None] = {}  # per-table cache (single writer)
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/_manifest"
 
-    def _manifest_rows(self) -> list[tuple[str, int, str]]:
-        """Committed (table, version, path) rows. The manifest holds one small
-        row per commit; it is read once and then kept in step by `publish`
-        (single writer per store)."""
-        if self._rows is None:
-            try:
-                m = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-                self._rows = [(r.table, r.version, r.path) for r in m.select("table", "version", "path").collect()]
-            except AnalysisException:
-                self._rows = []
-        return self._rows
+    def _manifest(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+        except AnalysisException:
+            return None
 
     def refresh(self) -> None:
-        self._rows = None
+        """Forget cached pointers (another writer may have committed)."""
+        self._latest.clear()
 
     def versions(self, table: str) -> list[tuple[int, str]]:
-        """Committed (version, path) pairs of a table, oldest first."""
-        return sorted((v, p) for t, v, p in self._manifest_rows() if t == table)
+        """Committed (version, path) pairs of one table, oldest first -- the
+        folders a reader of that table must scan."""
+        m = self._manifest()
+        if m is None:
+            return []
+        rows = m.filter(F.col("table") == table).select("version", "path").orderBy("version").collect()
+        return [(r.version, r.path) for r in rows]
+
+    def has(self, table: str, version: int) -> bool:
+        """Whether (table, version) is committed: a filtered probe, not a scan to the driver."""
+        m = self._manifest()
+        return m is not None and m.filter((F.col("table") == table) & (F.col("version") == version)).limit(1).count() > 0
 
     def latest(self, table: str) -> tuple[int, str] | None:
-        vs = self.versions(table)
-        return vs[-1] if vs else None
+        """Newest committed version of a table: one aggregate row, cached and
+        kept current by `publish`."""
+        if table not in self._latest:
+            m = self._manifest()
+            row = None if m is None else (
+                m.filter(F.col("table") == table)
+                .agg(F.max("version").alias("v"), F.max_by("path", "version").alias("p")).first())
+            self._latest[table] = None if row is None or row.v is None else (row.v, row.p)
+        return self._latest[table]
 
     def stage(self, table: str, version: int, df: DataFrame, *, fmt: str = "parquet",
               partition_by: list[str] | None = None) -> str:
@@ -80,7 +92,10 @@ class Store:
         rows = [(t, v, p, now) for t, v, p in entries]
         (self.spark.createDataFrame(rows, MANIFEST_SCHEMA)
          .coalesce(1).write.mode("append").parquet(self.manifest_path))
-        self._manifest_rows().extend((t, v, p) for t, v, p in entries)
+        for t, v, p in entries:
+            cur = self._latest.get(t)
+            if t in self._latest and (cur is None or v >= cur[0]):
+                self._latest[t] = (v, p)
 
     def adopt(self, table: str, path: str) -> int:
         """Publish an existing, immutable directory as the next version."""

@@ -63,11 +63,11 @@ class EditFeed:
         pending = self._applied().select("id", "field", "new_value")
         return E.overlay(self._base(), pending)
 
-    def done_batches(self) -> set[int]:
-        return {v for v, _ in self.store.versions("feed_batch")}
+    def done(self, batch_id: int) -> bool:
+        return self.store.has("feed_batch", batch_id)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self.done_batches():
+        if self.done(batch_id):
             return  # committed before a replay
         base = self._base()
         prev = self._applied()
