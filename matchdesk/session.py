@@ -51,3 +51,11 @@ def work_root(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="matchdesk-", dir=os.environ.get("MATCHDESK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The configured shared folder itself (``spark.checkpoint.dir``), for
+    tables reused across applications; the per-application work folder when
+    nothing is configured (local tests)."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return configured.rstrip("/") if configured else work_root(spark)

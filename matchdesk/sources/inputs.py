@@ -8,15 +8,34 @@ these stored tables, so filters and column pruning reach Parquet.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchdesk import schema as _schema
+from matchdesk.functions import exprs as _exprs
+from matchdesk.operators import joins as _joins
+from matchdesk.session import shared_root
 from matchdesk.sources import fixtures as FX
+from matchdesk.sources import load as _load
+from matchdesk.sources import tables as _tables
 from matchdesk.sources.load import normalize
 from matchdesk.sources.store import store_for
 
+def _fingerprint() -> str:
+    """Hash of the code that decides what the stored inputs contain. Stored
+    inputs live in the shared folder and are reused across applications only
+    while this code is unchanged."""
+    import sys
+    h = hashlib.sha1()
+    for mod in (_schema, _exprs, _joins, FX, _load, _tables, sys.modules[__name__]):
+        h.update(inspect.getsource(mod).encode())
+    return h.hexdigest()[:12]
+
+
 _LOCK = threading.RLock()
 _PATHS: dict[tuple[str, str, str], str] = {}
 
@@ -26,7 +45,7 @@ def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str =
     with _LOCK:
         path = _PATHS.get(key)
         if path is None:
-            st = store_for(spark, "inputs:" + sf_dir)
+            st = store_for(spark, f"inputs:{sf_dir}:{_fingerprint()}", root=shared_root(spark))
             cur = st.latest(table)
             if cur is None:
                 st.write_version(table, build(), fmt=fmt)

@@ -144,11 +144,11 @@ def _slug(text: str) -> str:
 _STORES: dict[tuple[str, str], Store] = {}
 
 
-def store_for(spark: SparkSession, key: str) -> Store:
-    """Store for one input directory, under the session's shared work folder."""
+def store_for(spark: SparkSession, key: str, root: str | None = None) -> Store:
+    """Store for one key, under `root` (default: the session's work folder)."""
     app = spark.sparkContext.applicationId
     s = _STORES.get((app, key))
     if s is None:
-        s = Store(spark, f"{work_root(spark)}/matchdesk/{_slug(key)}")
+        s = Store(spark, f"{root or work_root(spark)}/matchdesk/{_slug(key)}")
         _STORES[(app, key)] = s
     return s
