@@ -10,9 +10,10 @@ Edits arrive as Parquet files in a folder. Each micro-batch:
    manifest append. A re-run of a committed batch id is skipped, which makes
    the sink idempotent under replay.
 
-The current snapshot is the base version overlaid with `applied` (J6); a
-base rewrite is needed only when the delta grows large (`compact_base`).
-Only the delta is rewritten per batch, never the match table itself.
+The current snapshot is the base version overlaid with `applied` (J6). Only
+the delta is rewritten per batch, never the match table; when the delta
+passes `compact_rows` it is folded into a new base version (`compact_base`),
+so per-batch work stays bounded by the delta.
 """
 
 from __future__ import annotations
@@ -30,11 +31,19 @@ from matchdesk.sources.store import Store
 
 FEED_SCHEMA = T.StructType([T.StructField(f.name, f.dataType, True) for f in S.EDITS_SCHEMA.fields])
 APPLIED_SCHEMA = "id bigint, field string, seq bigint, new_value string"
+SEQS = "_seqs"  # base column after a compaction: field -> last applied seq
+
+
+# The delta is folded into a new base version once it holds this many rows,
+# so per-batch work stays bounded by the delta, not the edit history.
+COMPACT_DELTA_ROWS = 50_000_000
 
 
 class EditFeed:
-    def __init__(self, store: Store, base: str = "matches", applied: str = "applied", audit: str = "audit"):
+    def __init__(self, store: Store, base: str = "matches", applied: str = "applied", audit: str = "audit",
+                 compact_rows: int = COMPACT_DELTA_ROWS):
         self.store, self.base, self.applied, self.audit = store, base, applied, audit
+        self.compact_rows = compact_rows
         self._base_df: tuple[int, DataFrame] | None = None
 
     def _base(self) -> DataFrame:
@@ -61,26 +70,28 @@ class EditFeed:
     def current(self) -> DataFrame:
         """The snapshot as of the last committed batch."""
         pending = self._applied().select("id", "field", "new_value")
-        return E.overlay(self._base(), pending)
-
-    def done(self, batch_id: int) -> bool:
-        return self.store.has("feed_batch", batch_id)
+        out = E.overlay(self._base(), pending)
+        return out.drop(SEQS) if SEQS in out.columns else out
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        if self.done(batch_id):
+        if self.store.has("feed_batch", batch_id):
             return  # committed before a replay
         base = self._base()
         prev = self._applied()
         newest = E.last_values(batch, ["id", "field"])
         p = prev.select("id", "field", F.col("seq").alias("a_seq"), F.col("new_value").alias("a_value"))
+        keep = ["id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS] + ([SEQS] if SEQS in base.columns else [])
+        # The last applied seq of a (row, field): the delta's, else the one the
+        # base recorded when a delta was folded into it.
+        base_seq = F.col(SEQS)[F.col("field")] if SEQS in base.columns else F.lit(None).cast("bigint")
+        applied_seq = F.coalesce(F.col("a_seq"), base_seq)
         # Winners feed both writes; computed once per batch (recomputed from
         # lineage if a cached block is lost).
-        winners = (newest.join(p, ["id", "field"], "left")
-                   .filter(F.col("a_seq").isNull() | (F.col("seq") > F.col("a_seq")))).persist()
+        winners = (newest.join(p, ["id", "field"], "left").join(base.select(*keep), "id")
+                   .filter(applied_seq.isNull() | (F.col("seq") > applied_seq))).persist()
         try:
-            keyed = winners.join(base.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id")
             old = F.when(F.col("a_seq").isNotNull(), F.col("a_value")).otherwise(E.field_text(F.col("field")))
-            pending = keyed.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
+            pending = winners.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
             w = winners.select("id", "field", "seq", "new_value")
             applied = prev.join(w.select("id", "field"), ["id", "field"], "left_anti").unionByName(w)
             cur = self.store.latest(self.applied)
@@ -93,16 +104,31 @@ class EditFeed:
                                 ("feed_batch", batch_id, "")])
         finally:
             winners.unpersist()
+        if self.store.read(self.applied).count() > self.compact_rows:
+            self.compact_base()
 
     def compact_base(self) -> None:
-        """Fold the delta into a new base version and reset the delta."""
-        snap = self.current()
+        """Fold the delta into a new base version and reset the delta. The
+        base keeps, per row, the seq of every folded field (`_seqs`), so later
+        batches still let a late edit lose."""
+        base, delta = self._base(), self._applied()
+        seqs = delta.groupBy("id").agg(
+            F.map_from_entries(F.collect_list(F.struct("field", "seq"))).alias("_new_seqs"))
+        merged = E.overlay(base, delta.select("id", "field", "new_value")).join(seqs, "id", "left")
+        empty = F.create_map().cast("map<string,bigint>")
+        new = F.coalesce(F.col("_new_seqs"), empty)
+        if SEQS in base.columns:
+            kept = F.map_filter(F.coalesce(F.col(SEQS), empty), lambda k, v: ~F.map_contains_key(new, k))
+            combined = F.map_concat(kept, new)
+        else:
+            combined = new
+        snap = merged.withColumn(SEQS, combined).drop("_new_seqs")
         cur = self.store.latest(self.base)[0]
         a = self.store.latest(self.applied)
         b_path = self.store.stage(self.base, cur + 1, snap)
-        empty = self.store.spark.createDataFrame([], APPLIED_SCHEMA)
-        e_path = self.store.stage(self.applied, (a[0] + 1) if a else 0, empty)
-        self.store.publish([(self.base, cur + 1, b_path), (self.applied, (a[0] + 1) if a else 0, e_path)])
+        e_version = (a[0] + 1) if a else 0
+        e_path = self.store.stage(self.applied, e_version, self.store.spark.createDataFrame([], APPLIED_SCHEMA))
+        self.store.publish([(self.base, cur + 1, b_path), (self.applied, e_version, e_path)])
 
 
 def run_feed(spark: SparkSession, source_dir: str, feed: EditFeed, checkpoint: str,

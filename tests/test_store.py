@@ -74,3 +74,39 @@ def test_stream_equals_batch_overlay(spark):
     got = feed.current()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert len(feed.store.versions("feed_batch")) >= 2
+
+
+def test_feed_compacts_delta_into_base(spark):
+    from matchdesk.operators import edits as E
+    root = tempfile.mkdtemp(prefix="matchdesk-feed-", dir="/tmp")
+    ed = IN.edits(spark, SF_SMALL)
+    feed = EditFeed(Store(spark, f"{root}/store"), compact_rows=10)
+    feed.init_base(path=IN.stored_path(spark, SF_SMALL, "matches"))
+    feed.process(ed.filter(F.col("seq") % 2 == 0), 0)
+    feed.process(ed.filter(F.col("seq") % 2 == 1), 1)
+    assert feed.store.latest("matches")[0] == 2  # compacted after each batch
+    assert feed.store.read("applied").count() == 0
+    m = IN.matches(spark, SF_SMALL)
+    want = E.overlay(m, E.last_values(ed, ["id", "field"]))
+    got = feed.current()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_late_edit_loses_after_compaction(spark):
+    root = tempfile.mkdtemp(prefix="matchdesk-feed-", dir="/tmp")
+    m = IN.matches(spark, SF_SMALL)
+    rid = m.select("id").orderBy("id").first().id
+    schema = "seq long, id long, field string, new_value string, edited_at timestamp_ntz"
+    ts = dt.datetime(2024, 1, 1)
+    b0 = spark.createDataFrame([(20, rid, "memo", "newer", ts)], schema)
+    b1 = spark.createDataFrame([(11, rid, "memo", "older", ts), (12, rid, "address_reason", "r", ts)], schema)
+    feed = EditFeed(Store(spark, f"{root}/store"), compact_rows=0)  # compact after every batch
+    feed.init_base(path=IN.stored_path(spark, SF_SMALL, "matches"))
+    feed.process(b0, 0)
+    feed.process(b1, 1)
+    row = feed.current().filter(F.col("id") == rid).first()
+    assert row.memo == "newer" and row.address_reason == "r"
+    assert "_seqs" not in feed.current().columns
+    b2 = spark.createDataFrame([(30, rid, "memo", "newest", ts)], schema)
+    feed.process(b2, 2)
+    assert feed.current().filter(F.col("id") == rid).first().memo == "newest"
