@@ -132,14 +132,20 @@ class EditFeed:
 
 
 def run_feed(spark: SparkSession, source_dir: str, feed: EditFeed, checkpoint: str,
-             files_per_batch: int | None = None):
-    """Start the stream over `source_dir` and process what is there (availableNow)."""
+             files_per_batch: int | None = None, processing_time: str | None = None):
+    """Start the stream over `source_dir`.
+
+    Default: process what is there and stop (`availableNow`). With
+    `processing_time` (e.g. "30 seconds") the query keeps running and is
+    returned to the caller, who stops it.
+    """
     reader = spark.readStream.schema(FEED_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(source_dir)
-    q = (stream.writeStream.foreachBatch(feed.process)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    writer = (reader.parquet(source_dir).writeStream.foreachBatch(feed.process)
+              .option("checkpointLocation", checkpoint))
+    if processing_time:
+        return writer.trigger(processingTime=processing_time).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
