@@ -110,3 +110,18 @@ def test_late_edit_loses_after_compaction(spark):
     b2 = spark.createDataFrame([(30, rid, "memo", "newest", ts)], schema)
     feed.process(b2, 2)
     assert feed.current().filter(F.col("id") == rid).first().memo == "newest"
+
+
+def test_feed_with_processing_time_trigger(spark):
+    root = tempfile.mkdtemp(prefix="matchdesk-feed-", dir="/tmp")
+    ed = IN.edits(spark, SF_SMALL)
+    ed.write.parquet(f"{root}/in")
+    feed = EditFeed(Store(spark, f"{root}/store"))
+    feed.init_base(path=IN.stored_path(spark, SF_SMALL, "matches"))
+    q = run_feed(spark, f"{root}/in", feed, f"{root}/ckpt", processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert len(feed.store.versions("feed_batch")) >= 1
+    assert feed.current().count() == IN.matches(spark, SF_SMALL).count()
