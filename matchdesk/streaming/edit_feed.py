@@ -45,6 +45,7 @@ class EditFeed:
         self.store, self.base, self.applied, self.audit = store, base, applied, audit
         self.compact_rows = compact_rows
         self._base_df: tuple[int, DataFrame] | None = None
+        self._delta_rows: int | None = None  # upper bound on the delta's rows
 
     def _base(self) -> DataFrame:
         """The base version as a DataFrame, resolved once per base version
@@ -74,8 +75,9 @@ class EditFeed:
         return out.drop(SEQS) if SEQS in out.columns else out
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        if self.store.has("feed_batch", batch_id):
-            return  # committed before a replay
+        done = self.store.latest("feed_batch")
+        if done is not None and batch_id <= done[0]:
+            return  # micro-batch ids only grow: this one was committed before a replay
         base = self._base()
         prev = self._applied()
         newest = E.last_values(batch, ["id", "field"])
@@ -90,6 +92,9 @@ class EditFeed:
         winners = (newest.join(p, ["id", "field"], "left").join(base.select(*keep), "id")
                    .filter(applied_seq.isNull() | (F.col("seq") > applied_seq))).persist()
         try:
+            if self._delta_rows is None:
+                self._delta_rows = prev.count()
+            n_winners = winners.count()  # materializes the cached winners once
             old = F.when(F.col("a_seq").isNotNull(), F.col("a_value")).otherwise(E.field_text(F.col("field")))
             pending = winners.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
             w = winners.select("id", "field", "seq", "new_value")
@@ -104,7 +109,8 @@ class EditFeed:
                                 ("feed_batch", batch_id, "")])
         finally:
             winners.unpersist()
-        if self.store.read(self.applied).count() > self.compact_rows:
+        self._delta_rows += n_winners
+        if self._delta_rows > self.compact_rows:
             self.compact_base()
 
     def compact_base(self) -> None:
@@ -129,6 +135,7 @@ class EditFeed:
         e_version = (a[0] + 1) if a else 0
         e_path = self.store.stage(self.applied, e_version, self.store.spark.createDataFrame([], APPLIED_SCHEMA))
         self.store.publish([(self.base, cur + 1, b_path), (self.applied, e_version, e_path)])
+        self._delta_rows = 0
 
 
 def run_feed(spark: SparkSession, source_dir: str, feed: EditFeed, checkpoint: str,
