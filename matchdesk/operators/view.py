@@ -282,6 +282,16 @@ def review_flags(df: DataFrame) -> DataFrame:
     )
 
 
+def visible_columns(toggles: dict[str, bool] | None = None, all_on: bool | None = None) -> list[str]:
+    """Grid column ids shown -- defaults, or all on/off, then per-column toggles."""
+    shown = {cid: (v if all_on is None else all_on) for cid, _, v in S.GRID_COLUMNS}
+    for cid, on in (toggles or {}).items():
+        if cid not in shown:
+            raise ValueError(f"unknown column {cid}")
+        shown[cid] = on
+    return [cid for cid, _, _ in S.GRID_COLUMNS if shown[cid]]
+
+
 def export_columns(df: DataFrame, visible: list[str] | None = None) -> DataFrame:
     """The visible grid columns under their header labels, as text."""
     labels = {cid: label for cid, label, _ in S.GRID_COLUMNS}

@@ -52,3 +52,14 @@ def test_replace_current_is_first_match(spark, m_mid):
     first = SR.find_match_numbers(m_mid, "a.b").filter("match_no = 1").first()
     one = SR.replace_current(m_mid, "a.b", "X").collect()
     assert len(one) == 1 and (one[0].id, one[0].field) == (first.id, first.field)
+
+
+def test_visible_columns_toggles(spark, m_small):
+    from matchdesk.operators import view as V
+    default = V.visible_columns()
+    assert default[0] == "ssn_match" and "memo" not in default
+    assert V.visible_columns(all_on=False) == []
+    cols = V.visible_columns({"memo": True, "ssn_match": False})
+    assert "memo" in cols and "ssn_match" not in cols
+    out = V.export_columns(m_small, V.visible_columns(all_on=True))
+    assert len(out.columns) == len(S.GRID_COLUMNS) and "UID" in out.columns
