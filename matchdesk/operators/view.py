@@ -296,6 +296,8 @@ def export_columns(df: DataFrame, visible: list[str] | None = None) -> DataFrame
     """The visible grid columns under their header labels, as text."""
     labels = {cid: label for cid, label, _ in S.GRID_COLUMNS}
     cols = visible if visible is not None else [cid for cid, _, v in S.GRID_COLUMNS if v]
+    derived = {"canvas_csz", "dec_csz"}
+    cols = [c for c in cols if c in derived or c in df.columns]  # optional columns may be absent
     return df.select(*[F.coalesce(display_value(c), F.lit("")).alias(labels[c]) for c in cols])
 
 
