@@ -149,8 +149,15 @@ def sort_keys(column: str | None, direction: str = "asc") -> list[Column]:
 
 
 def page(df: DataFrame, start: int = 0, length: int = S.DEFAULT_PAGE_LENGTH,
-         sort: tuple[str, str] | None = None) -> DataFrame:
-    """O2: one page -> TakeOrderedAndProject(limit=start+length, offset=start)."""
+         sort: tuple[str, str] | None = None, topk_limit: int | None = None) -> DataFrame:
+    """O2: one page -> TakeOrderedAndProject(limit=start+length, offset=start).
+
+    A top-k buffers start+length rows per task, so past `topk_limit` the page
+    is the first `length` rows after a distributed boundary (`from_offset`).
+    """
+    limit = TOPK_BOUNDARY_LIMIT if topk_limit is None else topk_limit
+    if start > limit:
+        return from_offset(df, start, sort, topk_limit=limit).limit(length)
     column, direction = sort or ("id", "asc")
     ordered = df.orderBy(*sort_keys(column, direction))
     if start:

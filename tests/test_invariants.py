@@ -150,3 +150,10 @@ def test_deep_offset_paths_agree(m_mid):
         assert a.count() == b.count() == m_mid.count() - 1000
         assert a.exceptAll(b).count() == 0
         assert [r.id for r in a.limit(5).collect()] == [r.id for r in b.limit(5).collect()]
+
+
+def test_deep_page_paths_agree(m_mid):
+    for sort in [("name_score", "desc"), ("canvas_name", "asc")]:
+        a = [r.id for r in V.page(m_mid, 1234, 25, sort).collect()]
+        b = [r.id for r in V.page(m_mid, 1234, 25, sort, topk_limit=10).collect()]
+        assert a == b and len(a) == 25
