@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchdesk import schema as S
 from matchdesk.functions import exprs as X
-from matchdesk.operators.joins import semi_join, anti_join
+from matchdesk.operators.joins import semi_join, anti_join, small_side
 
 
 def field_text(field: Column) -> Column:
@@ -118,9 +118,15 @@ def apply_changes(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def overlay(snapshot: DataFrame, pending: DataFrame) -> DataFrame:
-    """The snapshot with pending changes applied (a NULL new value survives)."""
-    return apply_changes(snapshot.join(change_maps(pending, ["id"]), "id", "left"))
+def overlay(snapshot: DataFrame, pending: DataFrame, bound: int | None = None) -> DataFrame:
+    """The snapshot with pending changes applied (a NULL new value survives).
+
+    The per-row change maps are broadcast when their row count is proven
+    small (`bound`: e.g. the edit log's row count), so the snapshot is
+    scanned once and not shuffled."""
+    maps = change_maps(pending, ["id"])
+    return apply_changes(snapshot.join(small_side(maps, bound if bound is not None else pending.count()),
+                                       "id", "left"))
 
 
 # ---- change producers ------------------------------------------------------

@@ -61,3 +61,22 @@ def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
 def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys`` (NOT EXISTS)."""
     return df.join(keys, on, "left_anti")
+
+
+# Change maps (one row per edited row or key, at most 12 fields each) are
+# broadcast below this many rows.
+MAP_BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, bound: int | None = None, limit: int = MAP_BROADCAST_ROWS) -> DataFrame:
+    """A join side broadcast only when its row count is proven small.
+
+    `bound` is an upper bound on the side's rows known from its input (e.g.
+    change maps have at most one row per edit, so the edit log's row count
+    bounds them); without one the side is counted. Left to AQE, both join
+    inputs would be shuffled before the small one is measured, so the big
+    side -- the whole snapshot -- would be shuffled for nothing. Above the
+    limit the plain shuffle join is kept (AQE still splits skew).
+    """
+    n = df.count() if bound is None else bound
+    return F.broadcast(df) if n <= limit else df

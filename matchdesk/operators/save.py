@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchdesk import schema as S
 from matchdesk.operators import edits as E
+from matchdesk.operators.joins import small_side
 from matchdesk.sources.store import Store
 
 KEY = ["canvas_id", "canvas_ssn"]
@@ -20,10 +21,10 @@ def ntz_literal(ts: _dt.datetime):
     return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def save_by_id(snapshot: DataFrame, pending: DataFrame) -> DataFrame:
+def save_by_id(snapshot: DataFrame, pending: DataFrame, bound: int | None = None) -> DataFrame:
     """The new versions of the rows with pending changes (merge on id).
     Fields not edited on a row keep their values (Q2)."""
-    maps = E.change_maps(pending, ["id"])
+    maps = small_side(E.change_maps(pending, ["id"]), bound if bound is not None else pending.count())
     return E.apply_changes(snapshot.join(maps, "id"))
 
 
@@ -34,12 +35,15 @@ def key_changes(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
     return E.last_values(keyed, [*KEY, "field"])
 
 
-def save_by_key(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
+def save_by_key(snapshot: DataFrame, edits: DataFrame, bound: int | None = None) -> DataFrame:
     """MERGE on (canvas_id, canvas_ssn): every row sharing an edited key
-    is updated. The change maps (one row per edited key) are joined without a
-    hint: AQE broadcasts them when their measured size is under the threshold,
-    and otherwise splits a skewed (hot-key) snapshot partition."""
-    maps = E.change_maps(key_changes(edits, snapshot), KEY)
+    is updated. The change maps (one row per edited key) are broadcast when
+    their count is small -- a hot key then costs nothing extra and the
+    snapshot is not shuffled; otherwise the shuffle join stands and AQE splits
+    a skewed (hot-key) snapshot partition."""
+    # one map per edited key: at most one per edit
+    maps = small_side(E.change_maps(key_changes(edits, snapshot), KEY),
+                      bound if bound is not None else edits.count())
     return E.apply_changes(snapshot.join(maps, KEY))
 
 

@@ -568,7 +568,8 @@ _OVERLAY_SQL = _PENDING_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
 @query("overlay_matches", _OVERLAY_SQL + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
 def overlay_matches(spark, sf_dir):
     """The snapshot with every pending change applied."""
-    return E.overlay(_m(spark, sf_dir), E.last_values(IN.edits(spark, sf_dir), ["id", "field"]))
+    ed = IN.edits(spark, sf_dir)
+    return E.overlay(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), bound=ed.count())
 
 
 _UNDO_SQL = "with recursive " + f"actions as ({O.ACTIONS}),\n" + """
@@ -606,7 +607,8 @@ def undo_redo_effective(spark, sf_dir):
 @query("save_by_id", _OVERLAY_SQL + f"select {O.overlay_columns()} from m join p on p.id = m.id")
 def save_by_id(spark, sf_dir):
     """New versions of the rows with pending changes (merge on id)."""
-    return SV.save_by_id(_m(spark, sf_dir), E.last_values(IN.edits(spark, sf_dir), ["id", "field"]))
+    ed = IN.edits(spark, sf_dir)
+    return SV.save_by_id(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), bound=ed.count())
 
 
 @query("save_by_key", O.with_ctes(["m", "edits"]) + f"""
