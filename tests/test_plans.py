@@ -47,3 +47,11 @@ def test_no_single_partition_numbering(spark):
 def test_search_stays_in_codegen(spark):
     p = plan(V.view(IN.matches(spark, SF_MID), V.ViewFilter(search="a")))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_merges_do_not_shuffle_the_snapshot(spark):
+    for q in (C.save_by_key, C.overlay_matches, C.save_by_id):
+        df = q(spark, SF_MID)
+        df.collect()  # final adaptive plan
+        p = plan(df)
+        assert "SortMergeJoin" not in p, q.__name__
