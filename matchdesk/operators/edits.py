@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchdesk import schema as S
 from matchdesk.functions import exprs as X
-from matchdesk.operators.joins import semi_join, anti_join, small_side
+from matchdesk.operators.joins import anti_join, known_keys, semi_join, small_side
 
 
 def field_text(field: Column) -> Column:
@@ -33,8 +33,9 @@ def validate(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
 
     Flags must be integers. The id check is a left join to the snapshot ids.
     """
-    known = snapshot.select("id", F.lit(True).alias("_known"))
-    e = edits.join(known, "id", "left")
+    n = edits.count()
+    known = known_keys(edits, snapshot, "id", bound=n).withColumn("_known", F.lit(True))
+    e = edits.join(small_side(known, n), "id", "left")
     is_flag = F.col("field").isin(*S.FLAG_FIELDS)
     status = (F.when(~F.col("field").isin(*S.EDITABLE_FIELDS), F.lit("unknown_field"))
               .when(F.col("_known").isNull(), F.lit("unknown_id"))
@@ -63,7 +64,7 @@ def compact(edits: DataFrame, snapshot: DataFrame, with_key: bool = False) -> Da
     last = last_values(edits, ["id", "field"])
     cols = ["id", *S.EDITABLE_FIELDS] + (["canvas_id", "canvas_ssn"] if with_key else [])
     snap = snapshot.select(*cols)
-    j = last.join(snap, "id")
+    j = small_side(last, edits.count()).join(snap, "id")  # at most one row per edit
     out = [F.col("id"), F.col("field"), field_text(F.col("field")).alias("old_value"),
            F.col("new_value"), F.col("seq")]
     if with_key:
@@ -143,7 +144,9 @@ def bulk_set(snapshot: DataFrame, ids: DataFrame, field: str = "recommendation",
 
 def rejects(ids: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Requested ids that are not in the table."""
-    return anti_join(ids.select("id").distinct(), snapshot.select("id"), "id")
+    req = ids.select("id").distinct()
+    n = req.count()
+    return anti_join(req, small_side(known_keys(req, snapshot, "id", bound=n), n), "id")
 
 
 def import_flag(snapshot: DataFrame, id_list: DataFrame, field: str = "jib") -> DataFrame:
@@ -189,7 +192,7 @@ def form_edits(forms: DataFrame, snapshot: DataFrame) -> DataFrame:
     values; `stack` turns each form into 8 edits.
     """
     f = forms.select("id", *[F.col(c).alias("_new_" + c) for c in FORM_FIELDS])
-    j = f.join(snapshot.select("id", *FORM_FIELDS), "id")
+    j = small_side(f).join(snapshot.select("id", *FORM_FIELDS), "id")
     pairs = ", ".join(f"'{c}', {c}, _new_{c}" for c in FORM_FIELDS)
     return j.selectExpr("id", f"stack({len(FORM_FIELDS)}, {pairs}) as (field, old_value, new_value)")
 

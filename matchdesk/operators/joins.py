@@ -48,14 +48,15 @@ def sized_join(big: DataFrame, small: DataFrame, on: Column, *, big_key: str, sm
             .drop("_salt_b", "_salt_s"))
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
+def semi_join(df: DataFrame, keys: DataFrame, on, bound: int | None = None) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (EXISTS).
 
-    Key lists are user input (an uploaded file, a selection) and are not
-    bounded, so no broadcast hint is forced: AQE turns the shuffle join into a
-    broadcast at runtime when the distinct key side turns out small.
+    Key lists are user input (an uploaded file, a selection) with no size
+    known in advance: they are counted (or bounded by their source) and
+    broadcast only when small, so the big side is never shuffled for a short
+    list; a long list keeps the shuffle join.
     """
-    return df.join(keys, on, "left_semi")
+    return df.join(small_side(keys, bound), on, "left_semi")
 
 
 def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
@@ -63,6 +64,13 @@ def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
+def known_keys(requested: DataFrame, table: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """The requested keys that exist in a big table, without shuffling it:
+    the table's key column is semi-joined to the broadcast request list."""
+    req = requested.select(key).distinct()
+    return semi_join(table.select(key), req, key, bound)
+
+
 # Change maps (one row per edited row or key, at most 12 fields each) are
 # broadcast below this many rows.
 MAP_BROADCAST_ROWS = 1_000_000

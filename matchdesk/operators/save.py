@@ -86,7 +86,8 @@ def commit_save(store: Store, edits: DataFrame, saved_at: _dt.datetime | None =
     cur = store.latest(table)[0]
     pending = E.compact(edits, snapshot, with_key=True).persist()
     try:
-        new_snapshot = E.apply_changes(snapshot.join(E.change_maps(pending, ["id"]), "id", "left"))
+        maps = small_side(E.change_maps(pending, ["id"]), pending.count())
+        new_snapshot = E.apply_changes(snapshot.join(maps, "id", "left"))
         version = cur + 1
         snap_path = store.stage(table, version, new_snapshot)
         audit = audit_log(pending, saved_at, version)

@@ -58,6 +58,7 @@ from matchdesk.operators import save as SV
 from matchdesk.operators import search as SR
 from matchdesk.operators import stats as ST
 from matchdesk.operators import undo as U
+from matchdesk.operators.joins import semi_join
 from matchdesk.sources import load as L
 
 q = O.sql_str
@@ -207,7 +208,8 @@ select id, {O.code_label('canvas_id', 'canvas_addrseq')} as canvas_id_label, can
 def record_lookup(spark, sf_dir):
     """P20: the record form of every row someone opened for editing."""
     m = _m(spark, sf_dir)
-    return V.record_form(m.join(IN.edits(spark, sf_dir).select("id").distinct(), "id", "left_semi"))
+    ed = IN.edits(spark, sf_dir)
+    return V.record_form(semi_join(m, ed.select("id").distinct(), "id", bound=ed.count()))
 
 
 @query("domain_order", O.with_ctes(["m"]) + f"""
@@ -273,7 +275,7 @@ def export_view(spark, sf_dir):
 def export_selected(spark, sf_dir):
     """Export of the selected rows."""
     m = _m(spark, sf_dir)
-    return V.export_columns(m.join(IN.selection(spark, sf_dir), "id", "left_semi"))
+    return V.export_columns(semi_join(m, IN.selection(spark, sf_dir), "id"))
 
 
 @query("json_records")
@@ -440,8 +442,11 @@ select count(*) as requested, count(m.id) as updated, count(*) - count(m.id) as
 from selection s left join m on m.id = s.id""")
 def bulk_counts(spark, sf_dir):
     """Requested, updated and rejected counts of a bulk approve (one pass)."""
-    known = _m(spark, sf_dir).select("id", F.lit(True).alias("_known"))
-    j = IN.selection(spark, sf_dir).join(known, "id", "left")
+    from matchdesk.operators.joins import known_keys, small_side
+    sel = IN.selection(spark, sf_dir)
+    n = sel.count()
+    known = known_keys(sel, _m(spark, sf_dir), "id", bound=n).withColumn("_known", F.lit(True))
+    j = sel.join(small_side(known, n), "id", "left")
     return j.agg(F.count(F.lit(1)).alias("requested"), F.count("_known").alias("updated"),
                  (F.count(F.lit(1)) - F.count("_known")).alias("rejected"))
 

@@ -30,7 +30,8 @@ def write_csv(rows: DataFrame, folder: str, prefix: str = "matches_export", visi
 
 def write_selected_csv(rows: DataFrame, selected_ids: DataFrame, folder: str, **kw) -> str:
     """Export of the selected rows only (semi join on id)."""
-    chosen = rows.join(selected_ids.select("id").distinct(), "id", "left_semi")
+    from matchdesk.operators.joins import semi_join
+    chosen = semi_join(rows, selected_ids.select("id").distinct(), "id")
     return write_csv(chosen, folder, prefix="selected_export", **kw)
 
 

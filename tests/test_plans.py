@@ -50,7 +50,8 @@ def test_search_stays_in_codegen(spark):
 
 
 def test_merges_do_not_shuffle_the_snapshot(spark):
-    for q in (C.save_by_key, C.overlay_matches, C.save_by_id):
+    for q in (C.save_by_key, C.overlay_matches, C.save_by_id, C.pending_changes, C.validate_edits,
+              C.import_flag, C.bulk_rejects, C.bulk_counts, C.record_lookup, C.export_selected):
         df = q(spark, SF_MID)
         df.collect()  # final adaptive plan
         p = plan(df)
