@@ -637,6 +637,16 @@ def audit_rows(spark, sf_dir):
     return SV.audit_rows(_pending(spark, sf_dir, with_key=True), SAVED_AT)
 
 
+def _existing_edits(spark, sf_dir, m):
+    """Edits of rows that exist: the snapshot's ids are narrowed to the edited
+    ones by a broadcast semi join (edit-log bound), then the log is filtered
+    by that small set -- the snapshot is not shuffled."""
+    from matchdesk.operators.joins import known_keys
+    ed = IN.edits(spark, sf_dir)
+    n = ed.count()
+    return semi_join(ed, known_keys(ed, m, "id", bound=n), "id", bound=n)
+
+
 @query("audit_recent", O.with_ctes(["m", "edits"]) + f"""
 , h as (select e.seq as id, m.canvas_id, m.canvas_ssn, e.field as field_name,
    case when lag(e.seq) over w is null then {O.field_text('e.field')} else lag(e.new_value) over w end as old_value,
@@ -650,7 +660,7 @@ def audit_recent(spark, sf_dir):
     then their predecessors by a broadcast (100-row) join to the log.
     """
     m = _m(spark, sf_dir)
-    ed = IN.edits(spark, sf_dir).join(m.select("id"), "id", "left_semi")
+    ed = _existing_edits(spark, sf_dir, m)
     top = ed.orderBy(F.col("edited_at").desc(), F.col("seq").desc()).limit(S.DEFAULT_AUDIT_LIMIT)
     t = top.select("seq", "id", "field", "new_value", "edited_at")
     prev = (F.broadcast(t.select(F.col("seq").alias("t_seq"), F.col("id").alias("t_id"), F.col("field").alias("t_field")))
@@ -671,7 +681,7 @@ from edits e join m on m.id = e.id group by e.field, cast(e.edited_at as date)""
 def audit_volume(spark, sf_dir):
     """Audit volume per field and day."""
     m = _m(spark, sf_dir)
-    trail = IN.edits(spark, sf_dir).join(m.select("id"), "id", "left_semi").select(
+    trail = _existing_edits(spark, sf_dir, m).select(
         F.col("field").alias("field_name"), F.col("edited_at").alias("updated_at"))
     return ST.audit_volume(trail)
 
