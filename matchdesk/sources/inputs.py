@@ -38,6 +38,7 @@ def _fingerprint() -> str:
 
 _LOCK = threading.RLock()
 _PATHS: dict[tuple[str, str, str], str] = {}
+_SCHEMAS: dict[tuple[str, str, str], object] = {}
 
 
 def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str = "parquet") -> DataFrame:
@@ -52,7 +53,13 @@ def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str =
                 cur = st.latest(table)
             path = cur[1]
             _PATHS[key] = path
-    return spark.read.format(fmt).load(path)
+        schema = _SCHEMAS.get(key)
+        if schema is None:
+            df = spark.read.format(fmt).load(path)
+            _SCHEMAS[key] = df.schema
+            return df
+    # Versions are immutable: the schema read once is reused (no footer reads per query).
+    return spark.read.format(fmt).schema(schema).load(path)
 
 
 def stored_path(spark: SparkSession, sf_dir: str, table: str) -> str:
