@@ -3,11 +3,16 @@
 import pytest
 
 import __spark_entry__ as E
+from matchdesk.plans import catalog
 from tests.conftest import SF_SMALL
 from tools.oracle_check import compare
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = catalog.ORACLE
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_every_query_has_oracle_or_is_rows_only():
