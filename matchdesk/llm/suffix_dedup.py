@@ -38,8 +38,8 @@ from .text_hash import mix, prefix, slices
 
 LENGTH = 100
 GRAM = 24
-CHUNK = 8 << 20      # bytes handled at once in a task
-SEGMENT = 64 << 20   # windows of one document handled at once
+CHUNK = 2 << 20      # bytes handled at once in a task
+SEGMENT = 4 << 20    # bytes of one document handled at once
 _POS = np.uint64((1 << 28) - 1)
 
 TUPLES = "name long, rest long, key long, start int, n int"
@@ -206,9 +206,14 @@ def _windows(length: int):
                 n = np.array([x["n"] for x in got], np.int64)
                 name = np.array([x["name"] for x in got], np.int64)
                 p = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                h = prefix(np.frombuffer(raw, np.uint8))
-                parts.append((np.repeat(name, n), slices(h, p, p + length).view(np.int64), np.full(len(p), r[0].as_py(), np.int64),
-                              p, np.ones(len(p), np.int64)))
+                name = np.repeat(name, n)
+                for at in range(0, len(raw), SEGMENT):  # an oversized document in pieces
+                    here = (p >= at) & (p < at + SEGMENT)
+                    if here.any():
+                        q = p[here]
+                        h = prefix(np.frombuffer(raw, np.uint8)[at:at + SEGMENT + length])
+                        parts.append((name[here], slices(h, q - at, q - at + length).view(np.int64),
+                                      np.full(len(q), r[0].as_py(), np.int64), q, np.ones(len(q), np.int64)))
             yield _settle([np.concatenate(x) for x in zip(*parts)])
     return run
 

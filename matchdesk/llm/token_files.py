@@ -15,12 +15,10 @@ the partition only, so a repeated or speculative task replaces it by the same by
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,33 +26,13 @@ from pyspark.sql import functions as F
 
 from .bpe import encoding, vocabulary_path
 from .common import scratch, stored
+from .files import open_store, put
 
 END = 50256              # free in the 50,256-entry vocabularies
 DTYPE = "<u2"
 BLOCK_TOKENS = 4 << 20   # tokens of one scanned block (8 MB)
 
 
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
-def put(uri: str, chunks: Iterator[bytes]) -> int:
-    """Write a file whole or not at all; returns its bytes."""
-    store, path = open_store(uri)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part, n = f"{path}.{uuid.uuid4().hex}.part", 0
-    with store.open_output_stream(part) as out:
-        for c in chunks:
-            out.write(c)
-            n += len(c)
-    store.move(part, path)
-    return n
-
-
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       vocabulary: str | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode each text and write one flat file per partition. Returns the folder and

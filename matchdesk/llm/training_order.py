@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, sized, stored
+from .files import open_store, put
 from .text_hash import mix
-from .token_files import open_store, put
 
 LENGTH = 2048        # tokens of a sequence
 RECORDS = 8192       # sequences of a shard (16 MB of byte ids)
