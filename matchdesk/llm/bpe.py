@@ -2,10 +2,11 @@
 
 Texts are packed into blocks. In a block every word occurrence becomes a position
 that refers to the block's list of distinct words, and the distinct words go, with
-the block's number, to hash buckets. A bucket sees each of its words once per block,
+the block's name, to hash buckets. A bucket sees each of its words once per block,
 encodes each distinct word once, and returns the ids to the blocks that asked; a
-block puts them back by position. Positions and word lists travel as packed columns
-(one row per block and bucket), not as one row per word occurrence.
+block puts them back by position. Word lists travel as packed columns (one row per
+block and bucket, not one per occurrence); a block's positions wait in a file of the
+shared folder (``spark.checkpoint.dir``), so they are not shuffled at all.
 
 A *word* here is a run of white space with the run of other characters behind it.
 No match of the tokenizer's pattern reaches over the edge between a non-space and a
@@ -30,9 +31,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
+from .files import get, put
 
-BLOCK_CHARS = 16 << 20      # text of one block (a longer text is a block of its own)
+BLOCK_CHARS = 8 << 20       # text of one block (a longer text is a block of its own)
 BUCKET_BYTES = 16 << 20     # text per word bucket
 
 # White space as the tokenizer's pattern sees it (Unicode White_Space).
@@ -94,11 +96,13 @@ def _split(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, np.uint32, n, 4).astype(np.int64), raw[4 + 4 * n:]
 
 
-SCHEMA = "block string, bucket int, n_words long, body binary, side binary"
+SCHEMA = "block string, bucket int, n_words long, body binary"
 
 
-def _block(rows: list[tuple], n_buckets: int) -> pa.RecordBatch:
-    """Packed rows of one block: bucket -1 holds the positions, others the words."""
+def _block(rows: list[tuple], n_buckets: int, folder: str) -> pa.RecordBatch:
+    """One row per bucket with the words that the block wants from it. The rows' ids
+    and word positions go to the block's file; a task that runs again writes new
+    blocks, and only the rows of the attempt that is kept refer to them."""
     block = uuid.uuid4().hex
     words: list[str] = []
     per_doc = np.zeros(len(rows), np.uint32)
@@ -106,28 +110,30 @@ def _block(rows: list[tuple], n_buckets: int) -> pa.RecordBatch:
         w = WORDS.findall(text)
         per_doc[k] = len(w)
         words += w
-    codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
+    codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), np.zeros(0, object))
     del words
-    # codes by falling frequency: small numbers for common words
-    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    # words that recur are numbered by falling frequency, then those that occur once by
+    # place; of the latter the positions only say "the next one" (0)
+    n = np.bincount(codes, minlength=len(distinct))
+    often = np.flatnonzero(n > 1)
+    often = often[np.argsort(-n[often], kind="stable")]
+    order = np.concatenate([often, np.flatnonzero(n == 1)])
+    rank = np.zeros(len(order), np.int64)
+    rank[often] = np.arange(1, len(often) + 1)
+    symbols = rank[codes]
     raw = [distinct[i].encode("utf-8", "surrogatepass") for i in order]
-    bucket = (pd.util.hash_array(np.array(raw, dtype=object), categorize=False) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 65536 else np.uint32) if raw else np.zeros(0, np.uint16)
+    bucket = (pd.util.hash_array(np.array(raw, dtype=object), categorize=False) % np.uint64(n_buckets)).astype("<u4") if raw else np.zeros(0, "<u4")
     ids = pa.array([i for i, _ in rows], pa.int64())
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64()), ("n", pa.uint32())])) as w:
         w.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(per_doc)], ["id", "n"]))
-    side = [_join([_zip(sink.getvalue().to_pybytes()), str(bucket.dtype).encode(), _zip(bucket.tobytes())])]
-    out = [(-1, len(codes), _planes(rank[codes]))]
+    put(f"{folder}/{block}", [_join([sink.getvalue().to_pybytes(), _planes(bucket), _planes(symbols), str(len(often)).encode()])])
     by = np.argsort(bucket, kind="stable")
-    for b, members in zip(*_runs(bucket[by], by)):
-        out.append((int(b), len(members), _join([raw[i] for i in members])))
-        side.append(None)
+    out = [(int(b), len(m), _join([raw[i] for i in m])) for b, m in zip(*_runs(bucket[by], by))]
+    out = out or [(-1, 0, None)]  # a block without words still has its rows
     return pa.RecordBatch.from_arrays(
         [pa.array([block] * len(out)), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()),
-         pa.array([o[2] for o in out], pa.binary()), pa.array(side, pa.binary())],
-        ["block", "bucket", "n_words", "body", "side"])
+         pa.array([o[2] for o in out], pa.binary())], ["block", "bucket", "n_words", "body"])
 
 
 def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -137,19 +143,19 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return keys[np.r_[0, cut]], np.split(values, cut)
 
 
-def _packer(n_buckets: int):
+def _packer(n_buckets: int, folder: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for i, t in zip(*batch.columns):
                 text = t.as_py() or ""
                 if rows and size + len(text) > BLOCK_CHARS:
-                    yield _block(rows, n_buckets)
+                    yield _block(rows, n_buckets, folder)
                     rows, size = [], 0
                 rows.append((i.as_py(), text))
                 size += len(text)
         if rows:
-            yield _block(rows, n_buckets)
+            yield _block(rows, n_buckets, folder)
     return pack
 
 
@@ -171,21 +177,28 @@ def _encoder(path: str):
                 flat.append(ids)
             out.append(_join([_planes(n), _planes(np.frombuffer(b"".join(flat), "<u4"))]))
         return pa.Table.from_arrays(
-            [table.column("block"), table.column("bucket"), table.column("n_words"), pa.array(out, pa.binary()),
-             pa.nulls(len(out), pa.binary())], ["block", "bucket", "n_words", "body", "side"])
+            [table.column("block"), table.column("bucket"), table.column("n_words"), pa.array(out, pa.binary())],
+            ["block", "bucket", "n_words", "body"])
     return encode
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _assembler(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        return _assemble(table, folder)
+    return run
+
+
+def _assemble(table: pa.Table, folder: str) -> pa.Table:
     """One block: the ids of its words, put back by position."""
     bodies = dict(zip(table.column("bucket").to_pylist(), table.column("body")))
-    side = next(x for x in table.column("side").to_pylist() if x is not None)
-    lens, raw = _split(side)
+    lens, raw = _split(get(f"{folder}/{table.column('block')[0].as_py()}"))
     cut = np.cumsum(lens)
-    with pa.ipc.open_stream(_unzip(raw[:cut[0]])) as r:
+    with pa.ipc.open_stream(raw[:cut[0]]) as r:
         docs = r.read_all()
-    bucket = np.frombuffer(_unzip(raw[cut[1]:cut[2]]), raw[cut[0]:cut[1]].decode())
-    positions = _unplanes(bodies[-1].as_py()).astype(np.int64)
+    bucket, symbols = _unplanes(raw[cut[0]:cut[1]]), _unplanes(raw[cut[1]:cut[2]])
+    positions = symbols.astype(np.int64) - 1
+    once = np.flatnonzero(symbols == 0)
+    positions[once] = int(raw[cut[2]:]) + np.arange(len(once))
     by = np.argsort(bucket, kind="stable")
     n_ids, flat, at = np.zeros(len(bucket), np.int64), [], []
     for b, members in zip(*_runs(bucket[by], by)):
@@ -201,8 +214,8 @@ def _assemble(table: pa.Table) -> pa.Table:
     edges = np.r_[0, np.cumsum(n_words)]
     out, total = [], np.zeros(len(n_words), np.int64)
     lo = 0
-    while lo < len(n_words):  # gather about a million words at a time
-        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 20), "right")) - 1)
+    while lo < len(n_words):  # gather a quarter of a million words at a time
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 18), "right")) - 1)
         p = positions[edges[lo]:edges[hi]]
         n = n_ids[p]
         ends = np.cumsum(n)
@@ -226,11 +239,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-size // BUCKET_BYTES))
-    # blocks are written once: their ids and word order stay fixed if tasks are run again
-    blocks = stored(src.mapInArrow(_packer(n_buckets), SCHEMA), "bpe-blocks")
+    folder = scratch(docs.sparkSession, "bpe-positions")
+    # the word lists are written once: block names stay fixed if tasks are run again
+    blocks = stored(src.mapInArrow(_packer(n_buckets, folder), SCHEMA), "bpe-words")
     words = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(_encoder(path), SCHEMA)
-    both = blocks.where("bucket = -1").unionByName(words)
-    return both.groupBy("block").applyInArrow(_assemble, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    both = words.unionByName(blocks.where("bucket < 0"))
+    return both.groupBy("block").applyInArrow(_assembler(folder), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:

@@ -3,10 +3,6 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,24 +39,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    text: list[str] = []
-    for batch in batches:
-        key, ids, raw = batch.columns
-        n, a, b = [], [], []
-        for x, r in zip(ids, raw):
-            x = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-            if x and max(x) >= len(text):
-                text = list(map(str, range(max(x) + 1)))
-            n.append(len(x))
-            a.append(hashlib.sha256(",".join(map(text.__getitem__, x)).encode()).hexdigest())
-            b.append(hashlib.sha256(r.as_buffer() if r.is_valid else b"").hexdigest())
-        yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                                         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def token_digests(decoded: DataFrame) -> DataFrame:
-    return decoded.mapInArrow(_id_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of decoded documents."""
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(text, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
