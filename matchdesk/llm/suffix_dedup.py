@@ -8,7 +8,7 @@ induced from it:
 1. *Sample.* Of every window of ``LENGTH`` bytes the start of its least ``GRAM``-byte
    substring (by hash, leftmost of equals) is a sample position. Equal windows have equal
    samples at equal distance, so a window's fate can be read off its sample. There is one
-   sample per about 39 bytes.
+   sample per about 31 bytes.
 2. *Names.* A sample suffix becomes the tuple (name of its gram, name of the bytes of all
    windows it governs, document, position, number of windows).
 3. *External sort.* Tuples are dealt by gram name and sorted on disk (Spark's external
@@ -37,7 +37,7 @@ from .common import sized, stored
 from .text_hash import mix, prefix, slices
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 CHUNK = 2 << 20      # bytes handled at once in a task
 SEGMENT = 4 << 20    # bytes of one document handled at once
 _POS = np.uint64((1 << 28) - 1)
@@ -274,7 +274,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty. Matches stay inside documents; texts shorter than
     ``length`` bytes lose nothing. Order is by id; among null ids (which come last) and
     repeated ids, by text hash, so of rows that repeat id and text one keeps its bytes.
-    Other columns are not read; an empty table gives no rows. ``length`` must exceed 24.
+    Other columns are not read; an empty table gives no rows. ``length`` must exceed 40.
     """
     keyed = _keyed(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, length).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
