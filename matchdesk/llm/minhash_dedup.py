@@ -17,9 +17,11 @@ each other. They may still tie an unlinked (*open*) member to the component: dis
 1 - similarity obeys the triangle inequality, so a linked x at distance u of the
 centre can link with an open y at distance v only if ``v - u <= limit``. Linked
 members for which such an open member exists stay as possible centres, closest
-first; all others leave. Each round takes new centres, four times as many as
-before, until no bucket has an open member that still lacks a comparison.
-No bucket is capped and no comparison that could tie two components is skipped.
+first; all others leave. Each round joins what is linked so far into components,
+takes new centres, four times as many as before, and compares only members of
+different components, until every bucket lies in one component or has no open member
+that lacks a comparison. No bucket is capped and no comparison that could tie two
+components is skipped.
 """
 
 from __future__ import annotations
@@ -157,8 +159,8 @@ def _buckets(sig: DataFrame) -> DataFrame:
     return stored(keys.join(many, "bucket"), "buckets")
 
 
-def near_dedup_links(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between classes of equal sets, as row ids."""
+def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the classes of equal sets that are linked, as row ids."""
     limit = 1 - percent / 100 + 1e-9
     first = _buckets(sig)
     wanted = stored(first.select("rid").distinct(), "candidates")
@@ -166,17 +168,21 @@ def near_dedup_links(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
     sets = stored(texts.mapInArrow(_sets, "rid long, set binary"), "shingle-sets")
 
     # d is null for open members; for linked ones, the distance to their centre
-    live, links, n_centres = first.withColumn("d", F.lit(None).cast("double")), None, 1
+    live = first.withColumn("d", F.lit(None).cast("double")).withColumn("root", F.col("rid"))
+    known, n_centres = None, 1
     while True:
         rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("d").asc_nulls_last(), "rid"))
         centres = stored(live.withColumn("r", rank).where(F.col("r") <= n_centres).select(
-            "bucket", F.col("rid").alias("c"), F.col("d").isNull().alias("c_open")), "centres")
-        star = live.join(centres, "bucket").where((F.col("rid") != F.col("c")) & (F.col("d").isNull() | F.col("c_open")))
+            "bucket", F.col("rid").alias("c"), F.col("d").isNull().alias("c_open"), F.col("root").alias("c_root")), "centres")
+        star = live.join(centres, "bucket").where(
+            (F.col("root") != F.col("c_root")) & (F.col("d").isNull() | F.col("c_open")))
         star = star.select("bucket", "rid", "c", F.col("d").isNull().alias("open"),
                            F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b"))
         dist = stored(_distances(star.select("a", "b"), sets, percent), "distances")
-        confirmed = dist.where("linked").select("a", "b")
-        links = confirmed if links is None else links.unionByName(confirmed)
+        links = dist.where("linked").select("a", "b")
+        if known is not None:
+            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        known = stored(components(links), "components")
         rated = stored(star.where("open").join(dist, ["a", "b"]).select("bucket", "rid", "c", "d", "linked"), "rated")
 
         own = rated.where("linked").groupBy("bucket", "rid").agg(F.min(F.struct("d", "c")).alias("m")).select(
@@ -188,12 +194,15 @@ def near_dedup_links(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
         # a newly linked member stays only while an open one may lie within the limit
         rest = rest.join(nearest, ["bucket", "c"], "left").where(
             F.col("u").isNull() | F.col("d").isNotNull() | (F.col("v") - F.col("u") <= limit))
-        rest = stored(rest.select("bucket", "rid", F.coalesce("d", "u").alias("d")), "rest")
-        busy = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count("d").alias("n_linked")).where(
-            (F.col("n") > 1) & (F.col("n") > F.col("n_linked"))).select("bucket")
+        rest = rest.select("bucket", "rid", F.coalesce("d", "u").alias("d")).join(
+            known.withColumnRenamed("node", "rid"), "rid", "left")
+        rest = stored(rest.withColumn("root", F.coalesce("root", "rid")), "rest")
+        busy = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count("d").alias("n_linked"),
+                                          F.min("root").alias("low"), F.max("root").alias("high"))
+        busy = busy.where("n > n_linked AND low <> high").select("bucket")
         live = stored(rest.join(busy, "bucket"), "buckets")
         if live.isEmpty():
-            return links.distinct()
+            return known
         n_centres *= 4
 
 
@@ -211,7 +220,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.col(text_col).alias("text"))
     src = stored(src, "texts")  # fixes the row ids for both passes
     sig = stored(src.mapInArrow(_signatures, "rid long, doc_id long, n_shingles long, lo long, hi long, bands array<long>"), "signatures")
-    comp = stored(components(near_dedup_links(src, sig, percent)), "components")
+    comp = near_components(src, sig, percent)
     sets = ["lo", "hi", "n_shingles"]
     # per class of equal sets: its smallest row and id, then its component's root
     full = sig.where("n_shingles > 0")
