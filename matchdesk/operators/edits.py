@@ -31,20 +31,33 @@ def field_text(field: Column) -> Column:
 def validate(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Status of every edit: ok | unknown_field | unknown_id | bad_value.
 
-    Flags must be integers. The id check is a left join to the snapshot ids.
+    Flags must be integers; their accepted value is the integer's text. A refused
+    edit keeps its text. The id check is a left join to the snapshot ids.
     """
     n = edits.count()
     known = known_keys(edits, snapshot, "id", bound=n).withColumn("_known", F.lit(True))
     e = edits.join(small_side(known, n), "id", "left")
     is_flag = F.col("field").isin(*S.FLAG_FIELDS)
+    text = F.trim(F.col("new_value"))
+    number = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int").cast("string"))
     status = (F.when(~F.col("field").isin(*S.EDITABLE_FIELDS), F.lit("unknown_field"))
               .when(F.col("_known").isNull(), F.lit("unknown_id"))
-              .when(is_flag & F.col("new_value").try_cast("int").isNull(), F.lit("bad_value"))
+              .when(is_flag & number.isNull(), F.lit("bad_value"))
               .otherwise(F.lit("ok")))
-    value = F.when(is_flag, F.col("new_value").try_cast("int").cast("string")).otherwise(F.col("new_value"))
+    value = F.when(is_flag & number.isNotNull(), number).otherwise(F.col("new_value"))
     return e.select("seq", "id", "field", value.alias("new_value"), status.alias("status"))
 
 
+def accepted(checked: DataFrame) -> DataFrame:
+    """The validated edits that may be applied (value as it will be stored)."""
+    return checked.filter(F.col("status") == "ok").drop("status")
+
+
+def refused(checked: DataFrame) -> DataFrame:
+    """The other edits, with the reason."""
+    return checked.filter(F.col("status") != "ok")
+
+
 def last_values(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Latest new value per key (greatest seq wins), with that seq.
 

@@ -75,16 +75,21 @@ def audit_log(pending_keyed: DataFrame, saved_at: _dt.datetime, batch: int) -> D
 
 
 def commit_save(store: Store, edits: DataFrame, saved_at: _dt.datetime | None = None,
-                table: str = "matches", audit_table: str = "audit") -> dict:
-    """Write snapshot n+1 and the audit batch, then publish both with one
-    manifest append. Readers resolve through the manifest only, so a crash
-    before the append leaves version n current and no audit rows visible."""
+                table: str = "matches", audit_table: str = "audit", rejects_table: str = "rejects") -> dict:
+    """Write snapshot n+1, the audit batch and the rejected edits, then publish
+    all with one manifest append. Readers resolve through the manifest only, so a
+    crash before the append leaves version n current and no audit rows visible.
+
+    Every edit is validated first. Only `ok` edits are applied, logged (with the
+    value as stored) and counted; the others go to the rejects table with their status.
+    """
     saved_at = saved_at or _dt.datetime.now().replace(microsecond=0)
     snapshot = store.read(table)
     if snapshot is None:
         raise ValueError(f"no committed version of {table}")
     cur = store.latest(table)[0]
-    pending = E.compact(edits, snapshot, with_key=True).persist()
+    checked = E.validate(edits, snapshot).persist()
+    pending = E.compact(E.accepted(checked), snapshot, with_key=True).persist()
     try:
         maps = small_side(E.change_maps(pending, ["id"]), pending.count())
         new_snapshot = E.apply_changes(snapshot.join(maps, "id", "left"))
@@ -92,11 +97,16 @@ def commit_save(store: Store, edits: DataFrame, saved_at: _dt.datetime | None =
         snap_path = store.stage(table, version, new_snapshot)
         audit = audit_log(pending, saved_at, version)
         audit_path = store.stage(audit_table, version, audit, partition_by=["updated_date"])
+        refused = E.refused(checked)
+        rejects_path = store.stage(rejects_table, version, refused)
         saved = pending.agg(F.count_distinct("id")).first()[0]
-        store.publish([(table, version, snap_path), (audit_table, version, audit_path)])
+        n_refused = refused.count()
+        store.publish([(table, version, snap_path), (audit_table, version, audit_path),
+                       (rejects_table, version, rejects_path)])
     finally:
         pending.unpersist()
-    return {"version": version, "saved": saved}
+        checked.unpersist()
+    return {"version": version, "saved": saved, "rejected": n_refused}
 
 
 def recent(audit: DataFrame, limit: int = S.DEFAULT_AUDIT_LIMIT) -> DataFrame:

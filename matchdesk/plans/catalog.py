@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchdesk.operators import view as V
 from matchdesk.plans import oracle as O
+from matchdesk.sources import fixtures as FX
 from matchdesk.sources import inputs as IN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,17 +520,62 @@ _FLAGS_SQL = ", ".join(q(f) for f in S.FLAG_FIELDS)
 _EDITABLE_SQL = ", ".join(q(f) for f in S.EDITABLE_FIELDS)
 
 
-@query("validate_edits", O.with_ctes(["m", "edits"]) + f"""
+_CHECKED_SQL = O.with_ctes(["m", "proposed"]) + f""", checked as (
 select e.seq, e.id, e.field,
- case when e.field in ({_FLAGS_SQL}) then cast(try_cast(e.new_value as integer) as varchar) else e.new_value end as new_value,
+ case when e.field in ({_FLAGS_SQL}) and regexp_matches(trim(e.new_value), '^[+-]?[0-9]+$')
+      then cast(cast(trim(e.new_value) as integer) as varchar) else e.new_value end as new_value,
  case when e.field not in ({_EDITABLE_SQL}) then 'unknown_field'
       when k.id is null then 'unknown_id'
-      when e.field in ({_FLAGS_SQL}) and try_cast(e.new_value as integer) is null then 'bad_value'
+      when e.field in ({_FLAGS_SQL}) and not coalesce(regexp_matches(trim(e.new_value), '^[+-]?[0-9]+$'), false) then 'bad_value'
       else 'ok' end as status
-from edits e left join (select id from m) k on k.id = e.id""")
+from proposed e left join (select id from m) k on k.id = e.id)
+"""
+
+
+@query("validate_edits", _CHECKED_SQL + "select seq, id, field, new_value, status from checked")
 def validate_edits(spark, sf_dir):
-    """Status of every edit in the log."""
-    return E.validate(IN.edits(spark, sf_dir), _m(spark, sf_dir))
+    """Status of every proposed edit."""
+    return E.validate(FX.proposed_edits(IN.edits(spark, sf_dir)), _m(spark, sf_dir))
+
+
+def _saved_store(spark, sf_dir):
+    """A store whose stored snapshot took one save of the proposed edits."""
+    import uuid
+
+    from matchdesk.session import work_root
+    from matchdesk.sources.store import Store
+
+    store = Store(spark, f"{work_root(spark)}/matchdesk/save-{uuid.uuid4().hex[:8]}")
+    store.adopt("matches", IN.stored_path(spark, sf_dir, "matches"))
+    SV.commit_save(store, FX.proposed_edits(IN.edits(spark, sf_dir)), _dt.datetime(2024, 3, 1, 9, 0, 0))
+    return store
+
+
+@query("save_rejects", _CHECKED_SQL + "select seq, id, field, new_value, status from checked where status <> 'ok'")
+def save_rejects(spark, sf_dir):
+    """The edits a save refused, read back from the rejects table."""
+    return _saved_store(spark, sf_dir).read("rejects")
+
+
+_ACCEPTED_SQL = _CHECKED_SQL + f""", pending as (select l.id, l.field, {O.field_text('l.field')} as old_value, l.new_value, l.seq, m.canvas_id, m.canvas_ssn
+ from (select id, field, max(seq) as seq, arg_max_null(new_value, seq) as new_value from checked where status = 'ok' group by id, field) l
+ join m on m.id = l.id)
+"""
+
+
+@query("save_snapshot_by_id", _ACCEPTED_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
+       + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
+def save_snapshot_by_id(spark, sf_dir):
+    """The whole new version of the table, read back after the save."""
+    return _saved_store(spark, sf_dir).read("matches")
+
+
+@query("audit_readback", _ACCEPTED_SQL + """select canvas_id, canvas_ssn, field as field_name, old_value, new_value,
+ timestamp '2024-03-01 09:00:00' as updated_at from pending""")
+def audit_readback(spark, sf_dir):
+    """The audit rows of the save, read back from the stored log."""
+    return _saved_store(spark, sf_dir).read_appended("audit").select(
+        "canvas_id", "canvas_ssn", "field_name", "old_value", "new_value", "updated_at")
 
 
 _PENDING_SQL = O.with_ctes(["m", "edits"], [("l", O.LAST_EDITS)]) + f"""

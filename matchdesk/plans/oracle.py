@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from matchdesk import schema as S
 
-MATCHES = """select cast(c_custkey as bigint)*100000 + s_suppkey as id,
+MATCHES = """select cast(c_custkey as bigint)*1000000000 + s_suppkey as id,
  cast(c_custkey as varchar(20)) as canvas_id,
  case when c_custkey % 3 = 0 then cast(c_custkey % 7 as varchar(20)) else '' end as canvas_addrseq,
  lpad(cast((c_custkey * 7919) % 1000000000 as varchar(20)), 9, '0') as canvas_ssn,
@@ -79,6 +79,11 @@ NORMALIZED = f"""select id, canvas_id, canvas_addrseq, canvas_ssn, canvas_name,
  cast(trunc(coalesce({num('jib')}, 0)) as integer) as jib, is_trust, 0 as rev, 0 as vendor
  from matches"""
 
+PROPOSED = """select seq, case when seq % 13 = 0 then -id else id end as id,
+ case when seq % 11 = 0 then 'dec_name' else field end as field,
+ case when field = 'jib' and seq % 7 = 0 then 'abc' when field = 'jib' and seq % 7 = 1 then '1.7' when field = 'jib' and seq % 7 = 2 then ''
+      when field = 'jib' and seq % 7 = 3 then ' 1 ' when seq % 17 = 0 then null else new_value end as new_value, edited_at from edits"""
+
 # CTE name -> (statement, CTEs it needs)
 _CTES = {
     "matches": (MATCHES, []),
@@ -87,6 +92,7 @@ _CTES = {
     "id_file": (ID_FILE, []),
     "master": (MASTER, []),
     "edits": (EDITS, ["matches"]),
+    "proposed": (PROPOSED, ["edits"]),
     "actions": (ACTIONS, []),
     "selection": (SELECTION, ["edits"]),
 }

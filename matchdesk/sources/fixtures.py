@@ -53,7 +53,7 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     addr_score = (c * 53 + s * 29) % 101
     seg = F.lower("c_mktsegment")
     return pairs.select(
-        (c.cast("bigint") * F.lit(100000) + s).alias("id"),
+        (c.cast("bigint") * F.lit(1000000000) + s).alias("id"),
         _s(c).alias("canvas_id"),
         F.when(c % 3 == 0, _s(c % 7)).otherwise(F.lit("")).alias("canvas_addrseq"),
         _lpad_mod(c, 7919, 1000000000, 9).alias("canvas_ssn"),
@@ -171,6 +171,19 @@ def edits(spark: SparkSession, sf_dir: str, matches: DataFrame) -> DataFrame:
     )
 
 
+def proposed_edits(edit_log: DataFrame) -> DataFrame:
+    """The edit log with the faults that users send: a field that may not be
+    edited, ids of no row, flags that are no integers, and missing values."""
+    seq, flag = F.col("seq"), F.col("field") == "jib"
+    bad = (F.when(flag & (seq % 7 == 0), "abc").when(flag & (seq % 7 == 1), "1.7").when(flag & (seq % 7 == 2), "")
+           .when(flag & (seq % 7 == 3), " 1 ").when(seq % 17 == 0, F.lit(None).cast("string"))
+           .otherwise(F.col("new_value")))
+    return edit_log.select(
+        "seq", F.when(seq % 13 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"),
+        F.when(seq % 11 == 0, "dec_name").otherwise(F.col("field")).alias("field"),
+        bad.alias("new_value"), "edited_at")
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undo/redo action log (session, seq, op, action_id) from the event stream."""
     et = F.col("event_type")

@@ -36,17 +36,34 @@ def _fingerprint() -> str:
     return h.hexdigest()[:12]
 
 
+# Given tables that the stored inputs are derived from.
+SOURCES = ("region", "nation", "customer", "supplier", "events")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """Hash of name, length and modification time of every source file, so new
+    data at the same path gets stored inputs of its own."""
+    h = hashlib.sha1()
+    for t in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.table_path(sf_dir, t))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        for line in sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files):
+            h.update(f"{t}/{line}\n".encode())
+    return h.hexdigest()[:12]
+
+
 _LOCK = threading.RLock()
 _PATHS: dict[tuple[str, str, str], str] = {}
 _SCHEMAS: dict[tuple[str, str, str], object] = {}
 
 
 def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str = "parquet") -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, table)
+    state = source_state(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, f"{sf_dir}:{state}", table)
     with _LOCK:
         path = _PATHS.get(key)
         if path is None:
-            st = store_for(spark, f"inputs:{sf_dir}:{_fingerprint()}", root=shared_root(spark))
+            st = store_for(spark, f"inputs:{sf_dir}:{state}:{_fingerprint()}", root=shared_root(spark))
             cur = st.latest(table)
             if cur is None:
                 st.write_version(table, build(), fmt=fmt)
@@ -65,7 +82,7 @@ def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str =
 def stored_path(spark: SparkSession, sf_dir: str, table: str) -> str:
     """Directory of a materialized input (materializing it if needed)."""
     {"raw_matches": raw_matches, "matches": matches, "edits": edits, "id_file": id_file}[table](spark, sf_dir)
-    return _PATHS[(spark.sparkContext.applicationId, sf_dir, table)]
+    return _PATHS[(spark.sparkContext.applicationId, f"{sf_dir}:{source_state(spark, sf_dir)}", table)]
 
 
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,10 @@ class Store:
     def _manifest(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
-        except AnalysisException:
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # nothing was ever committed
+                return None
+            raise
 
     def refresh(self) -> None:
         """Forget cached pointers (another writer may have committed)."""

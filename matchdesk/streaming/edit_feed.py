@@ -2,7 +2,8 @@
 
 Edits arrive as Parquet files in a folder. Each micro-batch:
 
-1. compacts its edits to the latest value per (row, field) (greatest seq);
+1. validates its edits and compacts the accepted ones to the latest value per
+   (row, field) (greatest seq); refused ones go to a rejects table;
 2. keeps only those newer than what is already applied for that (row, field)
    -- so a late edit loses to a newer one already applied, in any file order;
 3. writes the new compacted delta `applied` (id, field, seq, new_value) and an
@@ -41,8 +42,8 @@ COMPACT_DELTA_ROWS = 50_000_000
 
 class EditFeed:
     def __init__(self, store: Store, base: str = "matches", applied: str = "applied", audit: str = "audit",
-                 compact_rows: int = COMPACT_DELTA_ROWS):
-        self.store, self.base, self.applied, self.audit = store, base, applied, audit
+                 compact_rows: int = COMPACT_DELTA_ROWS, rejects: str = "rejects"):
+        self.store, self.base, self.applied, self.audit, self.rejects = store, base, applied, audit, rejects
         self.compact_rows = compact_rows
         self._base_df: tuple[int, DataFrame] | None = None
         self._delta_rows: int | None = None  # upper bound on the delta's rows
@@ -80,7 +81,10 @@ class EditFeed:
             return  # micro-batch ids only grow: this one was committed before a replay
         base = self._base()
         prev = self._applied()
-        newest = E.last_values(batch, ["id", "field"])
+        # only accepted edits are applied and logged, with the value as stored: the
+        # delta and the base then hold the same text, before and after a compaction
+        checked = E.validate(batch, base).persist()
+        newest = E.last_values(E.accepted(checked), ["id", "field"])
         p = prev.select("id", "field", F.col("seq").alias("a_seq"), F.col("new_value").alias("a_value"))
         keep = ["id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS] + ([SEQS] if SEQS in base.columns else [])
         # The last applied seq of a (row, field): the delta's, else the one the
@@ -105,10 +109,12 @@ class EditFeed:
             a_path = self.store.stage(self.applied, version, applied)
             l_path = self.store.stage(self.audit, version, SV.audit_log(pending, saved_at, version),
                                       partition_by=["updated_date"])
+            r_path = self.store.stage(self.rejects, version, E.refused(checked))
             self.store.publish([(self.applied, version, a_path), (self.audit, version, l_path),
-                                ("feed_batch", batch_id, "")])
+                                (self.rejects, version, r_path), ("feed_batch", batch_id, "")])
         finally:
             winners.unpersist()
+            checked.unpersist()
         self._delta_rows += n_winners
         if self._delta_rows > self.compact_rows:
             self.compact_base()

@@ -125,3 +125,63 @@ def test_feed_with_processing_time_trigger(spark):
         q.stop()
     assert len(feed.store.versions("feed_batch")) >= 1
     assert feed.current().count() == IN.matches(spark, SF_SMALL).count()
+
+
+BAD = [(1, "dec_name", "HACK", "unknown_field"), (2, "jib", "abc", "bad_value"), (3, "jib", "1.7", "bad_value"),
+       (4, "jib", None, "bad_value")]
+
+
+def _edits(spark, rid):
+    ts = dt.datetime(2024, 1, 1)
+    schema = "seq long, id long, field string, new_value string, edited_at timestamp_ntz"
+    rows = [(q, rid, f, v, ts) for q, f, v, _ in BAD] + [(5, -1, "memo", "lost", ts), (6, rid, "jib", " 1 ", ts), (7, rid, "memo", None, ts)]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_save_refuses_bad_edits(spark):
+    st = _store(spark)
+    m = IN.matches(spark, SF_SMALL)
+    st.write_version("matches", m)
+    rid = m.agg(F.min("id")).first()[0]
+    before = m.filter(F.col("id") == rid).first()
+    out = SV.commit_save(st, _edits(spark, rid), dt.datetime(2024, 3, 1))
+    assert (out["saved"], out["rejected"]) == (1, 5)
+    row = st.read("matches").filter(F.col("id") == rid).first()
+    assert (row.dec_name, row.jib, row.memo) == (before.dec_name, 1, None)
+    log = {(r.field_name, r.new_value) for r in st.read_appended("audit").collect()}
+    assert log == {("jib", "1"), ("memo", None)}
+    refused = {(r.seq, r.status, r.new_value) for r in st.read("rejects").collect()}
+    assert refused == {(q, s, v) for q, _, v, s in BAD} | {(5, "unknown_id", "lost")}
+
+
+def test_feed_log_does_not_depend_on_compaction(spark):
+    m = IN.matches(spark, SF_SMALL)
+    rid = m.agg(F.min("id")).first()[0]
+    ts = dt.datetime(2024, 1, 1)
+    late = _edits(spark, rid).unionByName(spark.createDataFrame(
+        [(20, rid, "jib", "x", ts), (21, rid, "jib", "0", ts), (22, rid, "memo", "new", ts)], _edits(spark, rid).schema))
+    logs = []
+    for rows in (0, 50_000_000):
+        feed = EditFeed(_store(spark), compact_rows=rows)
+        feed.init_base(m)
+        feed.process(late.filter("seq < 10"), 0)
+        feed.process(late.filter("seq >= 10"), 1)
+        logs.append(sorted((r.field_name, str(r.old_value), str(r.new_value)) for r in feed.store.read_appended("audit").collect()))
+        assert feed.store.read_appended("rejects").count() == 6
+    assert logs[0] == logs[1]
+    assert ("jib", "1", "0") in logs[0]
+
+
+def test_stored_inputs_follow_the_data(spark, tmp_path):
+    import shutil
+    for t in IN.SOURCES:
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    first = IN.raw_matches(spark, str(tmp_path)).count()
+    assert IN.raw_matches(spark, str(tmp_path)).count() == first > 0
+    half = spark.read.parquet(f"{SF_SMALL}/customer.parquet").filter("c_custkey % 2 = 0").toPandas()
+    half.to_parquet(tmp_path / "customer.parquet")
+    assert 0 < IN.raw_matches(spark, str(tmp_path)).count() < first
+
+
+def test_row_ids_are_unique(m_mid):
+    assert m_mid.select("id").distinct().count() == m_mid.count()
