@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANGUAGE = 2_000
 WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 40_000
+GRAMS_PER_LANGUAGE = 20_000
 MAX_LANGUAGES = 200
 MAX_GRAM = 5
 MAX_WORD = 64          # letters of a word that enter its n-grams in training and scoring alike
-CACHE_WORDS = 400_000  # scored words a task remembers
+CACHE_WORDS = 50_000   # unseen words whose scores a task remembers
+FLUSH = 50_000         # counts a task holds before it hands them to Spark
 UNDETERMINED = "und"
 CANDIDATE = re.compile(r"[^\W\d_]+")  # letters, and a few numeric signs removed below
 
@@ -68,33 +69,39 @@ def grams_of(word: str) -> Iterator[list[str]]:
 class Model:
     languages: list[str]
     prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
-
-    def word_score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        total, n = np.zeros(len(self.languages)), 0
+    words: dict[str, int]      # row of a known word in `word_scores`
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
+
+    def backoff(self, word: str) -> np.ndarray:
+        """Scores of an unseen word: mean of the longest known n-gram of each position."""
+        at = []
         for options in grams_of(word):
             for g in options:
-                s = self.grams.get(g)
-                if s is not None:
-                    total += s
-                    n += 1
+                k = self.grams.get(g)
+                if k is not None:
+                    at.append(k)
                     break
-        return total / n if n else self.unseen
+        return self.gram_scores[at].mean(axis=0) if at else np.zeros(len(self.languages))
 
 
-def _table(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """key -> log share in each language; half a count stands for unseen."""
+def _table(rows: list, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of the keys and their log shares in each language; half a count stands for unseen."""
     at = {x: i for i, x in enumerate(languages)}
-    size = np.array([totals.get(x, 0) + 1.0 for x in languages])
-    counts: dict[str, np.ndarray] = {}
+    keys: dict[str, int] = {}
+    for key, _, _ in rows:
+        keys.setdefault(key, len(keys))
+    counts = np.full((len(keys), len(languages)), 0.5)
     for key, lang, n in rows:
-        counts.setdefault(key, np.full(len(languages), 0.5))[at[lang]] += n
-    return {k: np.log(c / size) for k, c in counts.items()}
+        counts[keys[key], at[lang]] += n
+    return keys, np.log(counts / np.array([totals.get(x, 0) + 1.0 for x in languages]))
+
+
+def _counts(got: dict[tuple, int], name: str) -> pa.RecordBatch:
+    k = list(got)
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()),
+                                       pa.array(list(got.values()), pa.int64())], [name, "lang", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -106,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     top = {r["lang"]: r["n"] for r in shares.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(top)
     if not languages:
-        return Model([], np.zeros(0), {}, {}, np.zeros(0))
+        return Model([], np.zeros(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     keep = F.lit(0.0)
     for lang, n in top.items():
         keep = F.when(F.col("lang") == lang, min(1.0, docs_per_language / n)).otherwise(keep)
@@ -115,27 +122,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = rows.where(drawn).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # counts per batch, summed up by Spark
-            got: dict[tuple, int] = {}
-            for t, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                for w in words_of(t):
+        got: dict[tuple, int] = {}
+        for batch in batches:  # partial counts, summed up by Spark
+            for t, lang in zip(*batch.columns):
+                lang = lang.as_py()
+                for w in words_of(t.as_py()):
                     got[w, lang] = got.get((w, lang), 0) + 1
-            k = list(got)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()),
-                                              pa.array(list(got.values()), pa.int64())], ["word", "lang", "n"])
+                if len(got) > FLUSH:
+                    yield _counts(got, "word")
+                    got = {}
+        yield _counts(got, "word")
 
     words = sample.mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple, int] = {}
         for batch in batches:
-            got: dict[tuple, int] = {}
             for w, lang, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for options in grams_of(w):
                     for g in options:
                         got[g, lang] = got.get((g, lang), 0) + n
-            k = list(got)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()),
-                                              pa.array(list(got.values()), pa.int64())], ["key", "lang", "n"])
+                if len(got) > FLUSH:
+                    yield _counts(got, "key")
+                    got = {}
+        yield _counts(got, "key")
 
     words = words.persist()
     try:
@@ -152,9 +162,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         words.unpersist()
     gram_total = {x: word_total.get(x, 0) * 4 for x in languages}
     total = sum(top.values())
-    unseen = np.zeros(len(languages))
     return Model(languages, np.array([math.log(top[x] / total) for x in languages]),
-                 _table(word_rows, languages, word_total), _table(gram_rows, languages, gram_total), unseen)
+                 *_table(word_rows, languages, word_total), *_table(gram_rows, languages, gram_total))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +173,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        seen: dict[str, int] = {}
-        scores = np.zeros((1 << 16, max(1, len(m.languages))))
+        known = len(m.words)
+        seen = dict(m.words)  # known words first, then remembered unseen ones
+        scores = np.concatenate([m.word_scores, np.zeros((CACHE_WORDS, len(m.languages)))])
         for batch in batches:
             key, text = batch.columns
             lang, score = [], []
@@ -174,27 +184,29 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 if not words or not m.languages:
                     lang.append(UNDETERMINED), score.append(0.0)
                     continue
-                if len(seen) > CACHE_WORDS:
-                    seen = {}
                 at = [seen.get(w, -1) for w in words]
                 if -1 in at:
+                    new = []
                     for k, i in enumerate(at):
                         if i < 0:
                             w = words[k]
                             i = seen.get(w)
                             if i is None:
                                 i = seen[w] = len(seen)
-                                if i >= len(scores):
-                                    scores = np.concatenate([scores, np.zeros_like(scores)])
-                                scores[i] = m.word_score(w)
+                                new.append(m.backoff(w))
                             at[k] = i
+                    if new:  # the buffer doubles, so that adding rows stays cheap
+                        if len(seen) > len(scores):
+                            scores = np.concatenate([scores, np.zeros((len(seen), scores.shape[1]))])
+                        scores[len(seen) - len(new):len(seen)] = new
                 n = np.bincount(np.array(at))
                 ids = np.flatnonzero(n)
-                s = n[ids] @ scores[ids]
-                s = s + m.prior
+                s = n[ids] @ scores[ids] + m.prior
                 best = int(s.argmax())
                 p = np.exp((s - s[best]) / math.sqrt(len(words)))
                 lang.append(m.languages[best]), score.append(float(1.0 / p.sum()))
+                if len(seen) - known > CACHE_WORDS:
+                    seen = dict(m.words)
             yield pa.RecordBatch.from_arrays([key, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              ["id", "lang_pred", "score"])
 
