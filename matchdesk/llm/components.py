@@ -30,16 +30,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node
-    reachable. Each round is written to the shared folder; only two numbers per
-    round reach the driver."""
+    reachable. Each round is written to the shared folder; the rounds end when the
+    edges are stars: no node is both child and root, and none has two roots."""
     edges = stored(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
-        edges = stored(_small_star(stored(_large_star(edges).distinct(), "large-star")).distinct(), "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "small-star")
+        roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        roles = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+        if roles.where("child + root > 1").isEmpty():
             break
-        before = tuple(state)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -141,9 +141,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) with their exact distance and whether they are linked."""
+    pairs = stored(pairs.distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    sets = sets.join(sized(ids), "rid", "left_semi")  # later rounds shuffle the few sets they need
     x = sets.select(F.col("rid").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("rid").alias("b"), F.col("set").alias("y"))
-    joined = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     sizes = joined.mapInArrow(_shared, "a long, b long, both long, na long, nb long")
     union = F.col("na") + F.col("nb") - F.col("both")
     return sizes.select("a", "b", (1 - F.col("both") / union).alias("d"),

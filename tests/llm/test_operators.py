@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchdesk.llm import bpe, decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash_dedup
 from matchdesk.llm import suffix_dedup, token_files, training_order
+from matchdesk.llm.components import components
 from matchdesk.llm.queries import ORACLE, QUERIES, token_digests
 from tests.conftest import SF_SMALL
 from tests.llm import brute
@@ -64,6 +65,24 @@ def test_near_chain(spark):
     assert got == sorted(brute.near(rows), key=key)
 
 
+def test_near_lengths(spark):
+    """Prefixes of a text, at and around the length ratio where a link just holds."""
+    rows = [(n * 1000 + k, " ".join(f"t{n}w{i}" for i in range(k + 4))) for n in (20, 100, 340)
+            for k in {n, n * 85 // 100, n * 85 // 100 - 1, n * 85 // 100 + 1, n * 7225 // 10000}]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(minhash_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near(rows), key=key)
+
+
+def test_components(spark):
+    """A path, a cycle, a star, a pair and a two-way repeated edge."""
+    edges = [(i, i + 1) for i in range(10, 60)] + [(100, 104), (104, 102), (102, 100)] + [(200, 200 + i) for i in range(1, 9)]
+    edges += [(301, 300), (300, 301), (400, 400)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 10 for i in range(10, 61)} | {i: 100 for i in (100, 102, 104)} | {200 + i: 200 for i in range(9)} | {300: 300, 301: 300}
+    assert got == want
+
+
 def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     for size in (1, 3, 20, 400):
