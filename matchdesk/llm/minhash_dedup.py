@@ -39,7 +39,7 @@ from .components import components
 from .text_hash import mix, prefix, slices
 
 SHINGLE = 5
-ROWS = 5
+ROWS = 7
 BANDS = 32
 BINS = ROWS * BANDS
 PERCENT = 85
