@@ -183,9 +183,11 @@ def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
                            F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b"))
         dist = stored(_distances(star.select("a", "b"), sets, percent), "distances")
         links = dist.where("linked").select("a", "b")
-        if known is not None:
+        if known is None:
+            known = stored(components(links), "components")
+        elif not links.isEmpty():  # else the components stand as they are
             links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        known = stored(components(links), "components")
+            known = stored(components(links), "components")
         rated = stored(star.where("open").join(dist, ["a", "b"]).select("bucket", "rid", "c", "d", "linked"), "rated")
 
         own = rated.where("linked").groupBy("bucket", "rid").agg(F.min(F.struct("d", "c")).alias("m")).select(
