@@ -118,7 +118,7 @@ def _tuples(length: int):
 
 def _segments(rows: list[tuple], length: int):
     """(offset of each part in its document, keys, starts, bytes): whole documents
-    together, an oversized one in pieces that overlap by one window."""
+    together, an oversized one in pieces that hold every window start exactly once."""
     small = [(k, raw) for k, raw in rows if len(raw) <= SEGMENT]
     if small:
         sizes = np.array([len(raw) for _, raw in small])
@@ -126,7 +126,7 @@ def _segments(rows: list[tuple], length: int):
                np.frombuffer(b"".join(raw for _, raw in small), np.uint8))
     for k, raw in rows:
         if len(raw) > SEGMENT:
-            for at in range(0, len(raw) - length + 1, SEGMENT - length):
+            for at in range(0, len(raw) - length + 1, SEGMENT - length + 1):
                 part = np.frombuffer(raw, np.uint8, min(SEGMENT, len(raw) - at), at)
                 if len(part) >= length:
                     yield np.array([at]), np.array([k], np.int64), np.zeros(1, np.int64), part

@@ -1,5 +1,7 @@
 """Each operator against its brute-force version: the smallest given tables and made-up odd rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +114,23 @@ def test_repeats_across_chunks(spark, small_docs, small_rows, monkeypatch):
     assert covered(whole) == covered(one) == set(range(17000 - 99))
 
 
+def test_repeats_in_pieces(spark, monkeypatch):
+    """Documents cut into pieces: no byte goes that stands nowhere else."""
+    from pyspark import cloudpickle
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 5000)
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    once = text(17000)
+    rows = [(1, once), (2, text(12000)), (3, text(4900) + once[4800:5100] + text(9000) + once[9700:15200]), (4, "ab" * 6000), (5, text(5000)), (6, text(5001))]
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # workers get the small SEGMENT
+    try:
+        out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = rows_of(out.withColumn("h", F.sha2("kept", 256)), "doc_id", "n_bytes", "n_removed", "n_spans", "h")
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert got == sorted(brute.repeats(rows), key=key)
+
+
 def _batch(rows):
     import pyarrow as pa
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["key", "text"])
