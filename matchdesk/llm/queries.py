@@ -28,8 +28,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest of the written shards: doc_id, seq, slot, n_tokens, shard, offset."""
-    _, manifest = training_order.write_training_order(read_table(spark, sf_dir, "documents"))
+    """Manifest of the written shards of BPE ids: doc_id, seq, slot, n_tokens, shard, offset."""
+    _, manifest = training_order.write_token_order(read_table(spark, sf_dir, "documents"))
     return manifest.withColumnRenamed("id", "doc_id")
 
 

@@ -8,9 +8,12 @@ anywhere. Sequences are range-partitioned by slot and every shard file is writte
 one task as records of one fixed length: record r of shard s is slot
 ``s * RECORDS + r``, so a reader seeks straight to any slot and can resume there.
 
-The query's ids are byte ids: a token is a byte of the text's UTF-8 form, ``END``
-and ``PAD`` are two byte values that UTF-8 never uses, and the vocabulary is fixed.
-:func:`materialise` takes any id type (for instance 16-bit BPE ids) by its ``dtype``.
+The query's ids are the 16-bit BPE ids of op7's vocabulary (:func:`write_token_order`):
+documents are encoded once, stand one behind the other with ``TOKEN_END`` behind each,
+and the stream is cut into sequences, so only the last sequence is padded.
+:func:`write_training_order` writes byte ids, with sequences of one document each:
+a token is a byte of the text's UTF-8 form, ``END`` and ``PAD`` are two byte values
+that UTF-8 never uses. :func:`materialise` takes any id type by its ``dtype``.
 """
 
 from __future__ import annotations
@@ -24,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import encoding, vocabulary_path
 from .common import scratch, sized, stored
 from .files import open_store, put
 from .text_hash import mix
+from .token_files import DTYPE
+from .token_files import END as TOKEN_END
 
 LENGTH = 2048        # tokens of a sequence
 RECORDS = 8192       # sequences of a shard (16 MB of byte ids)
 END, PAD = 0xFF, 0xFE
+TOKEN_PAD = TOKEN_END + 1  # free in the 50,256-entry vocabularies as well
 KEY = 20240607
 ROUNDS = 6
 
@@ -79,9 +86,33 @@ def byte_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["id", "first", "ids"])
 
 
+def _token_ids(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Text to packed 16-bit ids with the end identifier behind, and their number."""
+        enc, pack = encoding(path), zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            key, tie, text = batch.columns
+            n, body = [], []
+            for t in text:
+                ids = np.array(enc.encode_ordinary(t.as_py() or "") + [TOKEN_END], DTYPE)
+                n.append(len(ids)), body.append(pack.compress(ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([key, tie, pa.array(n, pa.int64()), pa.array(body, pa.binary())], ["id", "tie", "n", "body"])
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        key, first, body = batch.columns
+        for k in range(0, len(key), 256):  # ids of a few documents at once
+            yield pa.RecordBatch.from_arrays(
+                [key[k:k + 256], first[k:k + 256], pa.array([unpack.decompress(b.as_py()) for b in body[k:k + 256]], pa.binary())],
+                ["id", "first", "ids"])
+
+
 def number_documents(sizes: DataFrame) -> tuple[DataFrame, int]:
-    """``sizes`` (id, tie, n, ...) with the index of each document's first sequence, and
-    the number of sequences. Documents stand in order of (id, tie); one total per range
+    """``sizes`` (id, tie, n, ...) with the sum of n before each document (its first
+    sequence or token), and the total. Documents stand in order of (id, tie); one total per range
     partition passes through the driver."""
     ranged = stored(sizes.repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()), "ranged")
     totals = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
@@ -95,37 +126,47 @@ def number_documents(sizes: DataFrame) -> tuple[DataFrame, int]:
     return stored(ranged.join(F.broadcast(offsets), "part").withColumn("first", first).drop("part", "base"), "numbered"), at
 
 
-def _cutter(total: int, length: int, dtype: str, pad: int, key: int):
+def _cutter(total: int, length: int, dtype: str, key: int, packed: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perm, width = Permutation(total, key), np.dtype(dtype).itemsize
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            owner, index, n, body = [], [], [], []
+            owner, index, at, n, body = [], [], [], [], []
             for k, first, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                for j, at in enumerate(range(0, len(ids), length * width)):
-                    piece = ids[at:at + length * width]
-                    owner.append(k), index.append(first + j), n.append(len(piece) // width)
-                    body.append(pack.compress(piece))
+                place = first if packed else first * length  # of the document's first token
+                have, done = len(ids) // width, 0
+                while done < have:
+                    j, a = divmod(place + done, length)
+                    m = min(length - a, have - done)
+                    owner.append(k), index.append(j), at.append(a), n.append(m)
+                    body.append(pack.compress(ids[done * width:(done + m) * width]))
+                    done += m
             slot = perm.slot(np.array(index, np.uint64)) if index else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot, pa.int64()), pa.array(index, pa.int64()), pa.array(owner, pa.int64()),
-                 pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["slot", "seq", "id", "n_tokens", "body"])
+                [pa.array(slot, pa.int64()), pa.array(index, pa.int64()), pa.array(at, pa.int32()), pa.array(owner, pa.int64()),
+                 pa.array(n, pa.int32()), pa.array(body, pa.binary())], ["slot", "seq", "at", "id", "n_tokens", "body"])
     return cut
 
 
 def _shard_writer(folder: str, length: int, records: int, dtype: str, pad: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by slot and whole shards at a time."""
+        """Rows arrive sorted by slot and place, and whole shards at a time."""
         width = np.dtype(dtype).itemsize
         fill = np.full(length, pad, dtype).tobytes()
         unpack = zstandard.ZstdDecompressor()
         shard, rows = None, []
 
+        def chunks() -> Iterator[bytes]:
+            for k, r in enumerate(rows):
+                yield unpack.decompress(r["body"])
+                if k + 1 == len(rows) or rows[k + 1]["slot"] != r["slot"]:  # the record's last piece
+                    yield fill[(r["at"] + r["n_tokens"]) * width:]
+
         def flush() -> pa.RecordBatch:
             name = f"{folder}/{shard:08d}.bin"
-            put(name, ((raw := unpack.decompress(r["body"])) + fill[len(raw):] for r in rows))
+            put(name, chunks())
             out = {k: [r[k] for r in rows] for k in ("slot", "seq", "id", "n_tokens")}
-            at = [(r["slot"] - shard * records) * length * width for r in rows]
+            at = [((r["slot"] - shard * records) * length + r["at"]) * width for r in rows]
             return pa.RecordBatch.from_arrays(
                 [pa.array(out["slot"], pa.int64()), pa.array(out["seq"], pa.int64()), pa.array(out["id"], pa.int64()),
                  pa.array(out["n_tokens"], pa.int32()), pa.array([f"{shard:08d}.bin"] * len(rows)), pa.array(at, pa.int64())],
@@ -145,20 +186,34 @@ def _shard_writer(folder: str, length: int, records: int, dtype: str, pad: int):
 
 
 def materialise(ids: DataFrame, total: int, folder: str, length: int = LENGTH, records: int = RECORDS,
-                dtype: str = "u1", pad: int = PAD, key: int = KEY) -> DataFrame:
+                dtype: str = "u1", pad: int = PAD, key: int = KEY, packed: bool = False) -> DataFrame:
     """Cut (id, first, ids binary) into sequences, place them and write the shards.
 
-    Returns one row per sequence: slot, seq (its index), id, n_tokens, shard, offset.
-    Every slot of 0..total-1 occurs once; the last record of a document is padded."""
-    rows = ids.mapInArrow(_cutter(total, length, dtype, pad, key), "slot long, seq long, id long, n_tokens int, body binary")
+    ``first`` is the index of a document's first sequence or, if ``packed``, the number
+    of tokens before it. Returns one row per piece of a document in a sequence: slot, seq
+    (the sequence's index), id, n_tokens, shard, offset (bytes). Every slot of 0..total-1
+    occurs; a record is padded behind its last piece."""
+    rows = ids.mapInArrow(_cutter(total, length, dtype, key, packed),
+                          "slot long, seq long, at int, id long, n_tokens int, body binary")
     n_shards = max(1, -(-total // records))
     # slots are dense, so shards are the range partitioning by slot; no sampling needed
     placed = rows.repartition(n_shards, F.floor(F.col("slot") / records))
-    return placed.sortWithinPartitions("slot").mapInArrow(
+    return placed.sortWithinPartitions("slot", "at").mapInArrow(
         _shard_writer(folder, length, records, dtype, pad),
         "slot long, seq long, id long, n_tokens int, shard string, offset long")
 
 
+def _placed(src: DataFrame, first: DataFrame, body: str) -> DataFrame:
+    """(id, first, ``body``) of every row of ``src`` (id, tie, ``body``)."""
+    rows = src.join(sized(first), src["id"].eqNullSafe(first["id"]) & (src["tie"] == first["tie"])).select(
+        src["id"], src["tie"], src[body], first["first"], first["n"], first["copies"])
+    # rows that repeat id and text are numbered one behind the other
+    one = rows.where("copies = 1").select("id", "first", body)
+    many = rows.where("copies > 1").dropDuplicates(["id", "tie"]).select(
+        "id", F.explode(F.expr("transform(sequence(0L, copies - 1), c -> first + c * (n div copies))")).alias("first"), body)
+    return one.unionByName(many)
+
+
 def write_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None,
                          length: int = LENGTH, records: int = RECORDS, key: int = KEY) -> tuple[str, DataFrame]:
     """Byte-id shards of all texts; returns the folder and the manifest.
@@ -172,16 +227,29 @@ def write_training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length).cast("long")
     sizes = src.groupBy("id", "tie").agg(F.sum(n).alias("n"), F.count("*").alias("copies"))
     first, total = number_documents(stored(sizes, "doc-sizes"))
-    rows = src.join(sized(first), src.id.eqNullSafe(first.id) & (src.tie == first.tie)).select(
-        src.id, src.tie, "text", "first", "n", "copies")
-    # rows that repeat id and text are numbered one behind the other
-    one = rows.where("copies = 1").select("id", "first", "text")
-    many = rows.where("copies > 1").dropDuplicates(["id", "tie"]).select(
-        "id", F.explode(F.expr("transform(sequence(0L, copies - 1), c -> first + c * (n div copies))")).alias("first"), "text")
-    ids = one.unionByName(many).mapInArrow(byte_ids, "id long, first long, ids binary")
+    ids = _placed(src, first, "text").mapInArrow(byte_ids, "id long, first long, ids binary")
     return folder, materialise(ids, max(1, total), folder, length, records, key=key)
 
 
+def write_token_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None,
+                      length: int = LENGTH, records: int = RECORDS, key: int = KEY,
+                      vocabulary: str | None = None) -> tuple[str, DataFrame]:
+    """Shards of the 16-bit BPE ids of all texts, packed back to back; returns the folder
+    and the manifest, one row per piece of a document in a sequence.
+
+    Null and empty texts give the end identifier alone. Null ids come first in the order;
+    rows that repeat id and text get ids of their own. Other columns are not read; an
+    empty table gives no shard."""
+    spark = docs.sparkSession
+    folder = folder or scratch(spark, "shards")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    coded = stored(src.mapInArrow(_token_ids(vocabulary or vocabulary_path()), "id long, tie long, n long, body binary"), "token-ids")
+    sizes = coded.groupBy("id", "tie").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
+    first, total = number_documents(stored(sizes, "doc-sizes"))
+    ids = _placed(coded.drop("n"), first, "body").mapInArrow(_unpacked, "id long, first long, ids binary")
+    return folder, materialise(ids, max(1, -(-total // length)), folder, length, records, DTYPE, TOKEN_PAD, key, packed=True)
+
+
 def read_slots(folder: str, start: int, stop: int, length: int = LENGTH, records: int = RECORDS, dtype: str = "u1") -> np.ndarray:
     """Records of a range of slots, by seeking: the resumable sequential reader."""
     stride, out = length * np.dtype(dtype).itemsize, []

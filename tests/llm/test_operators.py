@@ -193,6 +193,40 @@ def test_training_order(spark, both):
     assert (training_order.read_slots(folder, 30, 70, length, records) == data[30:70]).all()
 
 
+def test_token_order(spark, both):
+    """The shards hold the tokenizer's ids of every text, back to back in order of id."""
+    docs, rows = both
+    length, records = 64, 50
+    folder, manifest = training_order.write_token_order(docs, length=length, records=records)
+    enc = brute.encoder()
+    want = sorted(((i, [*enc.encode_ordinary(t or ""), training_order.TOKEN_END]) for i, t in rows), key=lambda r: key((r[0],)))
+    tokens = sum(len(ids) for _, ids in want)
+    total = -(-tokens // length)
+    got = [tuple(r) for r in manifest.select("seq", "offset", "slot", "id", "n_tokens", "shard").collect()]
+    data = training_order.read_slots(folder, 0, total, length, records, "<u2")
+    assert {g[2] for g in got} == set(range(total)) and sum(g[4] for g in got) == tokens
+    seqs = {seq: slot for seq, _, slot, _, _, _ in got}
+    assert sorted(seqs) == list(range(total))
+    stream = np.concatenate([data[seqs[s]] for s in range(total)])
+    assert (stream[tokens:] == training_order.TOKEN_PAD).all()
+    texts, open_ = [], []
+    for seq, offset, slot, i, n, shard in sorted(got, key=lambda g: g[:2]):
+        assert shard == f"{slot // records:08d}.bin"
+        at = offset // 2 - slot % records * length
+        open_ += data[slot][at:at + n].tolist()
+        if open_[-1] == training_order.TOKEN_END:
+            texts.append((i, open_))
+            open_ = []
+    assert open_ == [] and sorted(texts, key=str) == sorted(want, key=str)
+    assert stream[:tokens].tolist() == [x for _, ids in texts for x in ids]
+
+
+def test_training_order_query_writes_vocabulary_ids(spark, small_rows):
+    enc = brute.encoder()
+    got = QUERIES["op5_training_order"](spark, SF_SMALL).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(enc.encode_ordinary(t or "")) + 1) for i, t in small_rows)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
