@@ -7,7 +7,9 @@ order, fused by their product, and paths above a threshold taken from the page's
 own spread are content. Paths through elements that never hold the article (menus, forms,
 scripts, side matter, adverts, comments) have ratio zero, and a path's ratio is
 fused with that of its container, so short paragraphs stand or fall with the column
-of text that they belong to.
+of text that they belong to. ``article`` and ``main`` are a feature of the container's
+ratio: blocks inside share it, a heading or lead before a nested one is fused with the
+nested one's, and containers outside count half. The threshold holds on every page.
 """
 
 from __future__ import annotations
@@ -42,11 +44,12 @@ IMPLIED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class _Blocks(HTMLParser):
-    """Text blocks of a page in order: [path, container, text, link length, side matter]."""
+    """Text blocks of a page in order: [path, container, text, link length, side matter,
+    rank of the article or main that holds it: 0 none, 1 marked as side matter, 2 unmarked]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []  # tag, label, side matter
+        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, side matter, marked as such
         self.blocks: list[list] = []
         self.text: list[str] = []
         self.link = 0
@@ -67,11 +70,12 @@ class _Blocks(HTMLParser):
             else:
                 inner = labels[:-1] if len(labels) > 1 else labels
             self.blocks.append(["/".join(labels), "/".join(inner), text, self.link,
-                                any(s[2] for s in self.stack), holder is not None])
+                                any(s[2] for s in self.stack),
+                                0 if holder is None else 1 if any(s[3] for s in self.stack[:holder + 1]) else 2])
         self.text, self.link = [], 0
 
     def _pop(self, k: int):
-        for tag, _, _ in self.stack[k:]:
+        for tag, _, _, _ in self.stack[k:]:
             self.raw -= tag in RAW
             self.links -= tag == "a"
         del self.stack[k:]
@@ -105,7 +109,7 @@ class _Blocks(HTMLParser):
             side = True
         self.raw += tag in RAW
         self.links += tag == "a"
-        self.stack.append((tag, label, side and tag not in CONTENT and tag not in ("html", "body")))
+        self.stack.append((tag, label, side and tag not in CONTENT and tag not in ("html", "body"), side and tag in CONTENT))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash does not close an element of HTML
@@ -157,25 +161,36 @@ def main_text(html: str | None) -> str:
         return (np.bincount(at, x) / np.bincount(at))[at]
 
     # paths, then their containers: mean text and mean punctuation per node
-    text = _smooth(ratio(0, length)) + ratio(1, length)
-    point = _smooth(ratio(0, points)) + ratio(1, points)
-    fused = text * (1.0 + point)
-    inside = np.array([b[5] and not b[4] for b in blocks])
+    path_text, path_point = _smooth(ratio(0, length)), _smooth(ratio(0, points))
+    box_text, box_point = ratio(1, length), ratio(1, points)
     side = np.array([b[4] for b in blocks])
-    if inside.any() and fused[inside].max() > 0:
-        # the container with the heaviest paths is the article; its blocks share its ratio
-        best: dict[str, float] = {}
+    rank = np.array([0 if b[4] or not box_text[k] else b[5] for k, b in enumerate(blocks)])
+    inside = (rank == rank.max()) & (rank > 0)
+    if inside.any():  # containers outside article and main count half
+        weight = np.where(inside, 1.0, 0.5)
+        box_text, box_point = box_text * weight, box_point * weight
+    fused = (path_text + box_text) * (1.0 + path_point + box_point)
+    open_ = fused[~side]
+    if not len(open_) or open_.max() <= 0:
+        return ""
+    limit = min(open_.std(), 0.5 * open_.max())
+    score = fused.copy()
+    if inside.any():
+        members: dict[str, list[int]] = {}
         for k in np.flatnonzero(inside):
-            best[blocks[k][1]] = best.get(blocks[k][1], 0.0) + length[k]
-        top = max(best.values())
-        chosen = {c for c, v in best.items() if v >= 0.5 * top}
-        keep = np.array([blocks[k][1] in chosen and not side[k] for k in range(len(blocks))])
-    else:
-        open_ = fused[~side]
-        if not len(open_) or open_.max() <= 0:
-            return ""
-        limit = min(open_.std(), 0.5 * open_.max())
-        keep = (fused >= limit) & ~side & (length > 0)
+            members.setdefault(blocks[k][1], []).append(k)
+        # half the text and half the punctuation of the heaviest container will do
+        heavy = max(members.values(), key=lambda m: length[m].sum())
+        limit = min(limit, 0.25 * fused[heavy].mean())
+        for box, m in members.items():
+            within = [n[0] for b, n in members.items() if b.startswith(box + "/")]
+            score[m] = np.maximum(fused[m], fused[m].mean())
+            if within:  # a heading or lead belongs to the text that follows
+                more = [k for k in m if length[k] > 0]
+                lifted = ((path_text[more] + max(box_text[within].max(), box_text[m[0]]))
+                          * (1.0 + path_point[more] + max(box_point[within].max(), box_point[m[0]])))
+                score[more] = np.maximum(score[more], lifted)
+    keep = (score >= limit) & ~side & ((length > 0) | inside)
     return "\n".join(b[2] for b, k in zip(blocks, keep) if k)
 
 

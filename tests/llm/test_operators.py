@@ -277,6 +277,33 @@ def test_html_page():
     assert "disagree" not in html_text.main_text(plain) and "cheap" not in html_text.main_text(plain)
 
 
+def test_html_lead_and_parts():
+    """Heading and lead in main before the article, a short second part, a nested article."""
+    long = [f"This is paragraph {k}, it is long, and it says much about the matter; more follows, as one would expect here." for k in range(9)]
+    paras = "".join(f"<p>{x}</p>" for x in long)
+    lead = "A lead of one sentence, which says what follows, and why."
+    part = "The second part, shorter, has one paragraph, which is as dense as the first, and belongs to it."
+    inner = "A nested article, which has a paragraph of its own, as dense as the others are, and no more."
+    main = f"<main><h1>The heading</h1><p>{lead}</p><article>{paras}</article></main>"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Another page of this site</a></li>" for k in range(9)) + "</ul>"
+    for page in (main, main.replace("</main>", links + "</main>"), main + links):
+        assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}</body></html>").split("\n") == ["The heading", lead, *long]
+    for page, more in ((f"<article>{paras}</article><article class='part two'><p>{part}</p></article>", part),
+                       (f"<article>{paras}<article class=inner><p>{inner}</p></article></article>", inner)):
+        assert html_text.main_text(f"<html><body>{page}<footer>The site, since 1999.</footer></body></html>").split("\n") == [*long, more]
+    teasers = "".join(f"<article class=teaser><h3><a href=/{k}>Another article of this site</a></h3></article>" for k in range(5))
+    comment = "<article class=comment><p>I disagree.</p></article>"
+    assert html_text.main_text(f"<html><body><article>{paras}</article>{teasers}{comment}</body></html>").split("\n") == long
+
+
+def test_html_text_outside_the_article_passes_by_its_ratio():
+    """Text as dense as the article's is kept wherever it stands, sparse text is not."""
+    long = [f"This is paragraph {k}, it is long, and it says much about the matter; more follows, as one would expect here." for k in range(9)]
+    paras = "".join(f"<p>{x}</p>" for x in long)
+    got = html_text.main_text(f"<html><body><div class=top>12 May</div><article>{paras}</article><div class=more>{paras}</div><div class=end>Up</div></body></html>")
+    assert got.split("\n") == long + long
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<html", "&amp", "<p", "</p></p>", "<script>x", "<!-- x"])
 def test_html_broken(html):
     assert isinstance(html_text.main_text(html), str)
