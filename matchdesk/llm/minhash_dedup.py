@@ -11,17 +11,17 @@ bands of ``ROWS`` bins form buckets. In a bucket only stars are formed: a few
 centres, each against the other members, so a bucket of n classes costs n edges
 per centre and not n squared.
 
-Confirmation is exact, on the full shingle sets. A member linked to a centre
-already belongs to the centre's component, so linked members are not compared with
-each other. They may still tie an unlinked (*open*) member to the component: distance
-1 - similarity obeys the triangle inequality, so a linked x at distance u of the
-centre can link with an open y at distance v only if ``v - u <= limit``. Linked
-members for which such an open member exists stay as possible centres, closest
-first; all others leave. Each round joins what is linked so far into components,
-takes new centres, four times as many as before, and compares only members of
-different components, until every bucket lies in one component or has no open member
-that lacks a comparison. No bucket is capped and no comparison that could tie two
-components is skipped.
+Confirmation is exact, on the full shingle sets; only pairs whose set sizes alone rule a
+link out are not read, and their distance counts as the least that the sizes allow. A
+member linked to a centre already belongs to the centre's component, so members of one
+component are not compared with each other. A linked member may still tie a member of
+another component, open or linked, to its own: distance 1 - similarity obeys the triangle
+inequality, so a linked x at distance u of the centre can link with a y at distance v
+only if ``v - u <= limit``. Linked members for which such a y exists stay as possible
+centres, closest first; all others leave. Each round joins what is linked so far into
+components, takes new centres, four times as many as before, and compares only members
+of different components, until every bucket lies in one component. No bucket is capped
+and no comparison inside a bucket that could tie two components is skipped.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .components import components
 from .text_hash import mix, prefix, slices
 
 SHINGLE = 5
-ROWS = 7
+ROWS = 5
 BANDS = 32
 BINS = ROWS * BANDS
 PERCENT = 85
@@ -140,8 +140,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) with their exact distance and whether they are linked."""
+    """Distinct pairs (a, b, na, nb) with their distance and whether they are linked. The
+    distance is exact, or, where the sizes na and nb rule a link out, a lower bound."""
     pairs = stored(pairs.distinct(), "pairs")
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    apart = pairs.where(100 * small < percent * large).select(
+        "a", "b", (1 - small / large).alias("d"), F.lit(False).alias("linked"))
+    pairs = pairs.where(100 * small >= percent * large).select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     sets = sets.join(sized(ids), "rid", "left_semi")  # later rounds shuffle the few sets they need
     x = sets.select(F.col("rid").alias("a"), F.col("set").alias("x"))
@@ -150,14 +155,14 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = joined.mapInArrow(_shared, "a long, b long, both long, na long, nb long")
     union = F.col("na") + F.col("nb") - F.col("both")
     return sizes.select("a", "b", (1 - F.col("both") / union).alias("d"),
-                        (100 * F.col("both") >= percent * union).alias("linked"))
+                        (100 * F.col("both") >= percent * union).alias("linked")).unionByName(apart)
 
 
 def _buckets(sig: DataFrame) -> DataFrame:
-    """(bucket, rid) of one representative per class of equal sets, in buckets of two and more."""
+    """(bucket, rid, size) of one representative per class of equal sets, in buckets of two and more."""
     reps = sig.where("n_shingles > 0").groupBy("lo", "hi", "n_shingles").agg(F.min("rid").alias("rid"))
-    keys = sig.join(reps.select("rid"), "rid", "left_semi").select("rid", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("rid", F.xxhash64("band", "key").alias("bucket"))
+    keys = sig.join(reps.select("rid"), "rid", "left_semi").select("rid", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    keys = keys.select("rid", F.xxhash64("band", "key").alias("bucket"), F.col("n_shingles").alias("size"))
     many = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     return stored(keys.join(many, "bucket"), "buckets")
 
@@ -176,35 +181,39 @@ def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
     while True:
         rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("d").asc_nulls_last(), "rid"))
         centres = stored(live.withColumn("r", rank).where(F.col("r") <= n_centres).select(
-            "bucket", F.col("rid").alias("c"), F.col("d").isNull().alias("c_open"), F.col("root").alias("c_root")), "centres")
-        star = live.join(centres, "bucket").where(
-            (F.col("root") != F.col("c_root")) & (F.col("d").isNull() | F.col("c_open")))
+            "bucket", F.col("rid").alias("c"), F.col("size").alias("c_size"), F.col("root").alias("c_root")), "centres")
+        star = live.join(centres, "bucket").where(F.col("root") != F.col("c_root"))
+        first_is_c = F.col("c") < F.col("rid")
         star = star.select("bucket", "rid", "c", F.col("d").isNull().alias("open"),
-                           F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b"))
-        dist = stored(_distances(star.select("a", "b"), sets, percent), "distances")
+                           F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b"),
+                           F.when(first_is_c, F.col("c_size")).otherwise(F.col("size")).alias("na"),
+                           F.when(first_is_c, F.col("size")).otherwise(F.col("c_size")).alias("nb"))
+        dist = stored(_distances(star.select("a", "b", "na", "nb"), sets, percent), "distances")
         links = dist.where("linked").select("a", "b")
         if known is None:
             known = stored(components(links), "components")
         elif not links.isEmpty():  # else the components stand as they are
             links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
             known = stored(components(links), "components")
-        rated = stored(star.where("open").join(dist, ["a", "b"]).select("bucket", "rid", "c", "d", "linked"), "rated")
+        rated = stored(star.join(dist, ["a", "b"]).select("bucket", "rid", "c", "open", "d", "linked"), "rated")
 
-        own = rated.where("linked").groupBy("bucket", "rid").agg(F.min(F.struct("d", "c")).alias("m")).select(
+        own = rated.where("open AND linked").groupBy("bucket", "rid").agg(F.min(F.struct("d", "c")).alias("m")).select(
             "bucket", "rid", F.col("m.d").alias("u"), F.col("m.c").alias("c"))
         rest = live.join(centres.select("bucket", F.col("c").alias("rid")), ["bucket", "rid"], "left_anti")
         rest = rest.join(own, ["bucket", "rid"], "left")
-        still = rated.join(own.select("bucket", "rid"), ["bucket", "rid"], "left_anti")
-        nearest = still.groupBy("bucket", "c").agg(F.min("d").alias("v"))
-        # a newly linked member stays only while an open one may lie within the limit
+        roots = sized(known)
+        apart = rated.where("NOT linked").join(roots.select(F.col("node").alias("rid"), F.col("root").alias("x")), "rid", "left").join(
+            roots.select(F.col("node").alias("c"), F.col("root").alias("y")), "c", "left")
+        apart = apart.where(F.coalesce("x", "rid") != F.coalesce("y", "c"))
+        nearest = apart.groupBy("bucket", "c").agg(F.min("d").alias("v"))
+        # a newly linked member stays only while one of another component may lie within the limit
         rest = rest.join(nearest, ["bucket", "c"], "left").where(
             F.col("u").isNull() | F.col("d").isNotNull() | (F.col("v") - F.col("u") <= limit))
-        rest = rest.select("bucket", "rid", F.coalesce("d", "u").alias("d")).join(
+        rest = rest.select("bucket", "rid", "size", F.coalesce("d", "u").alias("d")).join(
             known.withColumnRenamed("node", "rid"), "rid", "left")
         rest = stored(rest.withColumn("root", F.coalesce("root", "rid")), "rest")
-        busy = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count("d").alias("n_linked"),
-                                          F.min("root").alias("low"), F.max("root").alias("high"))
-        busy = busy.where("n > n_linked AND low <> high").select("bucket")
+        busy = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        busy = busy.where("low <> high").select("bucket")
         live = stored(rest.join(busy, "bucket"), "buckets")
         if live.isEmpty():
             return known

@@ -76,6 +76,18 @@ def test_near_lengths(spark):
     assert got == sorted(brute.near(rows), key=key)
 
 
+def test_near_links_between_linked_members(spark, monkeypatch):
+    """One bucket of seven: 6 and 7 are linked to centres of different components in the
+    second round, and only their own link joins those."""
+    words = [f"w{k}" for k in range(200)]
+    at = {2: 0, 6: 8, 7: 16, 3: 24}  # windows of 100 shingles: a shift of 8 links, of 16 does not
+    rows = [(i, " ".join(words[at[i]:at[i] + 104] if i in at else [f"u{i}x{k}" for k in range(104)])) for i in range(1, 8)]
+    bucket = spark.createDataFrame([(1, i, 100) for i, _ in rows], "bucket long, rid long, size long")
+    monkeypatch.setattr(minhash_dedup, "_buckets", lambda sig: bucket)
+    got = minhash_dedup.near_components(spark.createDataFrame(rows, "rid long, text string"), None)
+    assert {r["node"]: r["root"] for r in got.collect()} == {2: 2, 3: 2, 6: 2, 7: 2}
+
+
 def test_components(spark):
     """A path, a cycle, a star, a pair and a two-way repeated edge."""
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, 104), (104, 102), (102, 100)] + [(200, 200 + i) for i in range(1, 9)]
