@@ -33,11 +33,11 @@ WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 20_000
 MAX_LANGUAGES = 200
 MAX_GRAM = 5
-MAX_WORD = 64          # letters of a word that enter its n-grams in training and scoring alike
+MAX_WORD = 64          # letters of a word; longer runs count as several, in training and scoring alike
 CACHE_WORDS = 50_000   # unseen words whose scores a task remembers
 FLUSH = 50_000         # counts a task holds before it hands them to Spark
 UNDETERMINED = "und"
-CANDIDATE = re.compile(r"[^\W\d_]+")  # letters, and a few numeric signs removed below
+CANDIDATE = re.compile(rf"[^\W\d_]{{1,{MAX_WORD}}}")  # letters, and a few numeric signs removed below
 
 
 def held_out(id_col: Column) -> Column:
@@ -45,7 +45,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters."""
+    """Lower-case runs of letters, long ones in consecutive pieces of MAX_WORD letters."""
     found = CANDIDATE.findall(text.lower())
     if all(map(str.isalpha, found)):
         return found
@@ -60,7 +60,7 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(word: str) -> Iterator[list[str]]:
     """Per position of the marked word: its n-grams from the longest to the shortest."""
-    w = f" {word[:MAX_WORD]} "
+    w = f" {word} "
     for i in range(len(w) - 1):
         yield [w[i:i + n] for n in range(min(MAX_GRAM, len(w) - i), 0, -1)]
 

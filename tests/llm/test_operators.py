@@ -254,6 +254,19 @@ def test_language_odd(spark, odd_docs, odd_rows, no_docs):
     assert {r[0] for r in language_id.identify(unlabelled).select("lang_pred").distinct().collect()} == {"und"}
 
 
+def test_language_reads_long_runs_whole(spark):
+    """Text without spaces: the letters behind the 64th decide as well."""
+    assert language_id.words_of("Ab" * 70 + " c") == ["ab" * 32, "ab" * 32, "ab" * 6, "c"]
+    rnd = random.Random(4)
+    text = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    letters = {"xx": "abcdefgh", "yy": "mnopqrst"}
+    rows = [(k, text(letters[x], 300), x) for k in range(60) for x in letters]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = [(1, text(letters["xx"], 64) + text(letters["yy"], 600)), (2, text(letters["yy"], 64) + text(letters["xx"], 600))]
+    got = language_id.predict(spark.createDataFrame(mixed, "doc_id long, text string"), language_id.train(docs))
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "yy", 2: "xx"}
+
+
 def test_language_ignores_its_label(spark, small_docs):
     other = small_docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))
     a = rows_of(language_id.identify(small_docs), "doc_id", "lang_pred", "score")
