@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import bpe, decontaminate, exact_dedup, html_text, language_id, line_dedup, minhash_dedup
-from . import suffix_dedup, token_files, training_order
+from . import conversation_repair, lz_fingerprint, suffix_dedup, token_alignment, token_files, training_order
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.with_next(read_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, present="present")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_exact_dedup, op3_html_extraction, op4_decontamination, op5_training_order, op6_line_dedup,
-    op7_byte_bpe, op8_minhash_dedup, op9_token_counts, op10_suffix_dedup)}
+    op7_byte_bpe, op8_minhash_dedup, op9_token_counts, op10_suffix_dedup,
+    op11_lz_fingerprint, op12_conversation_repair, op13_token_alignment)}
 
 ORACLE = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE,
           "op6_line_dedup": line_dedup.ORACLE}
