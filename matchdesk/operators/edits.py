@@ -28,24 +28,34 @@ def field_text(field: Column) -> Column:
     return reduce(lambda acc, b: acc.when(b[0], b[1]), rest, F.when(first[0], first[1]))
 
 
-def validate(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Status of every edit: ok | unknown_field | unknown_id | bad_value.
+def rows_of(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Key and editable fields of the edited rows, from one scan of the snapshot."""
+    ids = edits.select("id")
+    return semi_join(snapshot.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), ids.distinct(), "id", ids)
 
-    Flags must be integers; their accepted value is the integer's text. A refused
-    edit keeps its text. The id check is a left join to the snapshot ids.
-    """
-    n = edits.count()
-    known = known_keys(edits, snapshot, "id", bound=n).withColumn("_known", F.lit(True))
-    e = edits.join(small_side(known, n), "id", "left")
+
+def shape_checked(edits: DataFrame) -> DataFrame:
+    """F15/M1 without the table: `status` ok | unknown_field | bad_value of every edit. Flags
+    must be integers; their accepted value is the integer's text."""
     is_flag = F.col("field").isin(*S.FLAG_FIELDS)
     text = F.trim(F.col("new_value"))
     number = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int").cast("string"))
-    status = (F.when(~F.col("field").isin(*S.EDITABLE_FIELDS), F.lit("unknown_field"))
-              .when(F.col("_known").isNull(), F.lit("unknown_id"))
-              .when(is_flag & number.isNull(), F.lit("bad_value"))
-              .otherwise(F.lit("ok")))
+    status = (F.when(~F.coalesce(F.col("field").isin(*S.EDITABLE_FIELDS), F.lit(False)), F.lit("unknown_field"))
+              .when(is_flag & number.isNull(), F.lit("bad_value")).otherwise(F.lit("ok")))
     value = F.when(is_flag & number.isNotNull(), number).otherwise(F.col("new_value"))
-    return e.select("seq", "id", "field", value.alias("new_value"), status.alias("status"))
+    return edits.withColumns({"new_value": value, "status": status})
+
+
+def validate(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Status of every edit: ok | unknown_field | unknown_id | bad_value.
+
+    A refused edit keeps its text. The id check is a left join to the snapshot ids.
+    """
+    known = known_keys(edits, snapshot, "id").withColumn("_known", F.lit(True))
+    e = shape_checked(edits).join(small_side(known, edits.select("id")), "id", "left")
+    status = (F.when(F.col("status") == "unknown_field", F.col("status"))
+              .when(F.col("_known").isNull(), F.lit("unknown_id")).otherwise(F.col("status")))
+    return e.select("seq", "id", "field", "new_value", status.alias("status"))
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -77,7 +87,7 @@ def compact(edits: DataFrame, snapshot: DataFrame, with_key: bool = False) -> Da
     last = last_values(edits, ["id", "field"])
     cols = ["id", *S.EDITABLE_FIELDS] + (["canvas_id", "canvas_ssn"] if with_key else [])
     snap = snapshot.select(*cols)
-    j = small_side(last, edits.count()).join(snap, "id")  # at most one row per edit
+    j = small_side(last, edits).join(snap, "id")  # at most one row per edit
     out = [F.col("id"), F.col("field"), field_text(F.col("field")).alias("old_value"),
            F.col("new_value"), F.col("seq")]
     if with_key:
@@ -132,34 +142,31 @@ def apply_changes(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def overlay(snapshot: DataFrame, pending: DataFrame, bound: int | None = None) -> DataFrame:
+def overlay(snapshot: DataFrame, pending: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The snapshot with pending changes applied (a NULL new value survives).
 
-    The per-row change maps are broadcast when their row count is proven
-    small (`bound`: e.g. the edit log's row count), so the snapshot is
-    scanned once and not shuffled."""
+    The per-row change maps are broadcast when their bytes, or those of the edit log they
+    come from (`source`), are proven small, so the snapshot is scanned once and not shuffled."""
     maps = change_maps(pending, ["id"])
-    return apply_changes(snapshot.join(small_side(maps, bound if bound is not None else pending.count()),
-                                       "id", "left"))
+    return apply_changes(snapshot.join(small_side(maps, pending if source is None else source), "id", "left"))
 
 
 # ---- change producers ------------------------------------------------------
 
 def bulk_set(snapshot: DataFrame, ids: DataFrame, field: str = "recommendation",
              value: str = S.APPROVED) -> DataFrame:
-    """M2/M7: set `field` on the selected rows; old value blanked like the
-    reference's `str(x or '')`. Unknown ids are not edits (see rejects)."""
+    """M2/M7: set `field` on the selected rows; the true old value is logged (Q7, Q8).
+    Unknown ids are not edits (see rejects)."""
     rows = semi_join(snapshot, ids.select("id").distinct(), "id")
     return rows.select("id", F.lit(field).alias("field"),
-                       X.blank(F.col(field).cast("string")).alias("old_value"),
+                       F.col(field).cast("string").alias("old_value"),
                        F.lit(value).alias("new_value"))
 
 
 def rejects(ids: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Requested ids that are not in the table."""
     req = ids.select("id").distinct()
-    n = req.count()
-    return anti_join(req, small_side(known_keys(req, snapshot, "id", bound=n), n), "id")
+    return anti_join(req, small_side(known_keys(req, snapshot, "id"), req), "id")
 
 
 def import_flag(snapshot: DataFrame, id_list: DataFrame, field: str = "jib") -> DataFrame:
@@ -189,23 +196,24 @@ def import_counts(snapshot: DataFrame, id_list: DataFrame, field: str = "jib") -
 
 def set_process(view_rows: DataFrame, value: str) -> DataFrame:
     """Set how_to_process on every row in view whose value differs."""
-    old = X.blank("how_to_process")
-    return view_rows.filter(old != F.lit(value)).select(
-        "id", F.lit("how_to_process").alias("field"), old.alias("old_value"), F.lit(value).alias("new_value"))
+    return view_rows.filter(X.blank("how_to_process") != F.lit(value)).select(
+        "id", F.lit("how_to_process").alias("field"), F.col("how_to_process").alias("old_value"), F.lit(value).alias("new_value"))
 
 
-FORM_FIELDS = ["canvas_name", "canvas_address", "canvas_city", "canvas_state", "canvas_zip",
-               "recommendation", "address_reason", "memo"]
+FORM_FIELDS = S.FORM_FIELDS
 
 
 def form_edits(forms: DataFrame, snapshot: DataFrame) -> DataFrame:
     """M8: a record-form save writes its 8 fields, changed or not.
 
-    `forms` has `id` and the 8 form fields (text). The snapshot gives the old
-    values; `stack` turns each form into 8 edits.
+    `forms` has `id` and the form fields that were typed; the others are saved as the form
+    shows them (NULL as ''). One join gives the rows' old values and those shown; `stack`
+    turns each form into 8 edits.
     """
-    f = forms.select("id", *[F.col(c).alias("_new_" + c) for c in FORM_FIELDS])
+    typed = [c for c in FORM_FIELDS if c in forms.columns]
+    f = forms.select("id", *[F.col(c).alias("_new_" + c) for c in typed])
     j = small_side(f).join(snapshot.select("id", *FORM_FIELDS), "id")
+    j = j.withColumns({"_new_" + c: X.blank(c) for c in FORM_FIELDS if c not in typed})
     pairs = ", ".join(f"'{c}', {c}, _new_{c}" for c in FORM_FIELDS)
     return j.selectExpr("id", f"stack({len(FORM_FIELDS)}, {pairs}) as (field, old_value, new_value)")
 

@@ -48,15 +48,43 @@ def sized_join(big: DataFrame, small: DataFrame, on: Column, *, big_key: str, sm
             .drop("_salt_b", "_salt_s"))
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on, bound: int | None = None) -> DataFrame:
+# A side is broadcast only when its bytes were measured and found under this limit.
+BROADCAST_BYTES = 64 << 20
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a DataFrame's rows, from one aggregate: the length of each text, 16 for any
+    other value."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            width = width + F.lit(16) + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif f.dataType.simpleString().startswith(("map", "array", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+        else:
+            width = width + F.lit(16)
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, source: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A join side, broadcast only when its bytes are proven small.
+
+    ``source`` is an input that bounds the side (change maps hold no more than the edit log
+    they come from) and is cheaper to measure. Left to AQE, both join inputs would be shuffled
+    before the small one is measured, so the big side -- the whole snapshot -- would be
+    shuffled for nothing. Above the limit the plain shuffle join is kept (AQE splits skew).
+    """
+    return F.broadcast(df) if bytes_of(df if source is None else source) <= limit else df
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on, source: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (EXISTS).
 
-    Key lists are user input (an uploaded file, a selection) with no size
-    known in advance: they are counted (or bounded by their source) and
-    broadcast only when small, so the big side is never shuffled for a short
-    list; a long list keeps the shuffle join.
+    Key lists are user input (an uploaded file, a selection) with no size known in
+    advance: they (or their ``source``) are measured and broadcast only when small, so the
+    big side is never shuffled for a short list; a long list keeps the shuffle join.
     """
-    return df.join(small_side(keys, bound), on, "left_semi")
+    return df.join(small_side(keys, source), on, "left_semi")
 
 
 def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
@@ -64,27 +92,8 @@ def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
-def known_keys(requested: DataFrame, table: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+def known_keys(requested: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """The requested keys that exist in a big table, without shuffling it:
-    the table's key column is semi-joined to the broadcast request list."""
-    req = requested.select(key).distinct()
-    return semi_join(table.select(key), req, key, bound)
-
-
-# Change maps (one row per edited row or key, at most 12 fields each) are
-# broadcast below this many rows.
-MAP_BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, bound: int | None = None, limit: int = MAP_BROADCAST_ROWS) -> DataFrame:
-    """A join side broadcast only when its row count is proven small.
-
-    `bound` is an upper bound on the side's rows known from its input (e.g.
-    change maps have at most one row per edit, so the edit log's row count
-    bounds them); without one the side is counted. Left to AQE, both join
-    inputs would be shuffled before the small one is measured, so the big
-    side -- the whole snapshot -- would be shuffled for nothing. Above the
-    limit the plain shuffle join is kept (AQE still splits skew).
-    """
-    n = df.count() if bound is None else bound
-    return F.broadcast(df) if n <= limit else df
+    the table's key column is semi-joined to the measured request list."""
+    req = requested.select(key)
+    return semi_join(table.select(key), req.distinct(), key, req)

@@ -1,16 +1,14 @@
-"""Saving pending changes."""
+"""Saving pending changes (M13, M14, J3, J4, S10, S12, Q3-Q5); `sources.review_table` writes them."""
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchdesk import schema as S
 from matchdesk.operators import edits as E
-from matchdesk.operators.joins import small_side
-from matchdesk.sources.store import Store
+from matchdesk.operators.joins import semi_join, small_side
 
 KEY = ["canvas_id", "canvas_ssn"]
 
@@ -21,36 +19,50 @@ def ntz_literal(ts: _dt.datetime):
     return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def save_by_id(snapshot: DataFrame, pending: DataFrame, bound: int | None = None) -> DataFrame:
+def save_by_id(snapshot: DataFrame, pending: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The new versions of the rows with pending changes (merge on id).
     Fields not edited on a row keep their values (Q2)."""
-    maps = small_side(E.change_maps(pending, ["id"]), bound if bound is not None else pending.count())
+    maps = small_side(E.change_maps(pending, ["id"]), pending if source is None else source)
     return E.apply_changes(snapshot.join(maps, "id"))
 
 
 def key_changes(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Q4: one value per (business key, field), greatest seq wins, from the
-    edit log joined to each edited row's key (J4)."""
-    keyed = edits.join(snapshot.select("id", *KEY), "id")
-    return E.last_values(keyed, [*KEY, "field"])
-
-
-def save_by_key(snapshot: DataFrame, edits: DataFrame, bound: int | None = None) -> DataFrame:
-    """MERGE on (canvas_id, canvas_ssn): every row sharing an edited key
-    is updated. The change maps (one row per edited key) are broadcast when
-    their count is small -- a hot key then costs nothing extra and the
-    snapshot is not shuffled; otherwise the shuffle join stands and AQE splits
-    a skewed (hot-key) snapshot partition."""
-    # one map per edited key: at most one per edit
-    maps = small_side(E.change_maps(key_changes(edits, snapshot), KEY),
-                      bound if bound is not None else edits.count())
+    """Q4: one value per (business key, field), greatest seq wins. The keys of the edited
+    rows are looked up once (J4); the snapshot is narrowed to them first."""
+    ids = edits.select("id")
+    keys = semi_join(snapshot.select("id", *KEY), ids.distinct(), "id", ids)
+    return E.last_values(edits.join(small_side(keys, ids), "id"), [*KEY, "field"])
+
+
+def merge_by_key(snapshot: DataFrame, changes: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """MERGE of (key, field, new_value) on (canvas_id, canvas_ssn): every row sharing an
+    edited key is updated, a NULL key matches nothing (Q5). The change maps are broadcast when
+    measured small -- a hot key then costs nothing extra and the snapshot is not shuffled;
+    otherwise the shuffle join stands and AQE splits a skewed snapshot partition."""
+    maps = small_side(E.change_maps(changes, KEY), changes if source is None else source)
     return E.apply_changes(snapshot.join(maps, KEY))
 
 
+def save_by_key(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
+    """The rows that a save of these edits by business key changes."""
+    return merge_by_key(snapshot, key_changes(edits, snapshot), edits)
+
+
+def key_counts(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """S12's result: keys edited, keys that no row has, and rows affected."""
+    keys = changes.select(*KEY).distinct()
+    hits = (snapshot.select(*KEY).join(small_side(keys, changes.select(*KEY)), KEY)
+            .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
+    per_key = keys.join(hits, KEY, "left")
+    return per_key.agg(F.count(F.lit(1)).alias("edited_keys"), F.count_if(F.col("n").isNull()).alias("unmatched_keys"),
+                       F.coalesce(F.sum("n"), F.lit(0)).alias("rows_affected"))
+
+
 def unmatched_keys(pending_keyed: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Q5: pending keys that match no row (a NULL key never matches)."""
     keys = pending_keyed.select(*KEY).distinct()
-    return keys.join(snapshot.select(*KEY).distinct(), KEY, "left_anti")
+    found = semi_join(snapshot.select(*KEY), keys, KEY, pending_keyed.select(*KEY)).distinct()
+    return keys.join(small_side(found, pending_keyed.select(*KEY)), KEY, "left_anti")
 
 
 def audit_rows(pending_keyed: DataFrame, saved_at: _dt.datetime) -> DataFrame:
@@ -61,55 +73,22 @@ def audit_rows(pending_keyed: DataFrame, saved_at: _dt.datetime) -> DataFrame:
         ntz_literal(saved_at).alias("updated_at"))
 
 
-def audit_log(pending_keyed: DataFrame, saved_at: _dt.datetime, batch: int) -> DataFrame:
-    """Audit rows with id and created_at, partitioned by date on write.
-
-    The id is a 64-bit hash of (batch, row id, field): deterministic on
-    recompute, unique within and across saves for practical purposes.
-    """
+def audit_log(pending_keyed: DataFrame, saved_at: _dt.datetime) -> DataFrame:
+    """Audit rows as they are logged, with the row they change. The id is the seq of
+    the winning edit, so rows of one save are in the order of their edits."""
     ts = ntz_literal(saved_at)
     return pending_keyed.select(
-        F.xxhash64(F.lit(batch), F.col("id"), F.col("field")).alias("id"),
-        "canvas_id", "canvas_ssn", F.col("field").alias("field_name"), "old_value", "new_value",
-        ts.alias("updated_at"), ts.alias("created_at"), F.to_date(ts).alias("updated_date"))
-
-
-def commit_save(store: Store, edits: DataFrame, saved_at: _dt.datetime | None = None,
-                table: str = "matches", audit_table: str = "audit", rejects_table: str = "rejects") -> dict:
-    """Write snapshot n+1, the audit batch and the rejected edits, then publish
-    all with one manifest append. Readers resolve through the manifest only, so a
-    crash before the append leaves version n current and no audit rows visible.
-
-    Every edit is validated first. Only `ok` edits are applied, logged (with the
-    value as stored) and counted; the others go to the rejects table with their status.
-    """
-    saved_at = saved_at or _dt.datetime.now().replace(microsecond=0)
-    snapshot = store.read(table)
-    if snapshot is None:
-        raise ValueError(f"no committed version of {table}")
-    cur = store.latest(table)[0]
-    checked = E.validate(edits, snapshot).persist()
-    pending = E.compact(E.accepted(checked), snapshot, with_key=True).persist()
-    try:
-        maps = small_side(E.change_maps(pending, ["id"]), pending.count())
-        new_snapshot = E.apply_changes(snapshot.join(maps, "id", "left"))
-        version = cur + 1
-        snap_path = store.stage(table, version, new_snapshot)
-        audit = audit_log(pending, saved_at, version)
-        audit_path = store.stage(audit_table, version, audit, partition_by=["updated_date"])
-        refused = E.refused(checked)
-        rejects_path = store.stage(rejects_table, version, refused)
-        saved = pending.agg(F.count_distinct("id")).first()[0]
-        n_refused = refused.count()
-        store.publish([(table, version, snap_path), (audit_table, version, audit_path),
-                       (rejects_table, version, rejects_path)])
-    finally:
-        pending.unpersist()
-        checked.unpersist()
-    return {"version": version, "saved": saved, "rejected": n_refused}
-
-
-def recent(audit: DataFrame, limit: int = S.DEFAULT_AUDIT_LIMIT) -> DataFrame:
-    """Newest audit rows (TakeOrderedAndProject; date partitions prune
-    when a date filter is given)."""
-    return audit.orderBy(F.col("updated_at").desc(), F.col("id").desc()).limit(limit)
+        F.col("seq").alias("id"), F.col("id").alias("row_id"), "canvas_id", "canvas_ssn", F.col("field").alias("field_name"),
+        "old_value", "new_value", ts.alias("updated_at"), ts.alias("created_at"))
+
+
+def trail(edits: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The audit log of saving each edit as it was made: old value as the edit before left it,
+    or the row's own. Edits of no row are not in it."""
+    w = Window.partitionBy("id", "field").orderBy("seq")
+    e = edits.withColumn("_before", F.lag(F.struct("new_value")).over(w))
+    rows = E.rows_of(edits, snapshot)
+    old = F.when(F.col("_before").isNull(), E.field_text(F.col("field"))).otherwise(F.col("_before.new_value"))
+    return e.join(small_side(rows, edits.select("id")), "id").select(
+        F.col("seq").alias("id"), F.col("id").alias("row_id"), "canvas_id", "canvas_ssn", F.col("field").alias("field_name"),
+        old.alias("old_value"), "new_value", F.col("edited_at").alias("updated_at"), F.to_date("edited_at").alias("updated_date"))

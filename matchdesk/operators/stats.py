@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchdesk.functions import exprs as X
@@ -25,14 +25,12 @@ def recommendation_counts(df: DataFrame) -> DataFrame:
     """Rows per recommendation (NULL dropped), share of all
     rows to 1 decimal, and display rank.
 
-    The grand total is a window over the grouped result, which has one row
-    per distinct recommendation -- a small domain -- so the single partition
-    it needs is tiny.
+    The domain is open, so the groups stay distributed; the total is a one-row
+    aggregate of them that is joined to each.
     """
     g = df.groupBy("recommendation").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return (g.withColumn("total", total)
-            .filter(F.col("recommendation").isNotNull())
+    total = g.agg(F.sum("n").alias("total"))
+    return (g.filter(F.col("recommendation").isNotNull()).crossJoin(F.broadcast(total))
             .select("recommendation", "n",
                     F.round(F.lit(100.0) * F.col("n") / F.col("total"), 1).alias("pct"),
                     X.rec_rank().alias("rank")))

@@ -10,9 +10,13 @@ position above c still holds an action; otherwise they are no-ops.
 Then, at the end: applied actions = the last action written to each
 position p < c; undo stack = those with b <= p < c.
 
+An undo or redo acts on the action last written to its position, so the changes that a
+history makes are a signed log: an action's new values when it is done or redone, its old
+values when it is undone. The last entry per cell is the cell's value (`applied`).
+
 Only the cursor walk is sequential. It streams through `mapInPandas` over
 session-partitioned, seq-sorted rows -- bounded state (three integers) --
-and emits one (position, seq, action) row per `do` plus the final state.
+and emits one (kind, position, seq, action) row per effective event plus the final state.
 The stacks are then plain DataFrame aggregation and a join, so no session's
 actions are ever collected into one row or one pandas frame.
 
@@ -30,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchdesk import schema as S
+from matchdesk.operators import edits as E
 
 WALK_SCHEMA = ("session long, chunk long, kind string, pos long, seq long, action_id long, "
                "cursor long, undo_size long, redo_size long")
@@ -55,7 +60,7 @@ def _walk(cap: int):
         for pdf in batches:
             if pdf.empty:
                 continue
-            out_s, out_k, out_pos, out_seq, out_aid = [], [], [], [], []
+            out: list[tuple] = []
             cols = [pdf[x].to_numpy() for x in ("session", "chunk", "op", "seq", "action_id",
                                                  "start_c", "start_k", "start_r")]
             for sess, chunk, op, seq, aid, c0, k0, r0 in zip(*cols):
@@ -68,23 +73,20 @@ def _walk(cap: int):
                     raise RuntimeError("undo fold: actions of a session out of seq order")
                 last_seq = seq
                 if op == "do":
-                    out_s.append(sess); out_k.append(chunk); out_pos.append(c); out_seq.append(seq)
-                    out_aid.append(aid)
+                    out.append((sess, chunk, op, c, seq, aid))
                     c += 1
                     top = c
                     if c - b > cap:
                         b += 1
-                elif op == "undo":
-                    if c > b:
-                        c -= 1
-                elif op == "redo":
-                    if c < top:
-                        c += 1
-            if out_s:
-                n = len(out_s)
-                yield pd.DataFrame({"session": out_s, "chunk": out_k, "kind": ["do"] * n, "pos": out_pos,
-                                    "seq": out_seq, "action_id": out_aid, "cursor": [None] * n,
-                                    "undo_size": [None] * n, "redo_size": [None] * n})
+                elif op == "undo" and c > b:
+                    c -= 1
+                    out.append((sess, chunk, op, c, seq, None))
+                elif op == "redo" and c < top:
+                    out.append((sess, chunk, op, c, seq, None))
+                    c += 1
+            if out:
+                df = pd.DataFrame(out, columns=["session", "chunk", "kind", "pos", "seq", "action_id"])
+                yield df.assign(cursor=None, undo_size=None, redo_size=None)
         if key is not None:
             ends.append((key[0], key[1], c, c - b, top - c))
         if ends:
@@ -228,3 +230,26 @@ def undo_stack(actions: DataFrame, cap: int = S.UNDO_MAX, **kw) -> DataFrame:
 def effective(actions: DataFrame, cap: int = S.UNDO_MAX, **kw) -> DataFrame:
     """Actions in effect: the undo stack plus those pushed off by the cap."""
     return stacks(actions, cap, **kw).select("session", "action_id")
+
+
+def acted(actions: DataFrame, cap: int = S.UNDO_MAX, **kw) -> DataFrame:
+    """(session, seq, action_id, undone): the action that each effective event does, undoes or
+    redoes. Events on an empty stack are not in it."""
+    events = walk(actions, cap, **kw).filter(F.col("kind") != "end")
+    before = Window.partitionBy("session", "pos").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.select("session", "seq", F.last("action_id", ignorenulls=True).over(before).alias("action_id"),
+                         (F.col("kind") == "undo").alias("undone"))
+
+
+def change_log(actions: DataFrame, changes: DataFrame, cap: int = S.UNDO_MAX, **kw) -> DataFrame:
+    """The signed log (seq, id, field, new_value) of what sessions do to the table.
+    `changes` (action_id, id, field, old_value, new_value) holds what each action changes."""
+    value = F.when(F.col("undone"), F.col("old_value")).otherwise(F.col("new_value"))
+    return (acted(actions, cap, **kw).join(changes, "action_id")
+            .select("seq", "id", "field", value.alias("new_value")))
+
+
+def applied(actions: DataFrame, changes: DataFrame, cap: int = S.UNDO_MAX, **kw) -> DataFrame:
+    """The cells' values after all sessions: (id, field, seq, new_value), the last entry of
+    the signed log per cell."""
+    return E.last_values(change_log(actions, changes, cap, **kw), ["id", "field"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matchdesk import schema as S
@@ -150,12 +150,15 @@ def sort_keys(column: str | None, direction: str = "asc") -> list[Column]:
 
 def page(df: DataFrame, start: int = 0, length: int = S.DEFAULT_PAGE_LENGTH,
          sort: tuple[str, str] | None = None, topk_limit: int | None = None) -> DataFrame:
-    """O2: one page -> TakeOrderedAndProject(limit=start+length, offset=start).
+    """O2: one page -> TakeOrderedAndProject(limit=start+length, offset=start). Length -1
+    is every row from `start` (O3).
 
     A top-k buffers start+length rows per task, so past `topk_limit` the page
     is the first `length` rows after a distributed boundary (`from_offset`).
     """
     limit = TOPK_BOUNDARY_LIMIT if topk_limit is None else topk_limit
+    if length < 0:
+        return from_offset(df, start, sort, topk_limit=limit)
     if start > limit:
         return from_offset(df, start, sort, topk_limit=limit).limit(length)
     column, direction = sort or ("id", "asc")
@@ -165,6 +168,36 @@ def page(df: DataFrame, start: int = 0, length: int = S.DEFAULT_PAGE_LENGTH,
     return ordered.limit(length)
 
 
+def page_with_counts(df: DataFrame, f: ViewFilter, start: int = 0, length: int = S.DEFAULT_PAGE_LENGTH,
+                     sort: tuple[str, str] | None = None) -> DataFrame:
+    """A6 + O2: a page of a view, each row with `records_total` and `records_filtered`.
+
+    Both counts are metrics observed on the way by the job that finds the page; no job
+    counts. A page of a length is collected, it has at most `length` rows. For length -1
+    (every row from `start`) the job that finds the first row gives the counts, and the rows
+    themselves stay a DataFrame. A page behind the last row has no rows, so no counts.
+    """
+    total, shown = Observation(), Observation()
+    n = F.count(F.lit(1)).alias("n")
+    seen = view(df.observe(total, n), f).observe(shown, n)
+    column, direction = sort or ("id", "asc")
+    keys = sort_keys(column, direction)
+    if length >= 0:
+        got = seen.orderBy(*keys).offset(start).limit(length)
+        out = df.sparkSession.createDataFrame(got.collect(), got.schema)
+    else:
+        key_col = column if column in S.SORTABLE_COLUMNS else "id"
+        out = view(df, f)
+        if start:
+            last = seen.orderBy(*keys).offset(start - 1).limit(1).select(key_col, F.col("id").alias("_id")).first()
+            out = out.limit(0) if last is None else out.filter(after_key(column, direction, last[0], last[1]))
+        else:
+            seen.agg(n).collect()
+        out = out.orderBy(*keys)
+    return out.withColumns({"records_total": F.lit(total.get["n"]).cast("bigint"),
+                            "records_filtered": F.lit(shown.get["n"]).cast("bigint")})
+
+
 def after_key(column: str, direction: str, value, row_id: int) -> Column:
     """Keyset predicate: rows strictly after (value, id) in sort_keys order."""
     i = F.col("id")

@@ -49,6 +49,7 @@ def review_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Queries below are registered in SURVEY §7.3 order.
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -60,11 +61,20 @@ from matchdesk.operators import search as SR
 from matchdesk.operators import stats as ST
 from matchdesk.operators import undo as U
 from matchdesk.operators.joins import semi_join
+from matchdesk.session import work_root
+from matchdesk.sources import cache as CA
 from matchdesk.sources import load as L
+from matchdesk.sources.review_table import ReviewTable, recent
+from matchdesk.sources.row_ids import import_ids
 
 q = O.sql_str
 
 
+def _fresh(spark, name: str) -> str:
+    """A new folder under the shared work folder."""
+    return f"{work_root(spark)}/matchdesk/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def _m(spark, sf_dir):
     return IN.matches(spark, sf_dir)
 
@@ -88,6 +98,56 @@ def adapt_master_layout(spark, sf_dir):
     return L.normalize(IN.master(spark, sf_dir))
 
 
+@query("evolve_catalog_table", O.with_ctes(["matches"]) + "select *, 0 as rev, 0 as vendor from matches")
+def evolve_catalog_table(spark, sf_dir):
+    """S7 on a catalog table: the stored columns altered in, old rows read their defaults, and
+    the empty audit log created beside it."""
+    name, path = f"matches_{uuid.uuid4().hex[:8]}", _fresh(spark, "catalog")
+    raw = IN.raw_matches(spark, sf_dir)
+    raw.write.option("path", path).saveAsTable(name)
+    L.evolve_table(spark, name)
+    return spark.table(name)
+
+
+_GOOD_SQL = O.with_ctes(["master"]).replace("select s_suppkey as id", "select s_suppkey, s_suppkey as id", 1) + """, parts as (
+ select s_suppkey as s, case when s_suppkey % 11 = 3 then concat('no', cast(s_suppkey as varchar)) else cast(s_suppkey as varchar) end as ident,
+  concat('H', cast(s_suppkey as varchar)) as code, ssn, hdrname, concat('contact ', cast(s_suppkey as varchar)) as contact,
+  concat(cast(s_suppkey % 99 as varchar), ' Main St') as address, addrcity, addrstate,
+  lpad(cast((s_suppkey * 37) % 100000 as varchar), 5, '0') as zip, cast(s_suppkey % 5 as varchar) as sub,
+  case when s_suppkey % 3 = 0 then 'n/a' else cast(s_suppkey % 101 as varchar) end as score from master),
+lines as (select *, concat_ws(',', ident, code, ssn, hdrname, contact, address, addrcity, addrstate, zip, sub, score) as whole from parts)
+"""
+_BAD = "(s % 7 in (1, 2) or s % 11 = 3)"
+
+
+@query("load_csv_matches", _GOOD_SQL + f"""select s as id, code as dec_hdrcode, ssn as canvas_ssn, hdrname as dec_name,
+ contact as dec_contact, address as dec_address, addrcity as dec_city, addrstate as dec_state, zip as dec_zip, sub as dec_addrsubcode,
+ {O.num('score')} as name_score, '' as canvas_id, '' as canvas_name, '' as canvas_address, '' as canvas_city, '' as canvas_state,
+ '' as canvas_zip, 0.0::double as ssn_match, 0.0::double as address_score, '' as recommendation, '' as address_reason,
+ 0 as jib, 0 as rev, 0 as vendor, '' as how_to_process, '' as memo from lines where not {_BAD}""")
+def load_csv_matches(spark, sf_dir):
+    """A CSV master table with upper-case headers and damaged lines, normalized."""
+    return L.load_csv(spark, IN.master_csv(spark, sf_dir))[0]
+
+
+@query("load_rejects", _GOOD_SQL + f"""select case when s % 7 = 1 then concat(whole, ',surplus')
+ when s % 7 = 2 then concat(cast(s as varchar), ',cut') else whole end as line from lines where {_BAD}""")
+def load_rejects(spark, sf_dir):
+    """The lines of that file that are no rows."""
+    return L.load_csv(spark, IN.master_csv(spark, sf_dir))[1]
+
+
+@query("import_row_ids", O.with_ctes(["m"]) + """, k as (select canvas_id, dec_hdrcode, cast(canvas_id as bigint) % 2 as late from m)
+select canvas_id, dec_hdrcode, row_number() over (order by late, canvas_id, dec_hdrcode) as id from k""")
+def import_row_ids(spark, sf_dir):
+    """Ids for a table without any, imported twice: its even customers first, then all of
+    it; known rows keep their ids, the others follow in key order."""
+    path = _fresh(spark, "row-ids")
+    rows = _m(spark, sf_dir).select("canvas_id", "dec_hdrcode")
+    import_ids(rows.filter(F.col("canvas_id").cast("bigint") % 2 == 0), path, ["canvas_id", "dec_hdrcode"])
+    return import_ids(rows, path, ["canvas_id", "dec_hdrcode"]).select("canvas_id", "dec_hdrcode", "id")
+
+
 @query("evolve_schema", O.with_ctes(["matches"]) + "select *, 0 as rev, 0 as vendor from matches")
 def evolve_schema(spark, sf_dir):
     """The stored table with the missing review columns added."""
@@ -135,6 +195,32 @@ def page_from_offset_all(spark, sf_dir):
     return V.shipped(V.from_offset(_m(spark, sf_dir), 100, ("canvas_name", "asc")))
 
 
+PAGE_FILTER = V.ViewFilter(recommendations="NEEDS REVIEW,PROCESSED", min_addr=20)
+_PAGE_SQL = O.with_ctes(["m"]) + f""", v as (select * from m where recommendation in ('NEEDS REVIEW', 'PROCESSED') and address_score >= 20)
+select {O.SHIPPED_SQL}, (select count(*) from m) as records_total, (select count(*) from v) as records_filtered
+from v order by name_score desc nulls last, id"""
+
+
+@query("page_with_counts", _PAGE_SQL + " limit 25 offset 25")
+def page_with_counts(spark, sf_dir):
+    """The second page of a view with its total and filtered counts, from one job."""
+    got = V.page_with_counts(_m(spark, sf_dir), PAGE_FILTER, 25, 25, ("name_score", "desc"))
+    return got.select(*V.shipped(got).columns, "records_total", "records_filtered")
+
+
+@query("page_all_with_counts", _PAGE_SQL + " offset 30")
+def page_all_with_counts(spark, sf_dir):
+    """Every row of the view from position 30 (length -1), with both counts."""
+    got = V.page_with_counts(_m(spark, sf_dir), PAGE_FILTER, 30, -1, ("name_score", "desc"))
+    return got.select(*V.shipped(got).columns, "records_total", "records_filtered")
+
+
+@query("clear_filters", O.with_ctes(["m"]) + f"select {O.SHIPPED_SQL} from m")
+def clear_filters(spark, sf_dir):
+    """a view after all its filters were cleared."""
+    return V.shipped(V.view(_m(spark, sf_dir), V.ViewFilter()))
+
+
 @query("ssn_partial", _view_sql("ssn_match > 0 and ssn_match < 100"))
 def ssn_partial(spark, sf_dir):
     """the partial-SSN preset."""
@@ -210,7 +296,7 @@ def record_lookup(spark, sf_dir):
     """P20: the record form of every row someone opened for editing."""
     m = _m(spark, sf_dir)
     ed = IN.edits(spark, sf_dir)
-    return V.record_form(semi_join(m, ed.select("id").distinct(), "id", bound=ed.count()))
+    return V.record_form(semi_join(m, ed.select("id").distinct(), "id", ed.select("id")))
 
 
 @query("domain_order", O.with_ctes(["m"]) + f"""
@@ -272,6 +358,17 @@ def export_view(spark, sf_dir):
     return V.export_columns(V.view(_m(spark, sf_dir), f))
 
 
+VISIBLE = ["id", "canvas_name", "canvas_csz", "dec_hdrcode", "memo"]
+
+
+@query("visible_columns", O.with_ctes(["m"]) + "select " + ", ".join(
+    f"coalesce({O.display_value(cid)}, '') as \"{label}\"" for cid, label, _ in S.GRID_COLUMNS if cid in VISIBLE)
+    + " from m where recommendation = 'NEEDS REVIEW'")
+def visible_columns(spark, sf_dir):
+    """A view with a chosen set of columns switched on and the others off."""
+    return V.export_columns(V.view(_m(spark, sf_dir), V.ViewFilter(recommendations="NEEDS REVIEW")), VISIBLE)
+
+
 @query("export_selected", _export_sql("id in (select id from selection)", ["m", "selection"]))
 def export_selected(spark, sf_dir):
     """Export of the selected rows."""
@@ -424,7 +521,7 @@ def replace_counts(spark, sf_dir):
 # ---- 6. Edits --------------------------------------------------------------
 
 @query("bulk_approve", O.with_ctes(["m", "selection"]) + """
-select id, 'recommendation' as field, coalesce(recommendation, '') as old_value, 'APPROVED' as new_value
+select id, 'recommendation' as field, recommendation as old_value, 'APPROVED' as new_value
 from m where id in (select id from selection)""")
 def bulk_approve(spark, sf_dir):
     """M2/M7: approve the selected rows."""
@@ -445,9 +542,8 @@ def bulk_counts(spark, sf_dir):
     """Requested, updated and rejected counts of a bulk approve (one pass)."""
     from matchdesk.operators.joins import known_keys, small_side
     sel = IN.selection(spark, sf_dir)
-    n = sel.count()
-    known = known_keys(sel, _m(spark, sf_dir), "id", bound=n).withColumn("_known", F.lit(True))
-    j = sel.join(small_side(known, n), "id", "left")
+    known = known_keys(sel, _m(spark, sf_dir), "id").withColumn("_known", F.lit(True))
+    j = sel.join(small_side(known, sel), "id", "left")
     return j.agg(F.count(F.lit(1)).alias("requested"), F.count("_known").alias("updated"),
                  (F.count(F.lit(1)) - F.count("_known")).alias("rejected"))
 
@@ -472,7 +568,7 @@ def import_counts(spark, sf_dir):
 
 
 @query("set_process_in_view", O.with_ctes(["m"]) + """
-select id, 'how_to_process' as field, coalesce(how_to_process, '') as old_value,
+select id, 'how_to_process' as field, how_to_process as old_value,
  'Merge BA and address' as new_value from m
 where recommendation = 'EXISTING BA AND EXISTING ADDRESS' and name_score >= 50
  and coalesce(how_to_process, '') <> 'Merge BA and address'""")
@@ -482,14 +578,21 @@ def set_process_in_view(spark, sf_dir):
     return E.set_process(rows, "Merge BA and address")
 
 
+@query("set_process_on_cells", O.with_ctes(["m", "edits"]) + """
+select id, 'how_to_process' as field, how_to_process as old_value, 'Add address to existing BA' as new_value from m
+where id in (select id from edits where field in ('memo', 'how_to_process'))
+ and coalesce(how_to_process, '') <> 'Add address to existing BA'""")
+def set_process_on_cells(spark, sf_dir):
+    """The process of every row of a chosen cell range whose value differs."""
+    cells = IN.edits(spark, sf_dir).filter(F.col("field").isin("memo", "how_to_process")).select("id")
+    return E.set_process(semi_join(_m(spark, sf_dir), cells.distinct(), "id", cells), "Add address to existing BA")
+
+
 def _forms(spark, sf_dir):
     """Record forms: rows with a name edit, the latest name typed, other
     fields as the form shows them (NULL -> '')."""
-    m = _m(spark, sf_dir)
-    names = E.last_values(IN.edits(spark, sf_dir).filter(F.col("field") == "canvas_name"), ["id"])
-    j = names.join(m, "id")
-    return j.select("id", F.col("new_value").alias("canvas_name"),
-                    *[X.blank(c).alias(c) for c in E.FORM_FIELDS if c != "canvas_name"])
+    ed = IN.edits(spark, sf_dir).filter(F.col("field") == "canvas_name")
+    return E.last_values(ed, ["id"]).select("id", F.col("new_value").alias("canvas_name"))
 
 
 _FORM_SQL = O.with_ctes(["m", "edits"]) + """
@@ -538,23 +641,25 @@ def validate_edits(spark, sf_dir):
     return E.validate(FX.proposed_edits(IN.edits(spark, sf_dir)), _m(spark, sf_dir))
 
 
-def _saved_store(spark, sf_dir):
-    """A store whose stored snapshot took one save of the proposed edits."""
-    import uuid
+_SAVED: dict[tuple[str, str, str, str], ReviewTable] = {}
+SAVE_TIME = _dt.datetime(2024, 3, 1, 9, 0, 0)
 
-    from matchdesk.session import work_root
-    from matchdesk.sources.store import Store
 
-    store = Store(spark, f"{work_root(spark)}/matchdesk/save-{uuid.uuid4().hex[:8]}")
-    store.adopt("matches", IN.stored_path(spark, sf_dir, "matches"))
-    SV.commit_save(store, FX.proposed_edits(IN.edits(spark, sf_dir)), _dt.datetime(2024, 3, 1, 9, 0, 0))
-    return store
+def _saved(spark, sf_dir, by: str = "id") -> ReviewTable:
+    """A review table that took one save of the proposed edits; saved once per application
+    and state of the data."""
+    key = (spark.sparkContext.applicationId, sf_dir, IN.source_state(spark, sf_dir), by)
+    if key not in _SAVED:
+        table = ReviewTable.create(spark, _fresh(spark, f"save-{by}"), _m(spark, sf_dir))
+        table.save(FX.proposed_edits(IN.edits(spark, sf_dir)), "s1", SAVE_TIME, by)
+        _SAVED[key] = table
+    return _SAVED[key]
 
 
 @query("save_rejects", _CHECKED_SQL + "select seq, id, field, new_value, status from checked where status <> 'ok'")
 def save_rejects(spark, sf_dir):
     """The edits a save refused, read back from the rejects table."""
-    return _saved_store(spark, sf_dir).read("rejects")
+    return _saved(spark, sf_dir).rejects().drop("save")
 
 
 _ACCEPTED_SQL = _CHECKED_SQL + f""", pending as (select l.id, l.field, {O.field_text('l.field')} as old_value, l.new_value, l.seq, m.canvas_id, m.canvas_ssn
@@ -567,17 +672,70 @@ _ACCEPTED_SQL = _CHECKED_SQL + f""", pending as (select l.id, l.field, {O.field_
        + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
 def save_snapshot_by_id(spark, sf_dir):
     """The whole new version of the table, read back after the save."""
-    return _saved_store(spark, sf_dir).read("matches")
+    return _saved(spark, sf_dir).snapshot()
 
 
 @query("audit_readback", _ACCEPTED_SQL + """select canvas_id, canvas_ssn, field as field_name, old_value, new_value,
  timestamp '2024-03-01 09:00:00' as updated_at from pending""")
 def audit_readback(spark, sf_dir):
     """The audit rows of the save, read back from the stored log."""
-    return _saved_store(spark, sf_dir).read_appended("audit").select(
+    return _saved(spark, sf_dir).audit().select(
         "canvas_id", "canvas_ssn", "field_name", "old_value", "new_value", "updated_at")
 
 
+_KEY_PIVOT_SQL = f""", ke as (select canvas_id, canvas_ssn, field, arg_max_null(new_value, seq) as new_value
+   from pending group by canvas_id, canvas_ssn, field),
+p as ({O.change_pivot('ke', ['canvas_id', 'canvas_ssn'])})
+"""
+
+
+@query("save_snapshot_by_key", _ACCEPTED_SQL + _KEY_PIVOT_SQL +
+       f"select {O.overlay_columns()} from m left join p on p.canvas_id = m.canvas_id and p.canvas_ssn = m.canvas_ssn")
+def save_snapshot_by_key(spark, sf_dir):
+    """The whole table after a save by business key, read back; only the buckets
+    that hold an edited key were written anew."""
+    return _saved(spark, sf_dir, "key").snapshot()
+
+
+_KEYED_SQL = O.with_ctes(["m", "edits"]) + """, keyed as (select e.seq,
+ case when e.seq % 17 = 0 then concat(m.canvas_id, 'x') else m.canvas_id end as canvas_id,
+ case when e.seq % 13 = 0 then null else m.canvas_ssn end as canvas_ssn, e.field, e.new_value from edits e join m on m.id = e.id),
+keys as (select distinct canvas_id, canvas_ssn from keyed),
+hits as (select k.canvas_id, k.canvas_ssn, (select count(*) from m where m.canvas_id = k.canvas_id and m.canvas_ssn = k.canvas_ssn) as n from keys k)
+"""
+
+
+def _keyed(spark, sf_dir):
+    return FX.keyed_changes(IN.edits(spark, sf_dir), _m(spark, sf_dir))
+
+
+@query("save_key_counts", _KEYED_SQL + """select count(*) as edited_keys, count(*) filter (where n = 0) as unmatched_keys,
+ cast(coalesce(sum(n), 0) as bigint) as rows_affected from hits""")
+def save_key_counts(spark, sf_dir):
+    """Keys edited, keys without a row and rows affected by a save by business key."""
+    return SV.key_counts(_m(spark, sf_dir), _keyed(spark, sf_dir))
+
+
+@query("unmatched_keys", _KEYED_SQL + "select canvas_id, canvas_ssn from hits where n = 0")
+def unmatched_keys(spark, sf_dir):
+    """Q5: pending keys that match no row; a NULL key never does."""
+    return SV.unmatched_keys(_keyed(spark, sf_dir), _m(spark, sf_dir))
+
+
+@query("discard_reload", _ACCEPTED_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
+       + f"select {O.overlay_columns()} from m left join p on p.id = m.id")
+def discard_reload(spark, sf_dir):
+    """A cached snapshot after another writer's save and a forced reload, which also
+    drops the edits pending on it."""
+    from matchdesk.sources.review_table import LAYOUT
+    table = ReviewTable.create(spark, _fresh(spark, "reload"), _m(spark, sf_dir))
+    name = f"snapshot_{uuid.uuid4().hex[:8]}"
+    cached = CA.open_cached(spark, name, f"{table.root}/matches", LAYOUT)
+    cached.count()
+    table.save(FX.proposed_edits(IN.edits(spark, sf_dir)), "s1", SAVE_TIME)
+    return CA.reload(spark, name)
+
+
 _PENDING_SQL = O.with_ctes(["m", "edits"], [("l", O.LAST_EDITS)]) + f"""
 , pending as (select l.id, l.field, {O.field_text('l.field')} as old_value, l.new_value, l.seq,
    m.canvas_id, m.canvas_ssn from l join m on m.id = l.id)
@@ -620,7 +778,7 @@ _OVERLAY_SQL = _PENDING_SQL + f", p as ({O.change_pivot('pending', ['id'])})\n"
 def overlay_matches(spark, sf_dir):
     """The snapshot with every pending change applied."""
     ed = IN.edits(spark, sf_dir)
-    return E.overlay(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), bound=ed.count())
+    return E.overlay(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), ed)
 
 
 _UNDO_SQL = "with recursive " + f"actions as ({O.ACTIONS}),\n" + """
@@ -653,13 +811,49 @@ def undo_redo_effective(spark, sf_dir):
     return U.effective(IN.actions(spark, sf_dir))
 
 
+_TRAIL_SQL = f"""h as (select e.seq as action_id, m.id, e.field,
+   case when lag(e.seq) over w is null then {O.field_text('e.field')} else lag(e.new_value) over w end as old_value, e.new_value
+  from edits e join m on m.id = e.id window w as (partition by e.id, e.field order by e.seq))"""
+
+
+@query("undo_applied", O.with_ctes(["m", "edits", "actions"]).replace("with ", "with recursive ", 1) + """,
+a as (select *, row_number() over (partition by session order by seq) rn from actions),
+f as (
+  select session, 0::bigint rn, null::bigint seq, null::varchar op, null::bigint act, []::bigint[] u, []::bigint[] r
+  from (select distinct session from a)
+  union all
+  select f.session, a.rn, a.seq, a.op,
+    case when a.op='do' then a.action_id when a.op='undo' and len(f.u)>0 then f.u[len(f.u)]
+         when a.op='redo' and len(f.r)>0 then f.r[len(f.r)] end,
+    case when a.op='do' then case when len(f.u)>=50 then list_append(f.u[2:], a.action_id) else list_append(f.u, a.action_id) end
+         when a.op='undo' and len(f.u)>0 then f.u[:len(f.u)-1]
+         when a.op='redo' and len(f.r)>0 then list_append(f.u, f.r[len(f.r)]) else f.u end,
+    case when a.op='do' then []::bigint[]
+         when a.op='undo' and len(f.u)>0 then list_append(f.r, f.u[len(f.u)])
+         when a.op='redo' and len(f.r)>0 then f.r[:len(f.r)-1] else f.r end
+  from f join a on a.session=f.session and a.rn=f.rn+1),
+""" + _TRAIL_SQL + f""",
+w as (select f.seq, h.id, h.field, case when f.op = 'undo' then h.old_value else h.new_value end as new_value
+  from f join h on h.action_id = f.act),
+l as (select id, field, arg_max_null(new_value, seq) as new_value from w group by id, field),
+p as ({O.change_pivot('l', ['id'])})
+select {O.overlay_columns()} from m left join p on p.id = m.id""")
+def undo_applied(spark, sf_dir):
+    """The table after every session's edits, undos and redos: an undo writes the old
+    values back, a redo the new ones again, and the last write of a cell stands."""
+    log = IN.audit_log(spark, sf_dir)
+    changes = log.select(F.col("id").alias("action_id"), F.col("row_id").alias("id"), F.col("field_name").alias("field"),
+                         "old_value", "new_value")
+    return E.overlay(_m(spark, sf_dir), U.applied(IN.actions(spark, sf_dir), changes), changes)
+
+
 # ---- 7. Save ---------------------------------------------------------------
 
 @query("save_by_id", _OVERLAY_SQL + f"select {O.overlay_columns()} from m join p on p.id = m.id")
 def save_by_id(spark, sf_dir):
     """New versions of the rows with pending changes (merge on id)."""
     ed = IN.edits(spark, sf_dir)
-    return SV.save_by_id(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), bound=ed.count())
+    return SV.save_by_id(_m(spark, sf_dir), E.last_values(ed, ["id", "field"]), ed)
 
 
 @query("save_by_key", O.with_ctes(["m", "edits"]) + f"""
@@ -689,8 +883,7 @@ def _existing_edits(spark, sf_dir, m):
     by that small set -- the snapshot is not shuffled."""
     from matchdesk.operators.joins import known_keys
     ed = IN.edits(spark, sf_dir)
-    n = ed.count()
-    return semi_join(ed, known_keys(ed, m, "id", bound=n), "id", bound=n)
+    return semi_join(ed, known_keys(ed, m, "id"), "id", ed.select("id"))
 
 
 @query("audit_recent", O.with_ctes(["m", "edits"]) + f"""
@@ -700,25 +893,9 @@ def _existing_edits(spark, sf_dir, m):
   from edits e join m on m.id = e.id window w as (partition by e.id, e.field order by e.seq))
 select * from h order by updated_at desc, id desc limit 100""")
 def audit_recent(spark, sf_dir):
-    """Newest 100 rows of the audit trail of saving each edit as made.
-
-    Only the 100 newest edits need their old value: a bounded top-k first,
-    then their predecessors by a broadcast (100-row) join to the log.
-    """
-    m = _m(spark, sf_dir)
-    ed = _existing_edits(spark, sf_dir, m)
-    top = ed.orderBy(F.col("edited_at").desc(), F.col("seq").desc()).limit(S.DEFAULT_AUDIT_LIMIT)
-    t = top.select("seq", "id", "field", "new_value", "edited_at")
-    prev = (F.broadcast(t.select(F.col("seq").alias("t_seq"), F.col("id").alias("t_id"), F.col("field").alias("t_field")))
-            .join(ed, (F.col("t_id") == F.col("id")) & (F.col("t_field") == F.col("field"))
-                  & (F.col("seq") < F.col("t_seq")))
-            .groupBy("t_seq").agg(F.max_by("new_value", "seq").alias("prev_value")))
-    j = (t.join(prev, t.seq == prev.t_seq, "left")
-         .join(m.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id"))
-    old = F.when(F.col("t_seq").isNull(), E.field_text(F.col("field"))).otherwise(F.col("prev_value"))
-    return SV.recent(j.select(
-        F.col("seq").alias("id"), "canvas_id", "canvas_ssn", F.col("field").alias("field_name"),
-        old.alias("old_value"), "new_value", F.col("edited_at").alias("updated_at")))
+    """Newest 100 rows of the stored audit log; only the newest days are scanned."""
+    return recent(IN.audit_log(spark, sf_dir)).select(
+        "id", "canvas_id", "canvas_ssn", "field_name", "old_value", "new_value", "updated_at")
 
 
 @query("audit_volume", O.with_ctes(["m", "edits"]) + """
@@ -738,19 +915,16 @@ def audit_volume(spark, sf_dir):
 def edit_feed_apply(spark, sf_dir):
     """ST1: the edit log replayed as a stream of files, applied batch by batch.
 
-    The log is written as 4 files whose seq ranges interleave, one file per
-    micro-batch, so later batches carry edits older than ones already applied
-    (late edits must lose). The result must equal the batch overlay.
+    The log is written as files whose seq ranges interleave, a quarter of them per micro-batch,
+    so later batches carry edits older than ones already applied (late edits must lose).
+    The result must equal the batch overlay.
     """
-    import uuid
-
-    from matchdesk.session import work_root
-    from matchdesk.sources.store import Store
-    from matchdesk.streaming.edit_feed import EditFeed, run_feed
-
-    root = f"{work_root(spark)}/matchdesk/feed-{uuid.uuid4().hex[:8]}"
-    IN.edits(spark, sf_dir).repartition(4, F.col("seq") % 4).write.parquet(f"{root}/incoming")
-    feed = EditFeed(Store(spark, f"{root}/store"))
-    feed.init_base(path=IN.stored_path(spark, sf_dir, "matches"))
-    run_feed(spark, f"{root}/incoming", feed, f"{root}/_checkpoint", files_per_batch=1)
+    from matchdesk.streaming.edit_feed import EditFeed
+
+    root = _fresh(spark, "feed")
+    log = IN.edits(spark, sf_dir)
+    files = max(4, log.rdd.getNumPartitions())
+    log.repartition(files, F.col("seq")).write.parquet(f"{root}/incoming")
+    feed = EditFeed(spark, root, _m(spark, sf_dir))
+    feed.start(f"{root}/incoming", files_per_batch=-(-files // 4))
     return feed.current()

@@ -30,6 +30,12 @@ EDITABLE_FIELDS = [
     "jib", "rev", "vendor", "how_to_process", "memo",
 ]
 
+# Fields that a record-form save writes, all at once.
+FORM_FIELDS = [
+    "canvas_name", "canvas_address", "canvas_city", "canvas_state", "canvas_zip",
+    "recommendation", "address_reason", "memo",
+]
+
 # 0/1 flag fields.
 FLAG_FIELDS = ["jib", "rev", "vendor"]
 

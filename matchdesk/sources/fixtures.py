@@ -184,6 +184,33 @@ def proposed_edits(edit_log: DataFrame) -> DataFrame:
         bad.alias("new_value"), "edited_at")
 
 
+def keyed_changes(edit_log: DataFrame, matches: DataFrame) -> DataFrame:
+    """Changes by business key, as a save holds them, some with keys of no row: without an
+    SSN, or with an id that the table does not have."""
+    keys = matches.select("id", "canvas_id", "canvas_ssn")
+    seq = F.col("seq")
+    return edit_log.join(keys, "id").select(
+        "seq", "id", F.when(seq % 17 == 0, F.concat("canvas_id", F.lit("x"))).otherwise(F.col("canvas_id")).alias("canvas_id"),
+        F.when(seq % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("canvas_ssn")).alias("canvas_ssn"), "field", "new_value")
+
+
+MASTER_HEADER = "ID,HDRCODE,SSN,HDRNAME,ADDRCONTACT,ADDRADDRESS,ADDRCITY,ADDRSTATE,ADDRZIPCODE,ADDRSUBCODE,NAME_SCORE"
+
+
+def master_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a master table as CSV, some of them damaged: a field too many or too few, an id
+    that is no number, scores that are none."""
+    s = F.col("s_suppkey")
+    ident = F.when(s % 11 == 3, F.concat(F.lit("no"), _s(s))).otherwise(_s(s))
+    score = F.when(s % 3 == 0, F.lit("n/a")).otherwise(_s(s % 101))
+    whole = F.concat_ws(
+        ",", ident, F.concat(F.lit("H"), _s(s)), _lpad_mod(s, 7919, 1000000000, 9), F.col("s_name"),
+        F.concat(F.lit("contact "), _s(s)), F.concat(_s(s % 99), F.lit(" Main St")), F.col("n_name"), F.col("r_name"),
+        _lpad_mod(s, 37, 100000, 5), _s(s % 5), score)
+    line = F.when(s % 7 == 1, F.concat(whole, F.lit(",surplus"))).when(s % 7 == 2, F.concat(_s(s), F.lit(",cut"))).otherwise(whole)
+    return supplier_places(spark, sf_dir).select(line.alias("line"))
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undo/redo action log (session, seq, op, action_id) from the event stream."""
     et = F.col("event_type")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import re
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from matchdesk import schema as _schema
 from matchdesk.functions import exprs as _exprs
 from matchdesk.operators import joins as _joins
+from matchdesk.operators import save as _save
 from matchdesk.session import shared_root
 from matchdesk.sources import fixtures as FX
 from matchdesk.sources import load as _load
 from matchdesk.sources import tables as _tables
 from matchdesk.sources.load import normalize
-from matchdesk.sources.store import store_for
 
 def _fingerprint() -> str:
     """Hash of the code that decides what the stored inputs contain. Stored
@@ -31,7 +32,7 @@ def _fingerprint() -> str:
     while this code is unchanged."""
     import sys
     h = hashlib.sha1()
-    for mod in (_schema, _exprs, _joins, FX, _load, _tables, sys.modules[__name__]):
+    for mod in (_schema, _exprs, _joins, _save, FX, _load, _tables, sys.modules[__name__]):
         h.update(inspect.getsource(mod).encode())
     return h.hexdigest()[:12]
 
@@ -57,31 +58,34 @@ _PATHS: dict[tuple[str, str, str], str] = {}
 _SCHEMAS: dict[tuple[str, str, str], object] = {}
 
 
-def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str = "parquet") -> DataFrame:
+def _slug(text: str) -> str:
+    base = re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_")[-40:]
+    return f"{base}_{hashlib.sha1(text.encode()).hexdigest()[:10]}"
+
+
+def _materialize(spark: SparkSession, sf_dir: str, table: str, build, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
+    """The stored form of an input: written unless it was written to its end before."""
     state = source_state(spark, sf_dir)
     key = (spark.sparkContext.applicationId, f"{sf_dir}:{state}", table)
     with _LOCK:
         path = _PATHS.get(key)
         if path is None:
-            st = store_for(spark, f"inputs:{sf_dir}:{state}:{_fingerprint()}", root=shared_root(spark))
-            cur = st.latest(table)
-            if cur is None:
-                st.write_version(table, build(), fmt=fmt)
-                cur = st.latest(table)
-            path = cur[1]
+            path = f"{shared_root(spark)}/matchdesk/{_slug(f'inputs:{sf_dir}:{state}:{_fingerprint()}')}/{table}"
+            if not _tables.written(spark, path):
+                build().write.mode("overwrite").format(fmt).partitionBy(*(partition_by or [])).save(path)
             _PATHS[key] = path
         schema = _SCHEMAS.get(key)
         if schema is None:
             df = spark.read.format(fmt).load(path)
             _SCHEMAS[key] = df.schema
             return df
-    # Versions are immutable: the schema read once is reused (no footer reads per query).
+    # a stored input never changes: the schema read once is reused (no footer reads per query)
     return spark.read.format(fmt).schema(schema).load(path)
 
 
 def stored_path(spark: SparkSession, sf_dir: str, table: str) -> str:
     """Directory of a materialized input (materializing it if needed)."""
-    {"raw_matches": raw_matches, "matches": matches, "edits": edits, "id_file": id_file}[table](spark, sf_dir)
+    {"raw_matches": raw_matches, "matches": matches, "edits": edits, "id_file": id_file, "audit_log": audit_log}[table](spark, sf_dir)
     return _PATHS[(spark.sparkContext.applicationId, f"{sf_dir}:{source_state(spark, sf_dir)}", table)]
 
 
@@ -108,10 +112,27 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda: FX.edits(spark, sf_dir, matches(spark, sf_dir)).sortWithinPartitions("id", "seq"))
 
 
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log of saving every edit as it was made, partitioned by day."""
+    return _materialize(spark, sf_dir, "audit_log", lambda: _save.trail(edits(spark, sf_dir), matches(spark, sf_dir)),
+                        partition_by=["updated_date"])
+
+
 def id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uploaded id file, stored as text and read back as lines (`value`)."""
     return _materialize(spark, sf_dir, "id_file",
-                        lambda: FX.id_file_lines(spark, sf_dir).coalesce(1), fmt="text")
+                        lambda: FX.id_file_lines(spark, sf_dir), fmt="text")
+
+
+def master_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of CSV files of a master table: upper-case header line, some damaged lines."""
+    path = f"{shared_root(spark)}/matchdesk/{_slug(f'inputs:{sf_dir}:{source_state(spark, sf_dir)}:{_fingerprint()}')}/master_csv"
+    with _LOCK:
+        if not _tables.written(spark, path):
+            # one column that holds the whole line, under the header as its name; nothing is quoted
+            lines = FX.master_lines(spark, sf_dir).toDF(FX.MASTER_HEADER)
+            lines.write.mode("overwrite").option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return path
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +149,3 @@ def bucket_config(spark: SparkSession) -> DataFrame:
 
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.selection(edits(spark, sf_dir))
-
-
-def row_ids(df: DataFrame) -> DataFrame:
-    return df.select(F.col("id"))

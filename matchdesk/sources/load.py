@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchdesk import schema as S
 from matchdesk.functions import exprs as X
 
 
+CORRUPT = "_corrupt"
+NO_ID = "the table has no column id; give it stored ids first (sources.row_ids)"
+
+
 def load_matches(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Read a match table from any Spark source and normalize it.
 
@@ -42,12 +47,28 @@ def adapt_layout(df: DataFrame) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def ensure_id(df: DataFrame) -> DataFrame:
-    """Stable row id. A table without `id` gets one at import; the caller must
-    store the result right away (ids are stable only once written)."""
-    if "id" in df.columns:
-        return df.withColumn("id", F.col("id").cast("bigint"))
-    return df.withColumn("id", F.monotonically_increasing_id())
+def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV table with header lines, read permissively under a declared schema: `id`
+    whole, the rest text (scores and flags are coerced by `normalize`). A line that does not
+    fit has its text in `_corrupt`."""
+    names = spark.read.options(**options).option("header", True).csv(path).columns
+    fields = [T.StructField(n, T.LongType() if n.lower() == "id" else T.StringType()) for n in names]
+    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.options(**options).option("header", True).schema(schema).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", False).csv(path))  # every field is parsed, whichever are asked for
+
+
+def load_csv(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(normalized rows, rejects) of a CSV table. Lines with too few or too many fields or
+    an id that is no integer, or none, are rejects (`line`); they are not dropped silently."""
+    raw = read_csv(spark, path, **options)
+    id_col = next((c for c in raw.columns if c.lower() == "id"), None)
+    if id_col is None:
+        raise ValueError(NO_ID)
+    good = F.col(CORRUPT).isNull() & F.col(id_col).isNotNull()
+    text = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in raw.columns if c != CORRUPT]))
+    return normalize(raw.filter(good).drop(CORRUPT)), raw.filter(~good).select(text.alias("line"))
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -71,7 +92,9 @@ def normalize(df: DataFrame) -> DataFrame:
     for c in ("how_to_process", "memo"):
         if c not in present:
             out.append(F.lit("").alias(c))
-    return ensure_id(df.select(*out))
+    if "id" not in present:
+        raise ValueError(NO_ID)
+    return df.select(*out)
 
 
 def evolve_schema(df: DataFrame) -> DataFrame:
@@ -86,9 +109,19 @@ def evolve_schema(df: DataFrame) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def empty_audit(spark: SparkSession) -> DataFrame:
-    """The audit log's empty table, from its declared schema."""
-    return spark.createDataFrame([], S.AUDIT_SCHEMA)
+def evolve_table(spark: SparkSession, table: str, audit_table: str | None = None) -> list[str]:
+    """S7 on a catalog table: `ALTER TABLE .. ADD COLUMNS .. DEFAULT` for every absent review
+    column, so that no file is rewritten and old rows read the default; the empty audit log is created from its
+    declared schema. Returns the columns added."""
+    present = {c.lower() for c in spark.table(table).columns}
+    added = [(c, v) for c, v in S.EVOLVED_COLUMNS if c not in present]
+    if added:
+        spec = ", ".join(f"{c} {'INT' if isinstance(v, int) else 'STRING'} DEFAULT {v!r}" for c, v in added)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({spec})")
+    if audit_table and not spark.catalog.tableExists(audit_table):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.AUDIT_SCHEMA.fields)
+        spark.sql(f"CREATE TABLE {audit_table} ({columns}, updated_date DATE) USING parquet PARTITIONED BY (updated_date)")
+    return [c for c, _ in added]
 
 
 def bucket_ranges(config: DataFrame) -> DataFrame:

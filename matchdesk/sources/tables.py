@@ -17,3 +17,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_count(df: DataFrame) -> int:
     """Row count of a (scan-only) DataFrame; Parquet answers it from footers."""
     return df.count()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet or text folder was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

@@ -1,164 +1,109 @@
 """ST1: apply a feed of edits continuously (Structured Streaming).
 
-Edits arrive as Parquet files in a folder. Each micro-batch:
-
-1. validates its edits and compacts the accepted ones to the latest value per
-   (row, field) (greatest seq); refused ones go to a rejects table;
-2. keeps only those newer than what is already applied for that (row, field)
-   -- so a late edit loses to a newer one already applied, in any file order;
-3. writes the new compacted delta `applied` (id, field, seq, new_value) and an
-   audit batch, and publishes both plus a `feed_batch` marker with one
-   manifest append. A re-run of a committed batch id is skipped, which makes
-   the sink idempotent under replay.
-
-The current snapshot is the base version overlaid with `applied` (J6). Only
-the delta is rewritten per batch, never the match table; when the delta
-passes `compact_rows` it is folded into a new base version (`compact_base`),
-so per-batch work stays bounded by the delta.
+Edits arrive as Parquet files in a folder. The newest value of every (row, field) is a
+keyed aggregate in update mode, so it lives in Spark's own state store (RocksDB): a late
+edit loses to a newer one in any file order, a replayed or restarted batch changes nothing,
+and a batch costs what it brings, whatever came before. Two sinks hang on the feed:
+
+* ``changes/batch=<n>``: the values that batch n touched, as they then stood. A replayed
+  batch overwrites its own folder. Read in order of batches this is the audit trail.
+* ``rejects``: edits of unknown fields and flags that are no integers (a file sink, exactly
+  once).
+
+The current table is the base with the state's values laid over it; the state is read
+where it is (the ``statestore`` source). Whether a row exists is asked then, by the join that is needed
+anyway: values of unknown rows find none, and ``unknown_rows`` lists them.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchdesk import schema as S
 from matchdesk.operators import edits as E
-from matchdesk.operators import save as SV
-from matchdesk.sources.store import Store
+from matchdesk.operators.joins import known_keys, small_side
 
 FEED_SCHEMA = T.StructType([T.StructField(f.name, f.dataType, True) for f in S.EDITS_SCHEMA.fields])
-APPLIED_SCHEMA = "id bigint, field string, seq bigint, new_value string"
-SEQS = "_seqs"  # base column after a compaction: field -> last applied seq
-
-
-# The delta is folded into a new base version once it holds this many rows,
-# so per-batch work stays bounded by the delta, not the edit history.
-COMPACT_DELTA_ROWS = 50_000_000
+CHANGES_SCHEMA = "id bigint, field string, seq bigint, new_value string, edited_at timestamp_ntz, batch bigint"
+REJECTS_SCHEMA = "seq bigint, id bigint, field string, new_value string, status string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class EditFeed:
-    def __init__(self, store: Store, base: str = "matches", applied: str = "applied", audit: str = "audit",
-                 compact_rows: int = COMPACT_DELTA_ROWS, rejects: str = "rejects"):
-        self.store, self.base, self.applied, self.audit, self.rejects = store, base, applied, audit, rejects
-        self.compact_rows = compact_rows
-        self._base_df: tuple[int, DataFrame] | None = None
-        self._delta_rows: int | None = None  # upper bound on the delta's rows
-
-    def _base(self) -> DataFrame:
-        """The base version as a DataFrame, resolved once per base version
-        (file listing and footers are read once, not per micro-batch)."""
-        v = self.store.latest(self.base)[0]
-        if self._base_df is None or self._base_df[0] != v:
-            self._base_df = (v, self.store.read(self.base))
-        return self._base_df[1]
-
-    def init_base(self, snapshot: DataFrame | None = None, path: str | None = None) -> None:
-        """Base version 0: an existing snapshot directory is adopted as is
-        (versions are immutable), otherwise `snapshot` is written."""
-        if self.store.latest(self.base) is None:
-            if path is not None:
-                self.store.adopt(self.base, path)
-            else:
-                self.store.write_version(self.base, snapshot)
-
-    def _applied(self) -> DataFrame:
-        df = self.store.read(self.applied)
-        return df if df is not None else self.store.spark.createDataFrame([], APPLIED_SCHEMA)
+    def __init__(self, spark: SparkSession, root: str, base: DataFrame):
+        self.spark, self.root, self.base = spark, root.rstrip("/"), base
+
+    def start(self, source_dir: str, files_per_batch: int | None = None, processing_time: str | None = None) -> list:
+        """Start the stream over ``source_dir``; its two queries are returned.
+
+        Default: process what is there and stop. With ``processing_time`` (e.g. "30 seconds")
+        they keep running and the caller stops them. Started again, both go on where
+        they were."""
+        self.spark.conf.set(PROVIDER, ROCKSDB)
+        reader = self.spark.readStream.schema(FEED_SCHEMA)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        checked = E.shape_checked(reader.parquet(source_dir))
+        last = (checked.filter("status = 'ok'").groupBy("id", "field")
+                .agg(F.max(F.struct("seq", "new_value", "edited_at")).alias("last")))
+        writers = [
+            last.writeStream.queryName("changes").outputMode("update").foreachBatch(self._log)
+            .option("checkpointLocation", f"{self.root}/checkpoint"),
+            checked.filter("status <> 'ok'").select("seq", "id", "field", "new_value", "status")
+            .writeStream.queryName("rejects").format("parquet").option("path", f"{self.root}/rejects")
+            .option("checkpointLocation", f"{self.root}/checkpoint-rejects")]
+        trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
+        queries = [w.trigger(**trigger).start() for w in writers]
+        if not processing_time:
+            for q in queries:
+                q.awaitTermination()
+        return queries
+
+    def _log(self, batch: DataFrame, batch_id: int) -> None:
+        batch.select("id", "field", "last.*").write.mode("overwrite").parquet(f"{self.root}/changes/batch={batch_id}")
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no batch has been written yet
+                return self.spark.createDataFrame([], schema)
+            raise
+
+    def last_values(self) -> DataFrame:
+        """(id, field, seq, new_value) of every (row, field) edited so far, from the state store."""
+        state = self.spark.read.format("statestore").option("path", f"{self.root}/checkpoint").load()
+        return state.select("key.id", "key.field", "value.max.seq", "value.max.new_value")
 
     def current(self) -> DataFrame:
-        """The snapshot as of the last committed batch."""
-        pending = self._applied().select("id", "field", "new_value")
-        out = E.overlay(self._base(), pending)
-        return out.drop(SEQS) if SEQS in out.columns else out
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        done = self.store.latest("feed_batch")
-        if done is not None and batch_id <= done[0]:
-            return  # micro-batch ids only grow: this one was committed before a replay
-        base = self._base()
-        prev = self._applied()
-        # only accepted edits are applied and logged, with the value as stored: the
-        # delta and the base then hold the same text, before and after a compaction
-        checked = E.validate(batch, base).persist()
-        newest = E.last_values(E.accepted(checked), ["id", "field"])
-        p = prev.select("id", "field", F.col("seq").alias("a_seq"), F.col("new_value").alias("a_value"))
-        keep = ["id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS] + ([SEQS] if SEQS in base.columns else [])
-        # The last applied seq of a (row, field): the delta's, else the one the
-        # base recorded when a delta was folded into it.
-        base_seq = F.col(SEQS)[F.col("field")] if SEQS in base.columns else F.lit(None).cast("bigint")
-        applied_seq = F.coalesce(F.col("a_seq"), base_seq)
-        # Winners feed both writes; computed once per batch (recomputed from
-        # lineage if a cached block is lost).
-        winners = (newest.join(p, ["id", "field"], "left").join(base.select(*keep), "id")
-                   .filter(applied_seq.isNull() | (F.col("seq") > applied_seq))).persist()
-        try:
-            if self._delta_rows is None:
-                self._delta_rows = prev.count()
-            n_winners = winners.count()  # materializes the cached winners once
-            old = F.when(F.col("a_seq").isNotNull(), F.col("a_value")).otherwise(E.field_text(F.col("field")))
-            pending = winners.select("id", "field", old.alias("old_value"), "new_value", "canvas_id", "canvas_ssn")
-            w = winners.select("id", "field", "seq", "new_value")
-            applied = prev.join(w.select("id", "field"), ["id", "field"], "left_anti").unionByName(w)
-            cur = self.store.latest(self.applied)
-            version = 0 if cur is None else cur[0] + 1
-            saved_at = _dt.datetime.now().replace(microsecond=0)
-            a_path = self.store.stage(self.applied, version, applied)
-            l_path = self.store.stage(self.audit, version, SV.audit_log(pending, saved_at, version),
-                                      partition_by=["updated_date"])
-            r_path = self.store.stage(self.rejects, version, E.refused(checked))
-            self.store.publish([(self.applied, version, a_path), (self.audit, version, l_path),
-                                (self.rejects, version, r_path), ("feed_batch", batch_id, "")])
-        finally:
-            winners.unpersist()
-            checked.unpersist()
-        self._delta_rows += n_winners
-        if self._delta_rows > self.compact_rows:
-            self.compact_base()
-
-    def compact_base(self) -> None:
-        """Fold the delta into a new base version and reset the delta. The
-        base keeps, per row, the seq of every folded field (`_seqs`), so later
-        batches still let a late edit lose."""
-        base, delta = self._base(), self._applied()
-        seqs = delta.groupBy("id").agg(
-            F.map_from_entries(F.collect_list(F.struct("field", "seq"))).alias("_new_seqs"))
-        merged = E.overlay(base, delta.select("id", "field", "new_value")).join(seqs, "id", "left")
-        empty = F.create_map().cast("map<string,bigint>")
-        new = F.coalesce(F.col("_new_seqs"), empty)
-        if SEQS in base.columns:
-            kept = F.map_filter(F.coalesce(F.col(SEQS), empty), lambda k, v: ~F.map_contains_key(new, k))
-            combined = F.map_concat(kept, new)
-        else:
-            combined = new
-        snap = merged.withColumn(SEQS, combined).drop("_new_seqs")
-        cur = self.store.latest(self.base)[0]
-        a = self.store.latest(self.applied)
-        b_path = self.store.stage(self.base, cur + 1, snap)
-        e_version = (a[0] + 1) if a else 0
-        e_path = self.store.stage(self.applied, e_version, self.store.spark.createDataFrame([], APPLIED_SCHEMA))
-        self.store.publish([(self.base, cur + 1, b_path), (self.applied, e_version, e_path)])
-        self._delta_rows = 0
-
-
-def run_feed(spark: SparkSession, source_dir: str, feed: EditFeed, checkpoint: str,
-             files_per_batch: int | None = None, processing_time: str | None = None):
-    """Start the stream over `source_dir`.
-
-    Default: process what is there and stop (`availableNow`). With
-    `processing_time` (e.g. "30 seconds") the query keeps running and is
-    returned to the caller, who stops it.
-    """
-    reader = spark.readStream.schema(FEED_SCHEMA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    writer = (reader.parquet(source_dir).writeStream.foreachBatch(feed.process)
-              .option("checkpointLocation", checkpoint))
-    if processing_time:
-        return writer.trigger(processingTime=processing_time).start()
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+        """The table as of the last batch."""
+        return E.overlay(self.base, self.last_values())
+
+    def rejects(self) -> DataFrame:
+        """Edits refused for their field or value."""
+        return self._read(f"{self.root}/rejects", REJECTS_SCHEMA)
+
+    def unknown_rows(self) -> DataFrame:
+        """Values whose row is not in the table."""
+        v = self.last_values()
+        return v.join(small_side(known_keys(v, self.base, "id"), v.select("id")), "id", "left_anti")
+
+    def changes(self) -> DataFrame:
+        """What each batch left in the (row, field) pairs it touched."""
+        return self._read(f"{self.root}/changes", CHANGES_SCHEMA)
+
+    def audit(self) -> DataFrame:
+        """The audit trail: key, field, old and new value of every change of an existing row, by batch.
+        The old value is that of the batch before, or the base's."""
+        c = self.changes()
+        w = Window.partitionBy("id", "field").orderBy("batch")
+        c = (c.withColumn("before", F.lag(F.struct("new_value", "seq")).over(w))
+             .filter(F.col("before").isNull() | (F.col("before.seq") < F.col("seq"))))  # a late edit alters nothing
+        rows = small_side(c).join(self.base.select("id", "canvas_id", "canvas_ssn", *S.EDITABLE_FIELDS), "id")
+        old = F.when(F.col("before").isNull(), E.field_text(F.col("field"))).otherwise(F.col("before.new_value"))
+        return rows.select(F.col("seq").alias("id"), "canvas_id", "canvas_ssn", F.col("field").alias("field_name"),
+                           old.alias("old_value"), "new_value", F.col("edited_at").alias("updated_at"), "batch")
