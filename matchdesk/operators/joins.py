@@ -1,53 +1,10 @@
-"""Join helpers: size-checked broadcast, salted fallback, semi/anti lookups."""
+"""Join helpers: broadcasts of measured size, semi/anti lookups."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only below this many rows (checked with a count, which
-# Parquet answers from footers for plain scans). Rows here are narrow, a few
-# short strings, so 2M rows stay well under the default 8 GB broadcast cap.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-# Target output rows per task when the join fans out.
-ROWS_PER_TASK = 2_000_000
-
-
-def _parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
-def sized_join(big: DataFrame, small: DataFrame, on: Column, *, big_key: str, small_key: str,
-               spread_col: str, how: str = "inner", limit: int = BROADCAST_ROW_LIMIT,
-               small_rows: int | None = None) -> DataFrame:
-    """Equi-join of a large side to a side whose size is checked first.
-
-    * small side under ``limit`` rows: broadcast hash join. When each big row
-      fans out to many small rows, the big side is first spread over enough
-      tasks (hash of ``spread_col``) for the output volume.
-    * otherwise: the join key may be low-cardinality (hot), so the big side
-      gets a salt from ``spread_col`` and the small side is replicated over the
-      salts; each hot key is split across ``salts`` tasks.
-    """
-    n_small = small.count() if small_rows is None else small_rows
-    if n_small <= limit:
-        keys = small.select(small_key).distinct().count() or 1
-        fanout = n_small / keys
-        if fanout > 4:
-            expected = big.count() * fanout
-            tasks = max(_parallelism(big), math.ceil(expected / ROWS_PER_TASK))
-            big = big.repartition(tasks, spread_col)
-        return big.join(F.broadcast(small), on, how)
-    salts = max(_parallelism(big), math.ceil(n_small / max(limit, 1)) * 8)
-    b = big.withColumn("_salt_b", F.pmod(F.xxhash64(spread_col), F.lit(salts)))
-    s = small.withColumn("_salt_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (b.join(s, on & (F.col("_salt_b") == F.col("_salt_s")), how)
-            .drop("_salt_b", "_salt_s"))
-
-
 # A side is broadcast only when its bytes were measured and found under this limit.
 BROADCAST_BYTES = 64 << 20
 

@@ -53,7 +53,7 @@ def key_counts(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     keys = changes.select(*KEY).distinct()
     hits = (snapshot.select(*KEY).join(small_side(keys, changes.select(*KEY)), KEY)
             .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
-    per_key = keys.join(hits, KEY, "left")
+    per_key = keys.join(small_side(hits, changes.select(*KEY)), KEY, "left")  # one row per key at most
     return per_key.agg(F.count(F.lit(1)).alias("edited_keys"), F.count_if(F.col("n").isNull()).alias("unmatched_keys"),
                        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_affected"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchdesk import schema as S
 from matchdesk.functions import exprs as X
-from matchdesk.operators.ordering import global_positions
+from matchdesk.operators.ordering import global_positions, with_next
 
 
 def find_scope(column: str = "all") -> list[str]:
@@ -59,13 +59,12 @@ def find_match_numbers(df: DataFrame, needle: str, column: str = "all", case_sen
                             total_col="n_matches")
 
 
-def find_next(numbered: DataFrame) -> DataFrame:
-    """The next match of every match, wrapping from the last to the first:
-    an equi-join on match number (i % n) + 1."""
-    nxt = numbered.select(F.col("match_no").alias("next_no"), F.col("id").alias("next_id"),
-                          F.col("field").alias("next_field"))
-    return (numbered.withColumn("next_no", F.col("match_no") % F.col("n_matches") + 1)
-            .join(nxt, "next_no")
+def find_next(df: DataFrame, needle: str, column: str = "all", case_sensitive: bool = False) -> DataFrame:
+    """Every match with its number and the next match, wrapping from the last to the first.
+    The order of W1 is read through once; nothing is joined by number."""
+    cells = matching_cells(df, needle, column, case_sensitive).select("id", "field", "col_pos")
+    return (with_next(cells, [F.col("id"), F.col("col_pos")], ["id", "col_pos"], {"id": "next_id", "field": "next_field"},
+                      name="match_no", total_col="n_matches", next_name="next_no")
             .select("id", "field", "match_no", "n_matches", "next_no", "next_id", "next_field"))
 
 

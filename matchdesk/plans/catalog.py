@@ -376,10 +376,10 @@ def export_selected(spark, sf_dir):
     return V.export_columns(semi_join(m, IN.selection(spark, sf_dir), "id"))
 
 
-@query("json_records")
+@query("json_records", O.with_ctes(["m"]) + "select id, cast(to_json({" +
+       ", ".join(f"'{c}': {c}" for c in O.SHIPPED_NORMALIZED) + "}) as varchar) as record from m")
 def json_records(spark, sf_dir):
-    """One JSON record per row, NULLs kept as keys (rows-only check:
-    number formatting differs between engines)."""
+    """One JSON record per row, NULLs kept as keys."""
     from matchdesk.sources.sinks import json_records as records
     return records(_m(spark, sf_dir))
 
@@ -466,7 +466,7 @@ select a.id, a.field, a.match_no, a.n_matches, b.match_no as next_no, b.id as ne
 from c a join c b on b.match_no = a.match_no % a.n_matches + 1""")
 def find_next(spark, sf_dir):
     """The next match of each match, wrapping."""
-    return SR.find_next(SR.find_match_numbers(_m(spark, sf_dir), FIND_NEEDLE))
+    return SR.find_next(_m(spark, sf_dir), FIND_NEEDLE)
 
 
 REPLACE_WITH = "$1"

@@ -9,17 +9,17 @@ from __future__ import annotations
 
 from matchdesk import schema as S
 
-MATCHES = """select cast(c_custkey as bigint)*1000000000 + s_suppkey as id,
+MATCHES = """select cast(l_orderkey as bigint) * 8 + l_linenumber as id,
  cast(c_custkey as varchar(20)) as canvas_id,
  case when c_custkey % 3 = 0 then cast(c_custkey % 7 as varchar(20)) else '' end as canvas_addrseq,
  lpad(cast((c_custkey * 7919) % 1000000000 as varchar(20)), 9, '0') as canvas_ssn,
  case when c_custkey % 17 = 0 then concat(c_name, ' DO NOT USE') when c_custkey % 19 = 0 then concat(c_name, ' Family Trust') else c_name end as canvas_name,
  concat(cast(c_custkey % 999 as varchar(20)), ' ', lower(c_mktsegment), ' St.') as canvas_address,
- n_name as canvas_city, r_name as canvas_state, lpad(cast((c_custkey * 31) % 100000 as varchar(20)), 5, '0') as canvas_zip,
+ cn.n_name as canvas_city, cr.r_name as canvas_state, lpad(cast((c_custkey * 31) % 100000 as varchar(20)), 5, '0') as canvas_zip,
  cast(s_suppkey as varchar(20)) as dec_hdrcode,
  case when s_suppkey % 4 = 0 then '' else cast(s_suppkey % 5 as varchar(20)) end as dec_addrsubcode,
  case when s_suppkey % 13 = 0 then concat(s_name, ' D.N.U.') else s_name end as dec_name,
- concat(cast(s_suppkey % 99 as varchar(20)), ' Main St') as dec_address, n_name as dec_city, r_name as dec_state,
+ concat(cast(s_suppkey % 99 as varchar(20)), ' Main St') as dec_address, sn.n_name as dec_city, sr.r_name as dec_state,
  lpad(cast((s_suppkey * 37) % 100000 as varchar(20)), 5, '0') as dec_zip,
  concat('contact ', cast(s_suppkey as varchar(20))) as dec_contact,
  case when (c_custkey*31+s_suppkey) % 11 = 0 then null when (c_custkey+s_suppkey) % 5 = 0 then '100' when (c_custkey+s_suppkey) % 5 in (1,2) then '0' when (c_custkey+s_suppkey) % 41 = 3 then 'n/a' else cast((c_custkey*7+s_suppkey) % 101 as varchar(20)) end as ssn_match,
@@ -34,7 +34,10 @@ MATCHES = """select cast(c_custkey as bigint)*1000000000 + s_suppkey as id,
  case when (c_custkey+s_suppkey) % 8 = 0 then 'suite differs' else '' end as address_reason,
  case (c_custkey+s_suppkey) % 5 when 0 then '1' when 1 then '0' when 2 then null when 3 then 'abc' else '1.7' end as jib,
  case (c_custkey+2*s_suppkey) % 6 when 0 then '1' when 1 then 'true' when 2 then 'True' when 3 then '0' when 4 then null else 'TRUE' end as is_trust
-from customer join supplier on c_nationkey = s_nationkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey"""
+from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey from lineitem group by l_orderkey, l_linenumber) l
+ join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+ join nation cn on cn.n_nationkey = c_nationkey join region cr on cr.r_regionkey = cn.n_regionkey
+ join nation sn on sn.n_nationkey = s_nationkey join region sr on sr.r_regionkey = sn.n_regionkey"""
 
 BUCKET_CONFIG = """select * from (values ('BUCKETS','NEW_BA_NEW_ADDR_MIN_NAME_SCORE','0'),
   ('BUCKETS','NEW_BA_NEW_ADDR_MAX_NAME_SCORE','60'),

@@ -46,7 +46,7 @@ def work_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="matchdesk-", dir=os.environ.get("MATCHDESK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)

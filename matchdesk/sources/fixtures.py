@@ -2,7 +2,7 @@
 
 The match table, id list, master table, edit log and undo/redo action log
 are derived with DataFrame expressions from the TPC-H-style tables
-(customer, supplier, nation, region, events), so every input grows with the
+(lineitem, orders, customer, supplier, nation, region, events), so every input grows with the
 scale factor. The derivations follow FIXTURES.md statement for statement.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchdesk.operators.joins import sized_join
+from matchdesk.operators.joins import small_side
 from matchdesk.sources.tables import read_table, row_count
 
 
@@ -23,37 +23,43 @@ def _lpad_mod(col, mul: int, mod: int, width: int) -> F.Column:
     return F.lpad(_s((col * F.lit(mul)) % F.lit(mod)), width, "0")
 
 
-def supplier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier with its nation and region names (the small side)."""
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+def nation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations (25 rows) with the name of their region (5 rows): fixed-size tables."""
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    # nation (25 rows) and region (5 rows) are fixed-size dimension tables.
-    places = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-                         .select("n_nationkey", "n_name", "r_name"))
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+
+
+def supplier_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier with its nation and region names."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    places = F.broadcast(nation_places(spark, sf_dir))
     return s.join(places, s.s_nationkey == places.n_nationkey).drop("n_nationkey")
 
 
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw match table: 29 columns, scores and flags as text on purpose.
 
-    customer x supplier within a nation. The nation key has 25 values, so a
-    shuffle join on it would put a 25th of the output in each of 25 tasks;
-    `sized_join` broadcasts the supplier side when its row count is under the
-    limit, otherwise salts the key.
+    One row per order line: the order's customer against the line's supplier (of lines that
+    repeat a number, the smallest), so rows grow with the orders. All joins are on keys.
     """
-    cust = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    sup = supplier_places(spark, sf_dir)
-    pairs = sized_join(cust, sup, cust.c_nationkey == sup.s_nationkey,
-                       big_key="c_nationkey", small_key="s_nationkey", spread_col="c_custkey")
+    lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+             .agg(F.min("l_suppkey").alias("l_suppkey")))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    places = nation_places(spark, sf_dir)
+    cust = (cust.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+            .withColumnsRenamed({"n_name": "c_city", "r_name": "c_state"}).drop("n_nationkey"))
+    pairs = (lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+             .join(cust, F.col("c_custkey") == F.col("o_custkey"))
+             .join(supplier_places(spark, sf_dir), F.col("s_suppkey") == F.col("l_suppkey")))
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     cs = c + s
     name_score = (c * 37 + s * 11) % 101
     addr_score = (c * 53 + s * 29) % 101
     seg = F.lower("c_mktsegment")
     return pairs.select(
-        (c.cast("bigint") * F.lit(1000000000) + s).alias("id"),
+        (F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")).alias("id"),
         _s(c).alias("canvas_id"),
         F.when(c % 3 == 0, _s(c % 7)).otherwise(F.lit("")).alias("canvas_addrseq"),
         _lpad_mod(c, 7919, 1000000000, 9).alias("canvas_ssn"),
@@ -61,8 +67,8 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(c % 19 == 0, F.concat("c_name", F.lit(" Family Trust")))
          .otherwise(F.col("c_name")).alias("canvas_name"),
         F.concat(_s(c % 999), F.lit(" "), seg, F.lit(" St.")).alias("canvas_address"),
-        F.col("n_name").alias("canvas_city"),
-        F.col("r_name").alias("canvas_state"),
+        F.col("c_city").alias("canvas_city"),
+        F.col("c_state").alias("canvas_state"),
         _lpad_mod(c, 31, 100000, 5).alias("canvas_zip"),
         _s(s).alias("dec_hdrcode"),
         F.when(s % 4 == 0, F.lit("")).otherwise(_s(s % 5)).alias("dec_addrsubcode"),
@@ -189,7 +195,7 @@ def keyed_changes(edit_log: DataFrame, matches: DataFrame) -> DataFrame:
     SSN, or with an id that the table does not have."""
     keys = matches.select("id", "canvas_id", "canvas_ssn")
     seq = F.col("seq")
-    return edit_log.join(keys, "id").select(
+    return small_side(edit_log).join(keys, "id").select(
         "seq", "id", F.when(seq % 17 == 0, F.concat("canvas_id", F.lit("x"))).otherwise(F.col("canvas_id")).alias("canvas_id"),
         F.when(seq % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("canvas_ssn")).alias("canvas_ssn"), "field", "new_value")
 

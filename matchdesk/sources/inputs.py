@@ -1,6 +1,6 @@
 """The review inputs of one data directory, materialized once per application.
 
-The raw match table is derived from the given tables (a four-way join) and
+The raw match table is derived from the given tables and
 written once, like the warehouse table the review tool reads; the normalized
 snapshot, the edit log and the id file are written next to it. Queries scan
 these stored tables, so filters and column pruning reach Parquet.
@@ -38,7 +38,7 @@ def _fingerprint() -> str:
 
 
 # Given tables that the stored inputs are derived from.
-SOURCES = ("region", "nation", "customer", "supplier", "events")
+SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
 def source_state(spark: SparkSession, sf_dir: str) -> str:

@@ -38,13 +38,26 @@ def test_scores_in_range(m_mid):
 
 def test_ssn_known_counts(m_mid):
     s = ST.summary(m_mid).first()
-    assert (s.ssn_perfect_matches, s.ssn_no_match, s.ssn_partial_matches) == (1102, 2155, 2108)
+    assert (s.ssn_perfect_matches, s.ssn_no_match, s.ssn_partial_matches) == (8440, 16879, 15898)
+
+
+def test_page_counts_and_lengths(m_mid):
+    """Any start and length of a view with its counts against the view itself."""
+    f, sort = V.ViewFilter(recommendations="NEEDS REVIEW", min_name=90), ("canvas_name", "asc")
+    v = V.view(m_mid, f)
+    want = [r.id for r in v.orderBy(*V.sort_keys(*sort)).collect()]
+    counts = (_n(m_mid), len(want))
+    for start, length in ((0, 25), (30, 7), (0, -1), (len(want) - 3, 25), (5, -1), (len(want) + 5, -1), (len(want) + 5, 10)):
+        got = V.page_with_counts(m_mid, f, start, length, sort).collect()
+        assert [r.id for r in got] == (want[start:] if length < 0 else want[start:start + length])
+        assert {(r.records_total, r.records_filtered) for r in got} <= {counts}
+        assert [r.id for r in V.page(v, start, length, sort).collect()] == [r.id for r in got]
 
 
 def test_recommendation_counts_match_stats(m_mid):
     rc = {r.recommendation: r.n for r in ST.recommendation_counts(m_mid).collect()}
-    assert rc == {"EXISTING BA ADD NEW ADDRESS": 897, "EXISTING BA AND EXISTING ADDRESS": 815,
-                  "NEEDS REVIEW": 1667, "NEW BA AND NEW ADDRESS": 848, "PROCESSED": 861}
+    assert rc == {"EXISTING BA ADD NEW ADDRESS": 6608, "EXISTING BA AND EXISTING ADDRESS": 6630,
+                  "NEEDS REVIEW": 12956, "NEW BA AND NEW ADDRESS": 6545, "PROCESSED": 6548}
     nulls = m_mid.filter(F.col("recommendation").isNull()).count()
     assert sum(rc.values()) + nulls == _n(m_mid)
 
@@ -75,13 +88,25 @@ def test_literal_needle_is_not_a_regex(m_mid):
 
 
 def test_find_next_wraps(m_mid):
-    nxt = SR.find_next(SR.find_match_numbers(m_mid, "a.b"))
+    nxt = SR.find_next(m_mid, "a.b")
     rows = {r.match_no: r for r in nxt.collect()}
     n = len(rows)
     assert rows[n].next_no == 1
     assert all(rows[i].next_no == i + 1 for i in range(1, n))
 
 
+def test_find_next_follows_the_order(m_mid):
+    nums = {r.match_no: (r.id, r.field) for r in SR.find_match_numbers(m_mid, "a.b").collect()}
+    assert nums == {r.match_no: (r.id, r.field) for r in SR.find_next(m_mid, "a.b").collect()}
+    assert all((r.next_id, r.next_field) == nums[r.next_no] for r in SR.find_next(m_mid, "a.b").collect())
+
+
+def test_find_next_of_one_and_none(m_mid):
+    one = SR.find_next(m_mid.limit(1).withColumn("memo", F.lit("needle!")), "needle!").collect()
+    assert [(r.match_no, r.n_matches, r.next_no) for r in one] == [(1, 1, 1)]
+    assert SR.find_next(m_mid, "no such text").count() == 0
+
+
 def test_match_numbers_dense_and_ordered(m_mid):
     nums = SR.find_match_numbers(m_mid, "st").orderBy("match_no").collect()
     assert [r.match_no for r in nums] == list(range(1, len(nums) + 1))

@@ -1,25 +1,31 @@
-"""Size-checked join: the salted fallback equals the broadcast path."""
-
-from matchdesk.operators.joins import sized_join
-from matchdesk.sources import fixtures as FX
-from matchdesk.sources.tables import read_table
-from tests.conftest import SF_MID
-
-
-def _sides(spark):
-    cust = read_table(spark, SF_MID, "customer").select("c_custkey", "c_nationkey")
-    sup = FX.supplier_places(spark, SF_MID).select("s_suppkey", "s_nationkey")
-    return cust, sup
-
-
-def test_salted_fallback_equals_broadcast(spark):
-    cust, sup = _sides(spark)
-    on = cust.c_nationkey == sup.s_nationkey
-    kw = dict(big_key="c_nationkey", small_key="s_nationkey", spread_col="c_custkey")
-    b = sized_join(cust, sup, on, **kw)
-    s = sized_join(cust, sup, on, limit=0, **kw)  # forces the salted shuffle join
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "_salt_b" in plan and "_salt_s" in plan
-    assert b.count() == s.count() == 5949
-    assert b.exceptAll(s).count() == 0 and s.exceptAll(b).count() == 0
-    assert s.columns == b.columns
+"""Broadcasts of measured size."""
+
+from pyspark.sql import functions as F
+
+from matchdesk.operators import joins as J
+
+
+def test_bytes_follow_the_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 100, {"a": "b" * 50}), (2, None, None)], "id long, t string, m map<string,string>")
+    n = J.bytes_of(df)
+    assert 150 < n < 300 and J.bytes_of(df.withColumn("t", F.repeat("t", 100))) > 10_000
+    assert J.bytes_of(df.limit(0)) == 0
+
+
+def test_broadcast_only_under_the_limit(spark):
+    big, small = spark.range(10_000), spark.range(100).withColumn("text", F.repeat(F.lit("y"), 50))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(big.join(J.small_side(small), "id"))
+    assert "strategy=broadcast" not in plan(big.join(J.small_side(small, limit=1000), "id"))
+    assert "strategy=broadcast" in plan(big.join(J.small_side(small, source=small.select("id").limit(1), limit=1000), "id"))
+
+
+def test_rows_are_the_same_either_way(spark, monkeypatch):
+    table = spark.range(100).withColumn("v", F.col("id") % 7)
+    keys = spark.createDataFrame([(3,), (3,), (50,), (500,)], "id long")
+    results = []
+    for limit in (J.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(J.small_side, "__defaults__", (None, limit))
+        results.append((sorted(r.id for r in J.semi_join(table, keys, "id").collect()),
+                        sorted(r.id for r in J.known_keys(keys, table, "id").collect())))
+    assert results[0] == results[1] == ([3, 50], [3, 50])

@@ -17,7 +17,7 @@ def test_every_query_is_registered():
 
 def test_every_query_has_oracle_or_is_rows_only():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"json_records"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
