@@ -10,11 +10,17 @@ fused with that of its container, so short paragraphs stand or fall with the col
 of text that they belong to. ``article`` and ``main`` are a feature of the container's
 ratio: blocks inside share it, a heading or lead before a nested one is fused with the
 nested one's, and containers outside count half. The threshold holds on every page.
+
+Side matter is known by its element or by whole words of its class, id or role. Such a mark
+is ignored on an element that holds nearly all text of the page, words after a modifier
+(``has-sidebar``) are none, and headers inside ``article`` and ``main`` are not set aside. Any
+markup can be read; paths are kept as numbers, so deep nesting costs no more per element.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,24 +38,59 @@ thead tr ul""".split())
 CLOSES_P = BLOCK - {"br"}
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 CONTENT = frozenset(["article", "main"])
-# words of class, id and role values that mark side matter
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|"
-    r"cookies?|consent|notices?|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|widget|popup|modal|"
-    r"comments?|commentlist|disqus|replies|respond|reader-comments|search|pagination|pager|copyright|legal|disclaimer|"
-    r"contentinfo|navigation|complementary|hidden|skip\w*|toolbar|meta-?bar)(?:$|[\s_-])", re.I)
+NEARLY_ALL = 0.9  # of the text that no element sets aside: a mark on so much says nothing
+# words of class, id and role values that mark side matter, in a name of several words too
+MARKS = frozenset("""ad ads advert adverts advertisement advertising advertisements sponsor sponsored sponsors promo promos promotion
+banner nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices
+newsletter subscribe subscription signup login share sharing social related recommended recommendations widget popup modal comment
+comments commentlist disqus replies respond search pagination pager copyright legal disclaimer contentinfo complementary hidden skip
+toolbar metabar""".split())
+MODIFIERS = frozenset("has have no non not with without is show hide toggle enable disable js".split())  # has-sidebar is no sidebar
+SIDEWAYS = frozenset("side left right bar column col nav menu panel rail".split())  # side-column, but not side-by-side
+HEADINGS = frozenset("entry post article story content section card chapter".split())  # their headers hold the title
+WORD = re.compile(r"[A-Za-z]+")
+
+
+def marked(names: str, in_content: bool) -> tuple[bool, bool]:
+    """Whether class, id and role values mark side matter, and whether as reader comments."""
+    side = comments = False
+    for name in names.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if not words or words[0] in MODIFIERS:
+            continue
+        has = MARKS.intersection(words)
+        side |= bool(has) or ("side" in words and SIDEWAYS.issuperset(words))
+        side |= "header" in words and not in_content and not HEADINGS.intersection(words)
+        comments |= bool(has & {"comments", "commentlist", "disqus", "replies", "respond"})
+    return side, comments
+
+
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 IMPLIED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
            "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
 
+class _Open:
+    """An open element. Paths and containers are numbers of nodes in a tree of labels, marks are
+    numbers of marked elements; each element has what holds for all inside it, so nothing
+    is gathered along the stack."""
+
+    __slots__ = ("tag", "path", "outer", "holder", "side", "mark", "in_content", "rank")
+
+
 class _Blocks(HTMLParser):
-    """Text blocks of a page in order: [path, container, text, link length, side matter,
-    rank of the article or main that holds it: 0 none, 1 marked as side matter, 2 unmarked]."""
+    """Text blocks of a page in order: [path, container, text, link length, side matter by
+    element, innermost mark, rank of the article or main that holds it: 0 none, 1 marked as side matter, 2 unmarked]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, side matter, marked as such
+        root = _Open()
+        root.tag, root.path, root.outer, root.holder, root.side, root.mark, root.in_content, root.rank = "", 0, 0, None, False, -1, False, 0
+        self.stack: list[_Open] = [root]
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.holders: dict[int, int | None] = {}  # path of an article or main -> that of the one around it
+        self.marks: list[tuple[int, bool]] = []   # mark around it, reader comments
+        self.open: Counter = Counter()
         self.blocks: list[list] = []
         self.text: list[str] = []
         self.link = 0
@@ -58,26 +99,25 @@ class _Blocks(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find(">", i + 3)  # in HTML a comment, whatever it says
+        return -1 if end < 0 else end + 1
+
     def flush(self):
         if not self.text:
             return
         text = " ".join("".join(self.text).split())
         if text:
-            labels = [s[1] for s in self.stack if s[0] not in INLINE]
-            holder = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in CONTENT), None)
-            if holder is not None:
-                inner = [s[1] for s in self.stack[:holder + 1] if s[0] not in INLINE]
-            else:
-                inner = labels[:-1] if len(labels) > 1 else labels
-            self.blocks.append(["/".join(labels), "/".join(inner), text, self.link,
-                                any(s[2] for s in self.stack),
-                                0 if holder is None else 1 if any(s[3] for s in self.stack[:holder + 1]) else 2])
+            top = self.stack[-1]
+            box = top.outer if top.holder is None else top.holder
+            self.blocks.append([top.path, box, text, self.link, top.side, top.mark, top.rank])
         self.text, self.link = [], 0
 
     def _pop(self, k: int):
-        for tag, _, _, _ in self.stack[k:]:
-            self.raw -= tag in RAW
-            self.links -= tag == "a"
+        for e in self.stack[k:]:
+            self.raw -= e.tag in RAW
+            self.links -= e.tag == "a"
+            self.open[e.tag] -= 1
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -85,31 +125,46 @@ class _Blocks(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in CLOSES_P:  # an open paragraph ends where a block begins
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == "p":
+        if tag in CLOSES_P and self.open["p"]:  # an open paragraph ends where a block begins
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag == "p":
                     self._pop(k)
                     break
-                if self.stack[k][0] in BLOCK:
+                if self.stack[k].tag in BLOCK:
                     break
-        if tag in IMPLIED:  # an open item ends where the next one begins
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in IMPLIED[tag]:
+        same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}
+        if tag in IMPLIED and any(self.open[t] for t in same):  # an open item ends where the next one begins
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in IMPLIED[tag]:
                     break
-                if self.stack[k][0] == tag or tag in ("dt", "dd") and self.stack[k][0] in ("dt", "dd") or tag in ("td", "th") and self.stack[k][0] in ("td", "th"):
+                if self.stack[k].tag in same:
                     self._pop(k)
                     break
-        label, side = tag, tag in SIDE or tag in RAW
+        around, e = self.stack[-1], _Open()
+        label, side, comments = tag, False, False
         if attrs:
             named = {k: v or "" for k, v in attrs}
-            marks = " ".join(named[k] for k in ("class", "id", "role") if k in named)
-            side = side or "hidden" in named or bool(marks and MARKS.search(marks))
+            side, comments = marked(" ".join(named[k] for k in ("class", "id", "role") if k in named), around.in_content)
+            side |= "hidden" in named
             label += "".join(f".{c}" for c in named.get("class", "").split())
-        if tag == "header" and not any(s[0] in CONTENT for s in self.stack):
+        if tag == "header" and not around.in_content:
             side = True
+        e.tag, e.in_content = tag, around.in_content or tag in CONTENT
+        inline = tag in INLINE
+        e.path = around.path if inline else self.nodes.setdefault((around.path, label), len(self.nodes) + 1)
+        e.outer = around.outer if inline else around.path or e.path
+        e.side = around.side or tag in SIDE or tag in RAW
+        e.mark, e.holder, e.rank = around.mark, around.holder, around.rank
+        if tag in CONTENT:
+            self.holders[e.path] = around.holder
+            e.holder, e.rank = e.path, 1 if side or around.rank == 1 else 2
+        elif side and tag not in ("html", "body"):
+            self.marks.append((around.mark, comments))
+            e.mark = len(self.marks) - 1
         self.raw += tag in RAW
         self.links += tag == "a"
-        self.stack.append((tag, label, side and tag not in CONTENT and tag not in ("html", "body"), side and tag in CONTENT))
+        self.open[tag] += 1
+        self.stack.append(e)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash does not close an element of HTML
@@ -119,13 +174,30 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        if not self.open[tag]:
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
                 self._pop(k)
                 return
-            if tag in INLINE and self.stack[k][0] in BLOCK:
+            if tag in INLINE and self.stack[k].tag in BLOCK:
                 return  # an inline end tag does not close a block
 
+    def ignored_marks(self) -> list[bool]:
+        """Marks that hold for nothing: their element has nearly all text of the page. Reader
+        comments stay marked however long they are."""
+        text = [0] * len(self.marks)
+        total = 0
+        for _, _, t, _, side, mark, _ in self.blocks:
+            if not side:
+                total += len(t)
+                if mark >= 0:
+                    text[mark] += len(t)
+        for k in range(len(self.marks) - 1, -1, -1):
+            if self.marks[k][0] >= 0:
+                text[self.marks[k][0]] += text[k]
+        return [not comments and n >= NEARLY_ALL * total for n, (_, comments) in zip(text, self.marks)]
+
     def handle_data(self, data):
         if self.raw:
             return
@@ -152,6 +224,12 @@ def main_text(html: str | None) -> str:
     blocks = p.blocks
     if not blocks:
         return ""
+    ignored = p.ignored_marks()
+    inherited: list[bool] = []  # whether a mark or one around it holds
+    for k, (around, _) in enumerate(p.marks):
+        inherited.append(not ignored[k] or around >= 0 and inherited[around])
+    # path, container, text, link length, side matter, rank
+    blocks = [[*b[:4], b[4] or b[5] >= 0 and inherited[b[5]], b[6]] for b in blocks]
     length = np.array([0.0 if b[4] else max(0, len(b[2]) - 2 * b[3]) for b in blocks])
     points = np.array([0.0 if b[4] else len(PUNCTUATION.findall(b[2])) for b in blocks])
 
@@ -176,19 +254,28 @@ def main_text(html: str | None) -> str:
     limit = min(open_.std(), 0.5 * open_.max())
     score = fused.copy()
     if inside.any():
-        members: dict[str, list[int]] = {}
+        members: dict[int, list[int]] = {}
         for k in np.flatnonzero(inside):
             members.setdefault(blocks[k][1], []).append(k)
         # half the text and half the punctuation of the heaviest container will do
         heavy = max(members.values(), key=lambda m: length[m].sum())
         limit = min(limit, 0.25 * fused[heavy].mean())
+        # of the containers inside a container the greatest ratios; inner ones have greater numbers
+        inner: dict[int, tuple[float, float]] = {}
+        for box in sorted(p.holders, reverse=True):
+            here = inner.get(box, (0.0, 0.0))
+            if box in members:
+                k = members[box][0]
+                here = max(here[0], box_text[k]), max(here[1], box_point[k])
+            if p.holders[box] is not None and here != (0.0, 0.0):
+                up = inner.get(p.holders[box], (0.0, 0.0))
+                inner[p.holders[box]] = max(up[0], here[0]), max(up[1], here[1])
         for box, m in members.items():
-            within = [n[0] for b, n in members.items() if b.startswith(box + "/")]
             score[m] = np.maximum(fused[m], fused[m].mean())
-            if within:  # a heading or lead belongs to the text that follows
+            if box in inner:  # a heading or lead belongs to the text that follows
                 more = [k for k in m if length[k] > 0]
-                lifted = ((path_text[more] + max(box_text[within].max(), box_text[m[0]]))
-                          * (1.0 + path_point[more] + max(box_point[within].max(), box_point[m[0]])))
+                lifted = ((path_text[more] + max(inner[box][0], box_text[m[0]]))
+                          * (1.0 + path_point[more] + max(inner[box][1], box_point[m[0]])))
                 score[more] = np.maximum(score[more], lifted)
     keep = (score >= limit) & ~side & ((length > 0) | inside)
     return "\n".join(b[2] for b, k in zip(blocks, keep) if k)

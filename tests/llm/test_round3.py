@@ -225,3 +225,60 @@ def test_alignment_of_nothing(spark, no_docs):
     assert ta.alignment(no_docs).count() == 0
     only = spark.createDataFrame([(1, None), (1, ""), (None, "")], "doc_id long, text string")
     assert rows_of(ta.alignment(only), *ALIGN_COLUMNS[1:]) == [(0, 0, 0, 0, 0, 0, "")] * 3
+
+
+# ---- page extraction: marks and broken markup ---------------------------------
+
+from matchdesk.llm import html_text  # noqa: E402
+
+PARAGRAPHS = "".join(f"<p>Sentence number {k} of the story, with words, and more of them. It ends here.</p>" for k in range(6))
+TEXT = "\n".join(f"Sentence number {k} of the story, with words, and more of them. It ends here." for k in range(6))
+
+
+@pytest.mark.parametrize("names", ["page has-sidebar", "container no-sidebar", "navy", "search-results-page search", "with-banner", "page"])
+def test_marks_on_the_whole_page_say_nothing(names):
+    assert html_text.main_text(f'<body><div class="{names}">{PARAGRAPHS}</div></body>') == TEXT
+    assert html_text.main_text(f'<body><div class="{names}"><nav><a href="/">Home</a></nav><article>{PARAGRAPHS}</article></div></body>') == TEXT
+
+
+@pytest.mark.parametrize("names", ["entry-header", "side-by-side", "post-header", "article-header", "header"])
+def test_parts_of_the_article_stay(names):
+    page = f'<article><div class="{names}"><h1>The headline of it</h1><p>A lead that says what follows, in short.</p></div>{PARAGRAPHS}</article>'
+    assert html_text.main_text(page) == "The headline of it\nA lead that says what follows, in short.\n" + TEXT
+
+
+@pytest.mark.parametrize("names", ["sidebar", "site-header", "cookie-notice", "comments", "ad ads-top", "side-column", "newsletter_signup", "nav", "related posts"])
+def test_side_matter_goes(names):
+    page = f'<body><div class="{names}"><p>Buy this now, and that too. It is a bargain, really.</p></div><div class="story">{PARAGRAPHS}</div></body>'
+    assert html_text.main_text(page) == TEXT
+    page = f'<body><div class="story"><article>{PARAGRAPHS}<div class="{names}"><p>Buy this now, and that too.</p></div></article></div></body>'
+    assert names == "site-header" or html_text.main_text(page) == TEXT
+
+
+def test_long_reader_comments_go():
+    comments = "".join(f"<p>Reader {k} says: I do not agree with this at all, and here is why, at length. Bye.</p>" for k in range(200))
+    assert html_text.main_text(f'<body><article>{PARAGRAPHS}</article><div class="comments">{comments}</div></body>') == TEXT
+
+
+def test_any_markup_is_read():
+    for bad in ("<![foo[x]]>", "<![ x", "<![CDATA[x]]>", "<!", "<!-", "<?x", "</", "<a b='", "<!doctype", "&#xffffffff;", "<![if !IE]>"):
+        html_text.main_text(bad)
+        assert html_text.main_text(f"{PARAGRAPHS}{bad}").startswith(TEXT[:60])
+        assert "Sentence number 5" in html_text.main_text(f"<article>{bad}>{PARAGRAPHS}</article>")
+    rnd = random.Random(8)
+    bits = ["<div", ">", "</div>", "<p>", "text, and more.", "<![", "<!--", "-->", "]]>", "<", "&", "&amp;", "<script>", "</script>", "'", '"', "=", "<li>", "<td>",
+            "</p>", "<article>", "</main>", "<main>", " class='nav x'", "\x00", "é", "<?", "<!DOCTYPE ", "[", "</", "<br/>", "<a href=x>", "</a>", "<title>", "<b>"]
+    for _ in range(5000):
+        html_text.main_text("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))))
+
+
+def test_depth_costs_nothing():
+    import time
+    took = []
+    for n in (10_000, 50_000):
+        page = "".join(f"<div class='c{k % 7}'>word {k}, and" for k in range(n)) + "</section>" * n
+        t = time.time()
+        html_text.main_text(page)
+        html_text.main_text("<main><article>x, y." * n)
+        took.append(time.time() - t)
+    assert took[1] < 15 * took[0] + 1
