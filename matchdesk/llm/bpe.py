@@ -143,13 +143,13 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return keys[np.r_[0, cut]], np.split(values, cut)
 
 
-def _packer(n_buckets: int, folder: str):
+def _packer(n_buckets: int, folder: str, block_chars: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for i, t in zip(*batch.columns):
                 text = t.as_py() or ""
-                if rows and size + len(text) > BLOCK_CHARS:
+                if rows and size + len(text) > block_chars:
                     yield _block(rows, n_buckets, folder)
                     rows, size = [], 0
                 rows.append((i.as_py(), text))
@@ -230,18 +230,19 @@ def _assemble(table: pa.Table, folder: str) -> pa.Table:
         [docs.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "ids"])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
+           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, ids array<int>) per input row, as the tokenizer's library would encode
     its text without special tokens. Null and empty texts have no ids. Rows that
     repeat an id, and null ids, each keep their own row. Other columns are not
-    read; an empty table gives no rows."""
+    read; an empty table gives no rows. Smaller blocks need less memory and send more words."""
     path = vocabulary or vocabulary_path()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_buckets = max(1, -(-size // BUCKET_BYTES))
     folder = scratch(docs.sparkSession, "bpe-positions")
     # the word lists are written once: block names stay fixed if tasks are run again
-    blocks = stored(src.mapInArrow(_packer(n_buckets, folder), SCHEMA), "bpe-words")
+    blocks = stored(src.mapInArrow(_packer(n_buckets, folder, block_chars), SCHEMA), "bpe-words")
     words = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(_encoder(path), SCHEMA)
     both = words.unionByName(blocks.where("bucket < 0"))
     return both.groupBy("block").applyInArrow(_assembler(folder), "id long, ids array<int>").withColumnRenamed("id", id_col)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +99,12 @@ def _table(rows: list, languages: list[str], totals: dict[str, int]) -> tuple[di
     return keys, np.log(counts / np.array([totals.get(x, 0) + 1.0 for x in languages]))
 
 
+def word_counts(text: str) -> Counter:
+    """The words of a text with how often each occurs, in order of first occurrence."""
+    found = Counter(CANDIDATE.findall(text.lower()))
+    return found if all(map(str.isalpha, found)) else Counter(words_of(text))
+
+
 def _counts(got: dict[tuple, int], name: str) -> pa.RecordBatch:
     k = list(got)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()),
@@ -166,10 +173,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                  *_table(word_rows, languages, word_total), *_table(gram_rows, languages, gram_total))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of every row; see :func:`identify`."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(id, lang_pred, score) of every row; see :func:`identify`. With ``carry`` the named
+    columns come first instead of the id, so that rows can be chosen where they are."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
+    src = docs.select(F.col(text_col).alias("_scored"), *([F.col(id_col).cast("long").alias(id_col)] if carry is None else carry))
+    kept = src.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -177,42 +187,34 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         seen = dict(m.words)  # known words first, then remembered unseen ones
         scores = np.concatenate([m.word_scores, np.zeros((CACHE_WORDS, len(m.languages)))])
         for batch in batches:
-            key, text = batch.columns
             lang, score = [], []
-            for t in text:
-                words = words_of(t.as_py() or "")
+            for t in batch.column(0):
+                words = word_counts(t.as_py() or "")
                 if not words or not m.languages:
                     lang.append(UNDETERMINED), score.append(0.0)
                     continue
-                at = [seen.get(w, -1) for w in words]
-                if -1 in at:
+                at = list(map(seen.get, words))
+                if None in at:
                     new = []
-                    for k, i in enumerate(at):
-                        if i < 0:
-                            w = words[k]
-                            i = seen.get(w)
-                            if i is None:
-                                i = seen[w] = len(seen)
-                                new.append(m.backoff(w))
-                            at[k] = i
-                    if new:  # the buffer doubles, so that adding rows stays cheap
-                        if len(seen) > len(scores):
-                            scores = np.concatenate([scores, np.zeros((len(seen), scores.shape[1]))])
-                        scores[len(seen) - len(new):len(seen)] = new
-                n = np.bincount(np.array(at))
-                ids = np.flatnonzero(n)
-                s = n[ids] @ scores[ids] + m.prior
+                    for k, w in enumerate(words):
+                        if at[k] is None:
+                            at[k] = seen[w] = len(seen)
+                            new.append(m.backoff(w))
+                    if len(seen) > len(scores):  # the buffer doubles, so that adding rows stays cheap
+                        scores = np.concatenate([scores, np.zeros((len(seen), scores.shape[1]))])
+                    scores[len(seen) - len(new):len(seen)] = new
+                n = np.fromiter(words.values(), np.float64, len(words))
+                s = n @ scores[at] + m.prior
                 best = int(s.argmax())
-                p = np.exp((s - s[best]) / math.sqrt(len(words)))
+                p = np.exp((s - s[best]) / math.sqrt(n.sum()))
                 lang.append(m.languages[best]), score.append(float(1.0 / p.sum()))
                 if len(seen) - known > CACHE_WORDS:
                     seen = dict(m.words)
-            yield pa.RecordBatch.from_arrays([key, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             [*(f.name for f in kept), "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    return src.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

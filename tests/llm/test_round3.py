@@ -282,3 +282,26 @@ def test_depth_costs_nothing():
         html_text.main_text("<main><article>x, y." * n)
         took.append(time.time() - t)
     assert took[1] < 15 * took[0] + 1
+
+
+# ---- pipeline -----------------------------------------------------------------
+
+def test_language_stage_drops_rows_not_ids(spark, small_docs):
+    import corpus_pipeline
+    bad = [(0, None), (0, "123 456"), (None, "   "), (1, "")]
+    extra = spark.createDataFrame(bad, "doc_id long, text string").select(
+        "doc_id", "text", F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    docs = small_docs.unionByName(extra).withColumn("score", F.lit("theirs")).withColumn("lang_pred", F.lit(7))
+    out = corpus_pipeline.language_stage(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id, r.text) for r in out.collect())
+    assert 0.9 * small_docs.count() < len(kept) <= small_docs.count()
+    assert (0, small_docs.where("doc_id = 0").first().text) in kept  # another row with its id was dropped
+    assert {r.score for r in out.collect()} == {"theirs"} and {r.lang_pred for r in out.collect()} == {7}
+    assert corpus_pipeline.language_stage(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def test_encode_stage_in_small_blocks(spark, odd_docs, odd_rows):
+    import corpus_pipeline
+    got = rows_of(corpus_pipeline.encode_stage(spark, odd_docs, SF_SMALL), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == sorted(brute.bpe(odd_rows), key=key)
