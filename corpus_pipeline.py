@@ -15,6 +15,7 @@ from matchdesk.llm.common import scratch, sized, stored
 from matchdesk.llm.queries import token_digests
 from matchdesk.sources.tables import read_table
 
+BLOCK_CHARS = 1 << 20  # text of an encoding block: executors still hold what earlier stages left
 MIN_SCORE = 0.4  # of the predicted language; below it a document counts as rejected
 
 
@@ -25,8 +26,9 @@ def _keep(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told (no letters, or no clear winner)."""
-    found = language_id.identify(docs)
-    return _keep(docs, found.where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < MIN_SCORE)))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    found = language_id.predict(docs.toDF(*names), language_id.train(docs), text_col=names[docs.columns.index("text")], carry=names)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*names).toDF(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of their decoding."""
-    decoded = bpe.decode(bpe.encode(docs))
+    decoded = bpe.decode(bpe.encode(docs, block_chars=BLOCK_CHARS))
     return token_digests(decoded)
 
 
