@@ -30,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is exact for pure ASCII and much cheaper."""
     return (F.when(F.octet_length(c) == F.char_length(c), F.lower(c))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored
+from .common import free_name, sized, stored
 
 MIN_DOCS = 10        # documents and contexts in which a template must occur
 MIN_TOKENS = 4       # shorter lines are left alone
@@ -99,19 +99,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     No row is dropped: a document made of recurring lines only stays with an
     empty text. Null text stays null with no lines. Lines are cut at ``\\n`` and
     tokens at single spaces. Rows that repeat id and text count as one document
-    and get the same result. Extra columns pass through untouched.
+    and get the same result. Extra columns pass through untouched, whatever their names; only
+    columns called ``_n_lines`` or ``_n_dropped`` are replaced.
     """
+    key, drop = free_name(docs, "_key"), free_name(docs, "_drop")
     drops = (recurring_lines(docs, id_col, text_col, min_docs).groupBy("key")
-             .agg(F.sort_array(F.collect_set("line_no")).alias("_drop")).withColumnRenamed("key", "_key"))
+             .agg(F.sort_array(F.collect_set("line_no")).alias(drop)).withColumnRenamed("key", key))
     drops = stored(drops, "drops")
-    src = docs.withColumn("_key", _key(id_col, text_col))
-    out = src.join(sized(drops), "_key", "left")
+    out = docs.withColumn(key, _key(id_col, text_col)).join(sized(drops), key, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return (out.withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-            .withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-            .withColumn(text_col, text).drop("_key", "_drop"))
+    # the runs of lines between dropped ones, so that the work is one pass over the lines
+    edges = F.concat(F.array(F.lit(-1)), F.col(drop), F.array(F.size(lines)))
+    runs = F.transform(F.sequence(F.lit(0), F.size(drop)), lambda k: F.slice(
+        lines, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
+    counts = {"_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+              "_n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long")}
+    return out.withColumns({**counts, text_col: text}).drop(key, drop)
 
 
 ORACLE = r"""

@@ -305,3 +305,28 @@ def test_encode_stage_in_small_blocks(spark, odd_docs, odd_rows):
     import corpus_pipeline
     got = rows_of(corpus_pipeline.encode_stage(spark, odd_docs, SF_SMALL), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert got == sorted(brute.bpe(odd_rows), key=key)
+
+
+# ---- line dedup: names and long texts ------------------------------------------
+
+def test_line_dedup_with_clashing_columns(spark):
+    from matchdesk.llm import line_dedup
+    rows = [(k, f"unique line number{k} of this document is here{k}\nall rights to this page are reserved\nand another closing{k} line of it") for k in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = plain
+    for c in ("_drop", "_key", "__drop", "key", "_DROP_", "tokens", "line"):
+        odd = odd.withColumn(c, F.lit(c))
+    a, b = line_dedup.line_dedup(plain), line_dedup.line_dedup(odd)
+    assert set(odd.columns) < set(b.columns) and {r["_drop"] for r in b.collect()} == {"_drop"}
+    assert rows_of(a, "doc_id", "text", "_n_lines", "_n_dropped") == rows_of(b, "doc_id", "text", "_n_lines", "_n_dropped")
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    import time
+    from matchdesk.llm import line_dedup
+    shared = [f"the same boilerplate stands here {w}" for w in ("one", "two", "three")]
+    rows = [(k, "\n".join(x for j in range(3) for x in (f"own{k}x{j} text{k} body{j} only{k}{j} word", shared[j]))) for k in range(40)]
+    rows.append((100, "\n".join(shared[j % 3] if j % 2 else f"own long{j} text body{j} of{j}" for j in range(60_000))))
+    t = time.time()
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 100").first()
+    assert got["_n_dropped"] in (0, 30_000) and time.time() - t < 60
