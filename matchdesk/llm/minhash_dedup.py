@@ -7,21 +7,23 @@ from a non-empty bin picked by a hash of (bin, attempt), the densification that
 keeps the collision probability equal to the similarity.
 
 Candidates. Documents with equal sets collapse into one class first. ``BANDS``
-bands of ``ROWS`` bins form buckets. In a bucket only stars are formed: a few
-centres, each against the other members, so a bucket of n classes costs n edges
-per centre and not n squared.
-
-Confirmation is exact, on the full shingle sets; only pairs whose set sizes alone rule a
-link out are not read, and their distance counts as the least that the sizes allow. A
-member linked to a centre already belongs to the centre's component, so members of one
-component are not compared with each other. A linked member may still tie a member of
-another component, open or linked, to its own: distance 1 - similarity obeys the triangle
-inequality, so a linked x at distance u of the centre can link with a y at distance v
-only if ``v - u <= limit``. Linked members for which such a y exists stay as possible
-centres, closest first; all others leave. Each round joins what is linked so far into
-components, takes new centres, four times as many as before, and compares only members
-of different components, until every bucket lies in one component. No bucket is capped
-and no comparison inside a bucket that could tie two components is skipped.
+bands of ``ROWS`` bins form buckets. In a bucket only stars are formed: one
+centre a round against the members of other components, so a bucket of n classes
+costs n edges a round and not n squared. What is linked so far is joined into
+components, and buckets that lie in one component leave. Rounds with new centres
+go on while at least one comparison in ``YIELD`` is a link.
+
+Members that link with nothing would need a centre each. So the members of the
+buckets that stay open go through an exact filter instead: shingles are put in
+one order, the rarest first, and two sets of sizes m <= n can only be linked if
+the first ``m - ceil(2tm / (1 + t)) + 1`` shingles of the smaller and the first
+``n - ceil(tn) + 1`` of the larger have one in common, standing where enough
+others may still follow in both (t is the similarity asked for). A set whose
+rarest shingles are its own is compared with nothing. No bucket is capped and no
+link between two components is skipped.
+
+Confirmation is exact, on the full shingle sets; pairs whose set sizes alone rule
+a link out are not read.
 """
 
 from __future__ import annotations
@@ -30,36 +32,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import sized, stored
 from .components import components
-from .text_hash import mix, prefix, slices
+from .text_hash import mix
 
 SHINGLE = 5
 ROWS = 5
 BANDS = 32
 BINS = ROWS * BANDS
 PERCENT = 85
+YIELD = 10           # comparisons a link may cost before stars give way to the filter
+WORDS_HELD = 1 << 20  # word hashes a task keeps at hand
+TOKEN_ROWS = 1 << 18  # rows of an Arrow batch of shingles
 
 _EDGES = np.array([(i << 64) // BINS for i in range(BINS)], dtype=np.uint64)
+_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 _BAND_SEED = mix(np.arange(1, BINS + 1, dtype=np.uint64))
 
 
+class _WordHashes(dict):
+    """64-bit hash of each word, computed once per task while there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_HELD:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_WORDS = _WordHashes()
+
+
 def shingle_hashes(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's 5-word shingles (A-Z lowered,
-    words cut at ASCII white space); all words as one if there are fewer."""
+    words cut at ASCII white space); all words as one if there are fewer. Word
+    hashes are chained through a mixer, so no structure of the text survives."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    starts = ends - lens
+    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(SHINGLE, len(words))
-    h = prefix(np.frombuffer(b" ".join(words), np.uint8))
-    return np.unique(slices(h, starts[:len(words) - k + 1], ends[k - 1:]))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            h = mix(h * _CHAIN + ids[i:len(words) - k + 1 + i])
+    return np.unique(h)
 
 
 def _donors(attempt: np.ndarray) -> np.ndarray:
@@ -139,23 +161,67 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["a", "b", "both", "na", "nb"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) with their distance and whether they are linked. The
-    distance is exact, or, where the sizes na and nb rule a link out, a lower bound."""
-    pairs = stored(pairs.distinct(), "pairs")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    apart = pairs.where(100 * small < percent * large).select(
-        "a", "b", (1 - small / large).alias("d"), F.lit(False).alias("linked"))
-    pairs = pairs.where(100 * small >= percent * large).select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    sets = sets.join(sized(ids), "rid", "left_semi")  # later rounds shuffle the few sets they need
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of each set."""
+    for batch in batches:
+        for rid, held in zip(*batch.columns):
+            held = np.frombuffer(held.as_buffer(), np.int64)
+            for at in range(0, len(held), TOKEN_ROWS):
+                part = held[at:at + TOKEN_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), rid.as_py(), np.int64)), pa.array(part)], ["rid", "token"])
+
+
+def _could_link(m: Column, n: Column, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the distinct pairs (a, b), on the full sets."""
+    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    sets = sets.join(sized(stored(ids, "paired")), "rid", "left_semi")  # only the sets that are needed
     x = sets.select(F.col("rid").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("rid").alias("b"), F.col("set").alias("y"))
     joined = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     sizes = joined.mapInArrow(_shared, "a long, b long, both long, na long, nb long")
     union = F.col("na") + F.col("nb") - F.col("both")
-    return sizes.select("a", "b", (1 - F.col("both") / union).alias("d"),
-                        (100 * F.col("both") >= percent * union).alias("linked")).unionByName(apart)
+    return stored(sizes.where(100 * F.col("both") >= percent * union).select("a", "b"), "links")
+
+
+def _star(live: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's centre and its members of other components:
+    the smallest row first, then whichever row comes first in the turn's own order."""
+    order = F.col("rid") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rid"))
+    centres = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rid", "size", "root")).alias("c"))
+    star = live.join(centres, "bucket").where(
+        (F.col("root") != F.col("c.root")) & _could_link(F.col("size"), F.col("c.size"), percent))
+    return stored(star.select(F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b")).distinct(), "pairs")
+
+
+def _filtered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of different components that the order of
+    shingles cannot rule out (see the module's docstring)."""
+    rest = stored(live.select("rid", "size", "root").distinct(), "open")
+    tokens = sets.join(sized(rest.select("rid")), "rid", "left_semi").select("rid", "set").mapInArrow(_tokens, "rid long, token long")
+    tokens = stored(tokens, "tokens")
+    often = stored(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens")
+    # shingles of one set only stand first; the others are counted from the end
+    back = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("n"), F.desc("token")))
+    ranked = tokens.join(often, "token").select("rid", "token", back.alias("back")).join(sized(rest), "rid")
+    ranked = ranked.withColumn("at", F.col("size") - F.col("back"))
+    front = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100))
+    front = stored(front.select("token", "rid", "size", "root", "at"), "fronts")
+    several = front.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    front = front.join(sized(stored(several.select("token"), "front-tokens")), "token", "left_semi")
+    small = front.where(F.col("at") <= F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / (100 + percent)))
+    small = small.select("token", *(F.col(c).alias(f"{c}_s") for c in ("rid", "size", "root", "at")))
+    both = small.join(front, "token").where(
+        (F.struct("size_s", "rid_s") < F.struct("size", "rid")) & (F.col("root_s") != F.col("root"))
+        & (100 * F.col("size_s") >= percent * F.col("size")))
+    # shingles in common: at most what stands before this one in both, itself, and what follows in both
+    most = F.least("at_s", "at") + F.least(F.col("size_s") - F.col("at_s"), F.col("size") - F.col("at"))
+    both = both.where((100 + percent) * most >= percent * (F.col("size_s") + F.col("size")))
+    return stored(both.select(F.least("rid_s", "rid").alias("a"), F.greatest("rid_s", "rid").alias("b")).distinct(), "pairs")
 
 
 def _buckets(sig: DataFrame) -> DataFrame:
@@ -169,55 +235,35 @@ def _buckets(sig: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes of equal sets that are linked, as row ids."""
-    limit = 1 - percent / 100 + 1e-9
     first = _buckets(sig)
     wanted = stored(first.select("rid").distinct(), "candidates")
     texts = docs.select("rid", "text").join(sized(wanted), "rid", "left_semi")
     sets = stored(texts.mapInArrow(_sets, "rid long, set binary"), "shingle-sets")
-
-    # d is null for open members; for linked ones, the distance to their centre
-    live = first.withColumn("d", F.lit(None).cast("double")).withColumn("root", F.col("rid"))
-    known, n_centres = None, 1
+    live, known, turn = first.withColumn("root", F.col("rid")), None, 0
     while True:
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("d").asc_nulls_last(), "rid"))
-        centres = stored(live.withColumn("r", rank).where(F.col("r") <= n_centres).select(
-            "bucket", F.col("rid").alias("c"), F.col("size").alias("c_size"), F.col("root").alias("c_root")), "centres")
-        star = live.join(centres, "bucket").where(F.col("root") != F.col("c_root"))
-        first_is_c = F.col("c") < F.col("rid")
-        star = star.select("bucket", "rid", "c", F.col("d").isNull().alias("open"),
-                           F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b"),
-                           F.when(first_is_c, F.col("c_size")).otherwise(F.col("size")).alias("na"),
-                           F.when(first_is_c, F.col("size")).otherwise(F.col("c_size")).alias("nb"))
-        dist = stored(_distances(star.select("a", "b", "na", "nb"), sets, percent), "distances")
-        links = dist.where("linked").select("a", "b")
-        if known is None:
-            known = stored(components(links), "components")
-        elif not links.isEmpty():  # else the components stand as they are
-            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            known = stored(components(links), "components")
-        rated = stored(star.join(dist, ["a", "b"]).select("bucket", "rid", "c", "open", "d", "linked"), "rated")
-
-        own = rated.where("open AND linked").groupBy("bucket", "rid").agg(F.min(F.struct("d", "c")).alias("m")).select(
-            "bucket", "rid", F.col("m.d").alias("u"), F.col("m.c").alias("c"))
-        rest = live.join(centres.select("bucket", F.col("c").alias("rid")), ["bucket", "rid"], "left_anti")
-        rest = rest.join(own, ["bucket", "rid"], "left")
-        roots = sized(known)
-        apart = rated.where("NOT linked").join(roots.select(F.col("node").alias("rid"), F.col("root").alias("x")), "rid", "left").join(
-            roots.select(F.col("node").alias("c"), F.col("root").alias("y")), "c", "left")
-        apart = apart.where(F.coalesce("x", "rid") != F.coalesce("y", "c"))
-        nearest = apart.groupBy("bucket", "c").agg(F.min("d").alias("v"))
-        # a newly linked member stays only while one of another component may lie within the limit
-        rest = rest.join(nearest, ["bucket", "c"], "left").where(
-            F.col("u").isNull() | F.col("d").isNotNull() | (F.col("v") - F.col("u") <= limit))
-        rest = rest.select("bucket", "rid", "size", F.coalesce("d", "u").alias("d")).join(
-            known.withColumnRenamed("node", "rid"), "rid", "left")
-        rest = stored(rest.withColumn("root", F.coalesce("root", "rid")), "rest")
-        busy = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        busy = busy.where("low <> high").select("bucket")
-        live = stored(rest.join(busy, "bucket"), "buckets")
+        pairs = _star(live, turn, percent)
+        links = _links(pairs, sets, percent)
+        n_pairs, n_links = pairs.count(), links.count()
+        if known is None or n_links:
+            known = _joined(known, links)
+            now = first.join(known.withColumnRenamed("node", "rid"), "rid", "left")
+            now = now.withColumn("root", F.coalesce("root", "rid"))
+            busy = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            live = stored(now.join(busy.select("bucket"), "bucket", "left_semi"), "live")
         if live.isEmpty():
             return known
-        n_centres *= 4
+        turn += 1
+        if n_links * YIELD < n_pairs:
+            break
+    links = _links(_filtered(live, sets, percent), sets, percent)
+    return known if links.isEmpty() else _joined(known, links)
+
+
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links found, on top of those known."""
+    if known is not None:
+        links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return stored(components(links), "components")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -88,6 +88,34 @@ def test_near_links_between_linked_members(spark, monkeypatch):
     assert {r["node"]: r["root"] for r in got.collect()} == {2: 2, 3: 2, 6: 2, 7: 2}
 
 
+@pytest.mark.parametrize("cost", [0, 10**9])
+def test_near_filter_and_stars_agree(spark, monkeypatch, cost):
+    """Edited copies around the threshold: by the filter after one star round, and by stars alone."""
+    rnd = random.Random(11)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(rnd.choice([30, 120, 260]))]
+        for _ in range(25):
+            w = list(base[:len(base) - rnd.randint(0, 8)])
+            for _ in range(rnd.randint(0, 1 + len(base) // 50)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(minhash_dedup, "YIELD", cost)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows_of(minhash_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near(rows), key=key)
+
+
+def test_shingle_hashes_tell_doubled_words_apart():
+    """Words built by doubling with a swap, which polynomial hashes modulo 2^64 confuse."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    assert minhash_dedup.shingle_hashes(a) != minhash_dedup.shingle_hashes(b)
+    assert len(minhash_dedup.shingle_hashes(" ".join(["x", a, b] * 4))) == 3
+    assert minhash_dedup.shingle_hashes("A b c").tolist() == minhash_dedup.shingle_hashes("a\tB  c").tolist()
+
+
 def test_components(spark):
     """A path, a cycle, a star, a pair and a two-way repeated edge."""
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, 104), (104, 102), (102, 100)] + [(200, 200 + i) for i in range(1, 9)]
