@@ -8,8 +8,9 @@ keeps the collision probability equal to the similarity.
 
 Candidates. Documents with equal sets collapse into one class first. ``BANDS``
 bands of ``ROWS`` bins form buckets. In a bucket only stars are formed: one
-centre a round against the members of other components, so a bucket of n classes
-costs n edges a round and not n squared. What is linked so far is joined into
+centre a round, and each member goes with one centre of another component, that of
+most buckets in common, so n classes cost n edges a round, however many buckets they
+share. What is linked so far is joined into
 components, and buckets that lie in one component leave. Rounds with new centres
 go on while at least one comparison in ``YIELD`` is a link.
 
@@ -188,14 +189,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(sizes.where(100 * F.col("both") >= percent * union).select("a", "b"), "links")
 
 
-def _star(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's centre and its members of other components:
-    the smallest row first, then whichever row comes first in the turn's own order."""
-    order = F.col("rid") if turn == 0 else F.xxhash64(F.lit(turn), F.col("rid"))
-    centres = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rid", "size", "root")).alias("c"))
+def _star(live: DataFrame, used: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Centres (bucket, c) and distinct pairs (a, b): each member with one centre of its buckets,
+    of another component, the one that it shares most buckets with. A bucket's centre is the
+    member, not used before, that meets most rows over all its buckets (``weight``): in a group of
+    edited copies that is the one closest to their common text."""
+    free = live if used is None else live.join(used.withColumnRenamed("c", "rid"), ["bucket", "rid"], "left_anti")
+    centres = free.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rid")).alias("o"), "rid", "size", "root")).alias("c"))
+    centres = stored(centres.select("bucket", "c.rid", "c.size", "c.root").toDF("bucket", "c", "c_size", "c_root"), "centres")
     star = live.join(centres, "bucket").where(
-        (F.col("root") != F.col("c.root")) & _could_link(F.col("size"), F.col("c.size"), percent))
-    return stored(star.select(F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b")).distinct(), "pairs")
+        (F.col("root") != F.col("c_root")) & _could_link(F.col("size"), F.col("c_size"), percent))
+    near = star.groupBy("rid", "c").agg(F.count("*").alias("n"))
+    near = near.groupBy("rid").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m")).select("rid", (-F.col("m.c")).alias("c"))
+    pairs = near.select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")).distinct()
+    return centres.select("bucket", "c"), stored(pairs, "pairs")
 
 
 def _filtered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,19 +214,21 @@ def _filtered(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = stored(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-tokens")
     # shingles of one set only stand first; the others are counted from the end
     back = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("n"), F.desc("token")))
-    ranked = tokens.join(often, "token").select("rid", "token", back.alias("back")).join(sized(rest), "rid")
+    n_shared = F.count("*").over(W.partitionBy("rid"))
+    ranked = tokens.join(often, "token").select("rid", "token", back.alias("back"), n_shared.alias("n_shared")).join(sized(rest), "rid")
+    ranked = ranked.withColumn("before", F.col("n_shared") - F.col("back"))
     ranked = ranked.withColumn("at", F.col("size") - F.col("back"))
     front = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100))
-    front = stored(front.select("token", "rid", "size", "root", "at"), "fronts")
+    front = stored(front.select("token", "rid", "size", "root", "at", "before", "back"), "fronts")
     several = front.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     front = front.join(sized(stored(several.select("token"), "front-tokens")), "token", "left_semi")
     small = front.where(F.col("at") <= F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / (100 + percent)))
-    small = small.select("token", *(F.col(c).alias(f"{c}_s") for c in ("rid", "size", "root", "at")))
+    small = small.select("token", *(F.col(c).alias(f"{c}_s") for c in ("rid", "size", "root", "before", "back")))
     both = small.join(front, "token").where(
         (F.struct("size_s", "rid_s") < F.struct("size", "rid")) & (F.col("root_s") != F.col("root"))
         & (100 * F.col("size_s") >= percent * F.col("size")))
-    # shingles in common: at most what stands before this one in both, itself, and what follows in both
-    most = F.least("at_s", "at") + F.least(F.col("size_s") - F.col("at_s"), F.col("size") - F.col("at"))
+    # in common: at most the shared shingles before this one in both, itself, and what follows in both
+    most = F.least("before_s", "before") + F.least("back_s", "back")
     both = both.where((100 + percent) * most >= percent * (F.col("size_s") + F.col("size")))
     return stored(both.select(F.least("rid_s", "rid").alias("a"), F.greatest("rid_s", "rid").alias("b")).distinct(), "pairs")
 
@@ -239,9 +248,13 @@ def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
     wanted = stored(first.select("rid").distinct(), "candidates")
     texts = docs.select("rid", "text").join(sized(wanted), "rid", "left_semi")
     sets = stored(texts.mapInArrow(_sets, "rid long, set binary"), "shingle-sets")
-    live, known, turn = first.withColumn("root", F.col("rid")), None, 0
+    sizes = first.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = first.join(sizes, "bucket").groupBy("rid").agg(F.sum("n").alias("weight"))
+    first = stored(first.join(sized(stored(weight, "weights")), "rid"), "weighted")
+    live, known, used = first.withColumn("root", F.col("rid")), None, None
     while True:
-        pairs = _star(live, turn, percent)
+        centres, pairs = _star(live, used, percent)
+        used = centres if used is None else used.unionByName(centres)
         links = _links(pairs, sets, percent)
         n_pairs, n_links = pairs.count(), links.count()
         if known is None or n_links:
@@ -252,7 +265,6 @@ def near_components(docs: DataFrame, sig: DataFrame, percent: int = PERCENT) ->
             live = stored(now.join(busy.select("bucket"), "bucket", "left_semi"), "live")
         if live.isEmpty():
             return known
-        turn += 1
         if n_links * YIELD < n_pairs:
             break
     links = _links(_filtered(live, sets, percent), sets, percent)
