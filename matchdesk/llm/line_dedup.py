@@ -164,20 +164,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and get the same result. Extra columns pass through untouched, whatever their names; only
     columns called ``_n_lines`` or ``_n_dropped`` are replaced.
     """
-    key, drop = free_name(docs, "_key"), free_name(docs, "_drop")
+    key, drop, cut = (free_name(docs, c) for c in ("_key", "_drop", "_cut"))
     drops = (recurring_lines(docs, id_col, text_col, min_docs, min_same).groupBy("key")
-             .agg(F.sort_array(F.collect_set("line_no")).alias(drop)).withColumnRenamed("key", key))
+             .agg(F.collect_set("line_no").alias(drop)).withColumnRenamed("key", key))
     drops = stored(drops, "drops")
-    out = docs.withColumn(key, _key(id_col, text_col)).join(sized(drops), key, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    # the runs of lines between dropped ones, so that the work is one pass over the lines
-    edges = F.concat(F.array(F.lit(-1)), F.col(drop), F.array(F.size(lines)))
-    runs = F.transform(F.sequence(F.lit(0), F.size(drop)), lambda k: F.slice(
-        lines, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1))
-    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
-    counts = {"_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+    # texts are cut below the join, so that functions over the lines read an array that is there
+    lines = F.col(cut)
+    out = docs.withColumns({key: _key(id_col, text_col), cut: F.split(F.col(text_col), "\n", -1)})
+    out = out.drop(text_col).join(sized(drops), key, "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    text = F.array_join(F.when(F.col(drop).isNull(), lines).otherwise(F.transform(stay, lambda k: F.get(lines, k))), "\n")
+    counts = {"_n_lines": F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long"),
               "_n_dropped": F.coalesce(F.size(drop), F.lit(0)).cast("long")}
-    return out.withColumns({**counts, text_col: text}).drop(key, drop)
+    out = out.withColumns({**counts, text_col: text})
+    have = {c.lower() for c in docs.columns}
+    order = [*docs.columns, *[c for c in counts if c not in have]]
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in order])
 
 
 ORACLE = r"""
