@@ -16,7 +16,7 @@ from matchdesk.operators import save as SV
 from matchdesk.sources import cache as CA
 from matchdesk.sources import inputs as IN
 from matchdesk.sources import load as L
-from matchdesk.sources.review_table import LAYOUT, ReviewTable, recent
+from matchdesk.sources.review_table import LAYOUT, ReviewTable, bucket_groups, recent
 from matchdesk.sources.row_ids import import_ids
 from matchdesk.streaming.edit_feed import EditFeed
 from tests.conftest import SF_MID, SF_SMALL
@@ -71,6 +71,30 @@ def test_only_touched_buckets_are_written(spark, m_mid, by):
     assert t.snapshot().count() == m_mid.count()
 
 
+@pytest.mark.parametrize("by", ["id", "key"])
+@pytest.mark.parametrize("limit", [64 << 20, 20_000, 100])
+def test_buckets_are_merged_in_groups(spark, m_small, monkeypatch, by, limit):
+    """One group, several, or buckets too large for a broadcast: the same table and counts; only the last shuffles rows."""
+    from matchdesk.operators import joins as J
+    monkeypatch.setattr(J, "BROADCAST_BYTES", limit)
+    t = ReviewTable.create(spark, _root(), m_small, buckets=5)
+    ed = IN.edits(spark, SF_SMALL)
+    out = t.save(ed, "g", dt.datetime(2024, 3, 1), by)
+    want = E.last_values(ed, ["id", "field"])
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 64 << 20)
+    if by == "id":
+        assert _same(t.snapshot(), E.overlay(m_small, want)) and out["affected"] == want.select("id").distinct().count()
+    else:
+        changed = SV.save_by_key(m_small, ed)
+        assert changed.exceptAll(t.snapshot().select(*changed.columns)).count() == 0 and out["affected"] == changed.count()
+    assert out["buckets"] == 5 and t.snapshot().count() == m_small.count()
+
+
+def test_bucket_groups():
+    assert bucket_groups([], 10) == []
+    assert bucket_groups([(0, 4), (1, 6), (2, 1), (3, 11), (4, 3), (7, 7)], 10) == [([0, 1], True), ([2], True), ([3], False), ([4, 7], True)]
+
+
 def test_interrupted_save_is_run_again(spark, m_small):
     """Cut off between log and rows, or between rows and return: the same log, the same table."""
     t = ReviewTable.create(spark, _root(), m_small)
