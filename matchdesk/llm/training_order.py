@@ -38,6 +38,8 @@ LENGTH = 2048        # tokens of a sequence
 RECORDS = 8192       # sequences of a shard (16 MB of byte ids)
 END, PAD = 0xFF, 0xFE
 TOKEN_PAD = TOKEN_END + 1  # free in the 50,256-entry vocabularies as well
+PACK_LEVEL = 6       # zstd level of stored and shuffled ids
+DICT_DOCS, DICT_CHARS, DICT_BYTES = 500, 8192, 16 << 10  # bounds of the sample that the packing dictionary learns from
 KEY = 20240607
 ROUNDS = 6
 
@@ -86,10 +88,30 @@ def byte_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["id", "first", "ids"])
 
 
-def _token_ids(path: str):
+def _packer(words: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+
+
+def _unpacker(words: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+
+
+def dictionary(docs: DataFrame, path: str) -> bytes:
+    """A zstd dictionary of the ids of a few texts. Bodies and pieces are short, so most of what
+    they have in common is lost without one. Which texts it learns from changes sizes only."""
+    head = docs.where("text IS NOT NULL").limit(DICT_DOCS).select(F.substring("text", 1, DICT_CHARS)).collect()
+    enc = encoding(path)
+    samples = [np.array(enc.encode_ordinary(r[0]) + [TOKEN_END], DTYPE).tobytes() for r in head]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:  # too few texts
+        return b""
+
+
+def _token_ids(path: str, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Text to packed 16-bit ids with the end identifier behind, and their number."""
-        enc, pack = encoding(path), zstandard.ZstdCompressor(level=3)
+        enc, pack = encoding(path), _packer(words)
         for batch in batches:
             key, tie, text = batch.columns
             n, body = [], []
@@ -100,14 +122,16 @@ def _token_ids(path: str):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        key, first, body = batch.columns
-        for k in range(0, len(key), 256):  # ids of a few documents at once
-            yield pa.RecordBatch.from_arrays(
-                [key[k:k + 256], first[k:k + 256], pa.array([unpack.decompress(b.as_py()) for b in body[k:k + 256]], pa.binary())],
-                ["id", "first", "ids"])
+def _unpacked(words: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(words)
+        for batch in batches:
+            key, first, body = batch.columns
+            for k in range(0, len(key), 256):  # ids of a few documents at once
+                yield pa.RecordBatch.from_arrays(
+                    [key[k:k + 256], first[k:k + 256], pa.array([unpack.decompress(b.as_py()) for b in body[k:k + 256]], pa.binary())],
+                    ["id", "first", "ids"])
+    return run
 
 
 def number_documents(sizes: DataFrame) -> tuple[DataFrame, int]:
@@ -126,10 +150,10 @@ def number_documents(sizes: DataFrame) -> tuple[DataFrame, int]:
     return stored(ranged.join(F.broadcast(offsets), "part").withColumn("first", first).drop("part", "base"), "numbered"), at
 
 
-def _cutter(total: int, length: int, dtype: str, key: int, packed: bool):
+def _cutter(total: int, length: int, dtype: str, key: int, packed: bool, words: bytes):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perm, width = Permutation(total, key), np.dtype(dtype).itemsize
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = _packer(words)
         for batch in batches:
             owner, index, at, n, body = [], [], [], [], []
             for k, first, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -148,12 +172,12 @@ def _cutter(total: int, length: int, dtype: str, key: int, packed: bool):
     return cut
 
 
-def _shard_writer(folder: str, length: int, records: int, dtype: str, pad: int):
+def _shard_writer(folder: str, length: int, records: int, dtype: str, pad: int, words: bytes):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by slot and place, and whole shards at a time."""
         width = np.dtype(dtype).itemsize
         fill = np.full(length, pad, dtype).tobytes()
-        unpack = zstandard.ZstdDecompressor()
+        unpack = _unpacker(words)
         shard, rows = None, []
 
         def chunks() -> Iterator[bytes]:
@@ -186,20 +210,20 @@ def _shard_writer(folder: str, length: int, records: int, dtype: str, pad: int):
 
 
 def materialise(ids: DataFrame, total: int, folder: str, length: int = LENGTH, records: int = RECORDS,
-                dtype: str = "u1", pad: int = PAD, key: int = KEY, packed: bool = False) -> DataFrame:
+                dtype: str = "u1", pad: int = PAD, key: int = KEY, packed: bool = False, words: bytes = b"") -> DataFrame:
     """Cut (id, first, ids binary) into sequences, place them and write the shards.
 
     ``first`` is the index of a document's first sequence or, if ``packed``, the number
     of tokens before it. Returns one row per piece of a document in a sequence: slot, seq
     (the sequence's index), id, n_tokens, shard, offset (bytes). Every slot of 0..total-1
-    occurs; a record is padded behind its last piece."""
-    rows = ids.mapInArrow(_cutter(total, length, dtype, key, packed),
+    occurs; a record is padded behind its last piece. Pieces are packed with the dictionary ``words``."""
+    rows = ids.mapInArrow(_cutter(total, length, dtype, key, packed, words),
                           "slot long, seq long, at int, id long, n_tokens int, body binary")
     n_shards = max(1, -(-total // records))
     # slots are dense, so shards are the range partitioning by slot; no sampling needed
     placed = rows.repartition(n_shards, F.floor(F.col("slot") / records))
     return placed.sortWithinPartitions("slot", "at").mapInArrow(
-        _shard_writer(folder, length, records, dtype, pad),
+        _shard_writer(folder, length, records, dtype, pad, words),
         "slot long, seq long, id long, n_tokens int, shard string, offset long")
 
 
@@ -243,11 +267,13 @@ def write_token_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     folder = folder or scratch(spark, "shards")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    coded = stored(src.mapInArrow(_token_ids(vocabulary or vocabulary_path()), "id long, tie long, n long, body binary"), "token-ids")
+    vocabulary = vocabulary or vocabulary_path()
+    words = dictionary(src, vocabulary)
+    coded = stored(src.mapInArrow(_token_ids(vocabulary, words), "id long, tie long, n long, body binary"), "token-ids")
     sizes = coded.groupBy("id", "tie").agg(F.sum("n").alias("n"), F.count("*").alias("copies"))
     first, total = number_documents(stored(sizes, "doc-sizes"))
-    ids = _placed(coded.drop("n"), first, "body").mapInArrow(_unpacked, "id long, first long, ids binary")
-    return folder, materialise(ids, max(1, -(-total // length)), folder, length, records, DTYPE, TOKEN_PAD, key, packed=True)
+    ids = _placed(coded.drop("n"), first, "body").mapInArrow(_unpacked(words), "id long, first long, ids binary")
+    return folder, materialise(ids, max(1, -(-total // length)), folder, length, records, DTYPE, TOKEN_PAD, key, True, words)
 
 
 def read_slots(folder: str, start: int, stop: int, length: int = LENGTH, records: int = RECORDS, dtype: str = "u1") -> np.ndarray:
