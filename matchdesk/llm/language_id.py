@@ -175,11 +175,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score) of every row; see :func:`identify`. With ``carry`` the named
-    columns come first instead of the id, so that rows can be chosen where they are."""
+    columns come first instead of the id, so that rows can be chosen where they are; a text
+    among them goes to Python once."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
-    src = docs.select(F.col(text_col).alias("_scored"), *([F.col(id_col).cast("long").alias(id_col)] if carry is None else carry))
-    kept = src.schema.fields[1:]
+    carried = [F.col(id_col).cast("long").alias(id_col)] if carry is None else [F.col(c) for c in carry]
+    scored = len(carried) if carry is None or text_col not in carry else carry.index(text_col)
+    src = docs.select(*carried, *([F.col(text_col).alias("_scored")] if scored == len(carried) else []))
+    kept = src.schema.fields[:len(carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -188,7 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scores = np.concatenate([m.word_scores, np.zeros((CACHE_WORDS, len(m.languages)))])
         for batch in batches:
             lang, score = [], []
-            for t in batch.column(0):
+            for t in batch.column(scored):
                 words = word_counts(t.as_py() or "")
                 if not words or not m.languages:
                     lang.append(UNDETERMINED), score.append(0.0)
@@ -210,7 +213,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 lang.append(m.languages[best]), score.append(float(1.0 / p.sum()))
                 if len(seen) - known > CACHE_WORDS:
                     seen = dict(m.words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              [*(f.name for f in kept), "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])

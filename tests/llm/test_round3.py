@@ -351,3 +351,12 @@ def test_short_id_runs_are_packed_with_a_dictionary(spark):
     assert [TO._unpacker(words).decompress(x) for x in packed] == ids
     assert sum(map(len, packed)) < 0.9 * sum(len(zstandard.ZstdCompressor(level=3).compress(x)) for x in ids)
     assert TO.dictionary(spark.createDataFrame([("a",)], "text string"), vocabulary_path()) == b""
+
+
+def test_language_stage_sends_a_text_to_python_once(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(k, "the cat sat on the mat " * 3, "en", "s", 5) for k in range(9)] + [(20, "123", "en", "s", 3), (21, None, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(9)) and out.columns == docs.columns
+    assert "_scored" not in out._jdf.queryExecution().optimizedPlan().toString()
