@@ -360,3 +360,29 @@ def test_language_stage_sends_a_text_to_python_once(spark):
     out = corpus_pipeline.language_stage(spark, docs, "")
     assert sorted(r.doc_id for r in out.collect()) == list(range(9)) and out.columns == docs.columns
     assert "_scored" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, monkeypatch):
+    """A batch of 64 MB counts several times in an executor: in Python, and in the JVM on both ways."""
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["size", "n"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.expr("repeat('x', 4000) || id").alias("text"))
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", "s", 22)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(cp.BATCH_SETTING)
+    try:
+        for stage in (cp.language_stage, cp.encode_stage):
+            spark.conf.set(cp.BATCH_SETTING, "64m")
+            stage(spark, docs, SF_SMALL)
+            got = texts.mapInArrow(sizes, "size long, n long").collect()  # as the stage's rows when they are written
+            assert sum(r.n for r in got) == 4000 and max(r.size for r in got) < 2 * cp.BATCH_BYTES
+        spark.conf.set(cp.BATCH_SETTING, "48m")
+        monkeypatch.setattr(cp, "STAGES", cp.STAGES[:1])
+        cp.run(spark, SF_SMALL)
+        assert spark.conf.get(cp.BATCH_SETTING) == "48m"
+    finally:
+        spark.conf.set(cp.BATCH_SETTING, before)
