@@ -90,6 +90,35 @@ def test_buckets_are_merged_in_groups(spark, m_small, monkeypatch, by, limit):
     assert out["buckets"] == 5 and t.snapshot().count() == m_small.count()
 
 
+@pytest.mark.parametrize("sort", [250_000, 3])
+def test_layout_is_written_by_the_scanning_tasks(spark, m_small, monkeypatch, sort):
+    """No shuffle: a hot key stays with the tasks that hold it. In one pass or one per bucket, the same table."""
+    from matchdesk.sources import tables
+    monkeypatch.setattr(tables, "ROWS_PER_SORT", sort)
+    hot = m_small.limit(1).drop("id").crossJoin(spark.range(1000, numPartitions=4)).select(*m_small.columns)
+    stored = f"{_root()}/table"
+    m_small.unionByName(hot).write.parquet(stored)
+    table = spark.read.parquet(stored)
+    t = ReviewTable.create(spark, _root(), table, buckets=5)
+    assert _same(t.snapshot(), table)
+    laid = spark.read.parquet(f"{t.root}/matches")
+    assert laid.filter("`of` <> 5 or bucket <> pmod(hash(canvas_id, canvas_ssn), 5)").count() == 0
+    key = hot.first()
+    files = laid.filter((F.col("canvas_id") == key.canvas_id) & (F.col("canvas_ssn") == key.canvas_ssn)).select(F.input_file_name())
+    assert files.distinct().count() > 1
+
+
+def test_a_save_does_not_sort_its_rows(spark, m_small, monkeypatch):
+    """Buckets are merged with their files open side by side (a sort by bucket spills wide rows); the setting is put back."""
+    from matchdesk.sources.tables import OPEN_FILES
+    t = ReviewTable.create(spark, _root(), m_small, buckets=5)
+    seen, apply_changes = [], E.apply_changes
+    monkeypatch.setattr(E, "apply_changes", lambda df: (seen.append(int(spark.conf.get(OPEN_FILES))), apply_changes(df))[1])
+    before = spark.conf.get(OPEN_FILES)
+    t.save(IN.edits(spark, SF_SMALL), "open", dt.datetime(2024, 3, 1))
+    assert seen and min(seen) > 5 and spark.conf.get(OPEN_FILES) == before
+
+
 def test_bucket_groups():
     assert bucket_groups([], 10) == []
     assert bucket_groups([(0, 4), (1, 6), (2, 1), (3, 11), (4, 3), (7, 7)], 10) == [([0, 1], True), ([2], True), ([3], False), ([4, 7], True)]
