@@ -62,3 +62,28 @@ def test_long_lists_shuffle_only_rows_that_may_match(spark, monkeypatch):
         plan = out[0]._jdf.queryExecution().optimizedPlan().toString()
     assert got[0] == got[1] and len(got[0][0]) == 2000
     assert "LeftSemi" in plan and "LeftAnti" in plan
+
+
+def test_key_merge_above_the_limit_does_not_shuffle_the_table(spark, monkeypatch):
+    """Change maps too large for a broadcast: joined by groups of buckets and stored. The same rows as by one
+    broadcast, with a hot key, null keys, repeated rows, and keys of no row; no changes give no rows."""
+    from matchdesk import schema as S
+    from matchdesk.operators import save as SV
+    fields = [f"cast(id as {'int' if f in S.FLAG_FIELDS else 'string'}) as {f}" for f in S.EDITABLE_FIELDS]
+    table = spark.range(3000).selectExpr("id % 2500 as id", "if(id % 3 = 0, 'hot', nullif(cast(id % 400 as string), '7')) as canvas_id",
+                                         "if(id % 3 = 0, 'hot', nullif(cast(id % 400 as string), '8')) as canvas_ssn", *fields)
+    changes = spark.createDataFrame(
+        [("hot", "hot", "memo", "h"), ("hot", "hot", "jib", "1"), (None, "7", "memo", "x"), ("8", None, "memo", "x"), ("no", "row", "memo", "x"),
+         *[(str(k), str(k), "memo", None if k == 20 else f"m{k}") for k in range(10, 60)]],
+        "canvas_id string, canvas_ssn string, field string, new_value string")
+    want = SV.merge_by_key(table, changes)
+    assert "Join" in want._jdf.queryExecution().optimizedPlan().toString() and want.filter("memo = 'h'").count() == 1000
+    for limit in (2000, 300):  # some buckets a group, or buckets larger than it
+        monkeypatch.setattr(J, "BROADCAST_BYTES", limit)
+        got = SV.merge_by_key(table, changes)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(J, "BROADCAST_BYTES", -1)
+    assert SV.merge_by_key(table, changes.limit(0)).collect() == []
