@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from matchdesk.operators import edits as E
 from matchdesk.operators import save as SV
 from matchdesk.sources import cache as CA
+from matchdesk.sources import fixtures as FX
 from matchdesk.sources import inputs as IN
 from matchdesk.sources import load as L
 from matchdesk.sources.review_table import LAYOUT, ReviewTable, bucket_groups, recent
@@ -261,6 +262,16 @@ def test_stored_inputs_follow_the_data(spark, tmp_path):
     assert 0 < IN.raw_matches(spark, str(tmp_path)).count() < first
 
 
+def test_match_rows_are_sorted_before_they_are_wide(spark):
+    plan = FX.raw_matches(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+    sort = next(n for n in (plan.apply(i) for i in range(30)) if n.nodeName() == "Sort")
+    assert sort.output().size() <= 15 < plan.output().size()
+    stored = IN.matches(spark, SF_SMALL).select("recommendation", F.input_file_name().alias("file")).collect()
+    runs = sum(a != b for a, b in zip(stored, stored[1:]))
+    raw_files = IN.raw_matches(spark, SF_SMALL).select(F.input_file_name()).distinct().count()
+    assert runs < 7 * raw_files  # clustered: six values at most in a raw file
+
+
 def test_row_ids_are_unique(m_mid):
     assert m_mid.select("id").distinct().count() == m_mid.count()
 
